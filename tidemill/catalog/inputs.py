@@ -203,11 +203,11 @@ def slot_sources(spark, sf_dir) -> list[DataFrame]:
     as on a clock-change day.
     """
     ev = events(spark, sf_dir)
-    shifted = F.col("ts") - F.make_dt_interval(F.lit(0), F.lit(1))
-    slot = (F.floor(epoch_seconds("ts") / HALF_HOUR) - F.floor(epoch_seconds(shifted) / DAY) * 48 + 1).cast("int")
+    day = F.to_date(F.col("ts") - F.make_dt_interval(F.lit(0), F.lit(1)))
+    slot = (F.floor(epoch_seconds("ts") / HALF_HOUR) - F.unix_date(day) * 48 + 1).cast("int")
     sums = [F.sum(F.when(F.col("event_type") == t, F.col("v"))).alias(c) for c, t in _SLOT_COLUMNS.items()]
     raw = (
-        ev.withColumns({"settlement_period": slot, "_day": F.to_date(shifted)})
+        ev.withColumns({"settlement_period": slot, "_day": day})
         .groupBy("_day", "settlement_period")
         .agg(*sums)
         .withColumn("settlement_date", F.date_format("_day", "d-MMM-yyyy"))

@@ -43,16 +43,26 @@ def gap_histogram_source_order(spark, sf_dir):
     return steps.where(F.col("step_seconds").isNotNull()).groupBy(whole).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-@query(f"WITH {I.HOURLY}, {_STEPS} SELECT event_type, ts, step_seconds FROM steps WHERE step_seconds IS DISTINCT FROM 3600")
+@query(f"WITH {I.HOURLY}, {_STEPS} SELECT event_type, ts, step_seconds, CAST(1 AS BIGINT) AS n_rows FROM steps WHERE step_seconds IS DISTINCT FROM 3600")
 def discontinuities(spark, sf_dir):
     found = clean.discontinuities(I.hourly(spark, sf_dir), _TYPE, "ts", expected=HOUR)
-    return found.select("event_type", "ts", "step_seconds")
+    return found.select("event_type", "ts", "step_seconds", "n_rows")
 
 
-@query(f"WITH {I.HOURLY}, {_STEPS} SELECT event_type, ts, step_seconds FROM steps WHERE step_seconds IN (7200, 10800)")
+@query(f"WITH {I.HOURLY}, {_STEPS} SELECT event_type, ts, step_seconds, CAST(1 AS BIGINT) AS n_rows FROM steps WHERE step_seconds IN (7200, 10800)")
 def discontinuities_among(spark, sf_dir):
     found = clean.discontinuities(I.hourly(spark, sf_dir), _TYPE, "ts", among=[7200.0, 10800.0])
-    return found.select("event_type", "ts", "step_seconds")
+    return found.select("event_type", "ts", "step_seconds", "n_rows")
+
+
+@query(
+    "WITH s AS (SELECT l_returnflag, date_diff('second', lag(l_shipdate) OVER (PARTITION BY l_returnflag ORDER BY l_shipdate), l_shipdate)::DOUBLE AS step_seconds "
+    "FROM lineitem) SELECT l_returnflag, step_seconds, count(*) AS n_rows FROM s WHERE step_seconds IS NOT NULL GROUP BY 1, 2"
+)
+def gap_histogram_repeats(spark, sf_dir):
+    """Times that occur many times: most steps are 0."""
+    items = I.table(spark, sf_dir, "lineitem").select("l_returnflag", "l_shipdate")
+    return clean.step_histogram(items, ["l_returnflag"], "l_shipdate")
 
 
 _LAGS = (1, 24, 168)

@@ -17,23 +17,25 @@ def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def epoch_seconds(ts: str | Column) -> Column:
-    """Whole seconds since 1970 (rounded down)."""
-    ts = _col(ts)
+def epoch_seconds(ts: str) -> Column:
+    """Whole seconds since 1970 (rounded down) of a timestamp column."""
+    c = f"`{ts}`"
+    return F.expr(
+        f"unix_date(CAST({c} AS DATE)) * {DAY}L + hour({c}) * {HOUR} + minute({c}) * 60 + second({c})"
+    )
+
+
+def micros(ts: str) -> str:
+    """SQL text for the microseconds since 1970 of a timestamp expression."""
     return (
-        F.unix_date(F.to_date(ts)).cast("long") * DAY
-        + F.hour(ts) * HOUR
-        + F.minute(ts) * 60
-        + F.second(ts)
+        f"(unix_date(CAST({ts} AS DATE)) * {DAY}000000L + hour({ts}) * {HOUR}000000L + minute({ts}) * 60000000L "
+        f"+ CAST(extract(SECOND FROM {ts}) * 1000000 AS BIGINT))"
     )
 
 
-def epoch_micros(ts: str | Column) -> Column:
-    """Microseconds since 1970."""
-    ts = _col(ts)
-    day_micros = F.unix_date(F.to_date(ts)).cast("long") * (DAY * 1_000_000)
-    clock = (F.hour(ts) * HOUR + F.minute(ts) * 60).cast("long") * 1_000_000
-    return day_micros + clock + (F.extract(F.lit("SECOND"), ts) * 1_000_000).cast("long")
+def epoch_micros(ts: str) -> Column:
+    """Microseconds since 1970 of a timestamp column."""
+    return F.expr(micros(f"`{ts}`"))
 
 
 def from_seconds(seconds: str | Column) -> Column:
@@ -46,7 +48,7 @@ def seconds_interval(seconds: str | Column) -> Column:
     return F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds.cast("decimal(18,6)"))
 
 
-def floor_time(ts: str | Column, step_seconds: int) -> Column:
+def floor_time(ts: str, step_seconds: int) -> Column:
     """Start of the step that holds `ts`, steps counted from 1970-01-01 00:00."""
     return from_seconds(F.floor(epoch_seconds(ts) / step_seconds) * step_seconds)
 

@@ -8,6 +8,9 @@ State that can reach arbitrarily far (the last seen value) travels through a per
 Two ways to cut:
 * by time, for rows on a regular step: at most width/step rows per piece, one shuffle;
 * by ordinal, for irregular rows: rows are numbered first, so pieces have equal row counts.
+
+A series key is never NULL: rows without one belong to no series, so label them first. Joins
+between pieces and their summaries are plain equi-joins, which share the shuffle of the windows.
 """
 
 from __future__ import annotations
@@ -18,27 +21,32 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.window import WindowSpec
 
-from tidemill.functions.timecols import epoch_seconds
+from tidemill.functions.timecols import epoch_micros, epoch_seconds
 
 PIECE = "_piece"
 OWNED = "_owned"
 ROWS_PER_PIECE = 8_192
-# Candidate widths in seconds for cutting irregular rows, widest first.
-_WIDTHS = [365 * 86_400, 30 * 86_400, 86_400, 3_600, 60, 1]
+_SECOND = 1_000_000
+_NO_TIME = -(2**62)
+# Candidate widths in microseconds for cutting irregular rows, widest first.
+_WIDTHS = [d * 86_400 * _SECOND for d in (365, 30, 1)] + [3_600 * _SECOND, 60 * _SECOND, _SECOND, 1_000]
 
 WindowColumn = Callable[[WindowSpec], Column]
 
 
 def with_piece(df: DataFrame, time: str, width: int) -> DataFrame:
-    return df.withColumn(PIECE, F.floor(epoch_seconds(time) / width))
+    """Number of the piece of `width` microseconds that holds the row.
+
+    Never NULL (rows without a time get a piece of their own), so a join on it keeps all rows and
+    adds no filter that would keep two uses of one shuffle apart.
+    """
+    return df.withColumn(PIECE, F.coalesce(F.floor(epoch_micros(time) / width), F.lit(_NO_TIME)))
 
 
-def piece_width(
-    df: DataFrame, keys: Sequence[str], time: str, max_rows: int = 1_000_000
-) -> int:
+def piece_width(df: DataFrame, keys: Sequence[str], time: str, max_rows: int = 1_000_000) -> int:
     """Widest cut for which no (series, piece) holds more than `max_rows` rows.
 
-    Every candidate costs one map-side-combined count; the first one nearly always fits.
+    Every candidate costs one map-side-combined count; the first ones nearly always fit.
     """
     for width in _WIDTHS:
         counts = with_piece(df.select(*keys, time), time, width).groupBy(*keys, PIECE).count()
@@ -75,7 +83,7 @@ def with_ordinal(
     offsets = counts.select(*keys, PIECE, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     inside = Window.partitionBy(*keys, PIECE).orderBy(time, *tie)
     return (
-        join_same(cut, offsets, [*keys, PIECE])
+        cut.join(offsets.hint("shuffle_hash"), [*keys, PIECE])
         .withColumn(name, F.col("_before") + F.row_number().over(inside) - 1)
         .drop(PIECE, "_before")
     )
@@ -123,43 +131,52 @@ def carry_neighbours(
 ) -> DataFrame:
     """Add the nearest non-null value at or before, and at or after, each row.
 
-    For column c: `_pt_c`, `_pv_c` (time and value before) and `_nt_c`, `_nv_c` (after). Per piece
-    the first and last observation are kept; a window over those summaries carries them on.
+    For column c: structs `_before_c` and `_after_c` with fields t (time) and v (value). Per piece
+    (`width` seconds) the first and last observation are kept; a window over those summaries
+    carries them on.
     """
-    cut = with_piece(df, time, width)
+    cut = with_piece(df, time, width * _SECOND)
+    if set(df.columns) <= {*keys, time, *cols}:
+        # Summary and rows read the same columns, so both can run on one shuffle of the input.
+        cut = cut.repartition(*keys, PIECE)
+    series = ", ".join(f"`{k}`" for k in keys)
 
-    def seen(c: str) -> Column:
-        return F.when(F.col(c).isNotNull(), F.col(time))
+    def seen(c: str, then: str) -> str:
+        return f"CASE WHEN `{c}` IS NOT NULL THEN {then} END"
 
     ends = []
     for c in cols:
-        ends += [
-            F.min(seen(c)).alias(f"_ft_{c}"),
-            F.min_by(F.col(c), seen(c)).alias(f"_fv_{c}"),
-            F.max(seen(c)).alias(f"_lt_{c}"),
-            F.max_by(F.col(c), seen(c)).alias(f"_lv_{c}"),
-        ]
+        at = seen(c, f"`{time}`")
+        for side, pick in (("first", "min"), ("last", "max")):
+            ends.append(F.expr(f"{pick}({at})").alias(f"_{side}_t_{c}"))
+            ends.append(F.expr(f"{pick}_by(`{c}`, {at})").alias(f"_{side}_v_{c}"))
     summary = cut.groupBy(*keys, PIECE).agg(*ends)
-    # A descending order makes "next" a growing frame; an ascending one would rescan the rest
-    # of the partition for every row.
-    up = Window.partitionBy(*keys).orderBy(F.col(PIECE)).rowsBetween(Window.unboundedPreceding, -1)
-    down = Window.partitionBy(*keys).orderBy(F.col(PIECE).desc()).rowsBetween(Window.unboundedPreceding, -1)
-    carried = []
+
+    def carried(c: str, side: str, order: str) -> str:
+        # A descending order makes "next" a growing frame; an ascending one would rescan the
+        # rest of the partition for every row.
+        end = f"CASE WHEN `_{side}_t_{c}` IS NOT NULL THEN named_struct('t', `_{side}_t_{c}`, 'v', `_{side}_v_{c}`) END"
+        by = f"PARTITION BY {series} " if keys else ""
+        return f"last({end}, true) OVER ({by}ORDER BY {PIECE} {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+
+    beyond = []
     for c in cols:
-        for short in ("t", "v"):
-            carried += [
-                F.last(f"_l{short}_{c}", ignorenulls=True).over(up).alias(f"_cp{short}_{c}"),
-                F.last(f"_f{short}_{c}", ignorenulls=True).over(down).alias(f"_cn{short}_{c}"),
-            ]
-    joined = join_same(cut, summary.select(*keys, PIECE, *carried), [*keys, PIECE])
-    fwd = Window.partitionBy(*keys, PIECE).orderBy(F.col(time)).rowsBetween(Window.unboundedPreceding, 0)
-    bwd = Window.partitionBy(*keys, PIECE).orderBy(F.col(time).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    near, spare = [], []
+        beyond.append(f"{carried(c, 'last', 'ASC')} AS `_earlier_{c}`")
+        beyond.append(f"{carried(c, 'first', 'DESC')} AS `_later_{c}`")
+    names = [f"`{k}`" for k in keys]
+    summary = summary.selectExpr(*names, PIECE, *beyond)
+    # One summary row per piece: hashed per partition, next to rows that stay where the windows
+    # need them. Without the hint Spark may broadcast the rows instead.
+    joined = cut.join(summary.hint("shuffle_hash"), [*keys, PIECE])
+
+    def nearest(c: str, spare: str, order: str) -> str:
+        by = ", ".join([*names, PIECE])
+        own = seen(c, f"named_struct('t', `{time}`, 'v', `{c}`)")
+        frame = f"PARTITION BY {by} ORDER BY `{time}` {order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+        return f"coalesce(last({own}, true) OVER ({frame}), `{spare}`)"
+
+    near = []
     for c in cols:
-        for short, what in (("t", seen(c)), ("v", F.col(c))):
-            near += [
-                F.coalesce(F.last(what, True).over(fwd), F.col(f"_cp{short}_{c}")).alias(f"_p{short}_{c}"),
-                F.coalesce(F.last(what, True).over(bwd), F.col(f"_cn{short}_{c}")).alias(f"_n{short}_{c}"),
-            ]
-            spare += [f"_cp{short}_{c}", f"_cn{short}_{c}"]
-    return joined.select("*", *near).drop(PIECE, *spare)
+        near.append(f"{nearest(c, f'_earlier_{c}', 'ASC')} AS `_before_{c}`")
+        near.append(f"{nearest(c, f'_later_{c}', 'DESC')} AS `_after_{c}`")
+    return joined.selectExpr(*[f"`{c}`" for c in df.columns], *near)

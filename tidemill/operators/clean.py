@@ -36,23 +36,35 @@ def time_steps(
     order: Sequence[str] | None = None,
     piece: Column | None = None,
 ) -> DataFrame:
-    """(keys, order, time, previous time, step in seconds) for every row, in `order`.
+    """(keys, [order,] time, previous, step_seconds, n_rows): the step from each row to the last.
 
-    `order` is time order by default; pass source columns to check rows as they were read, with
-    `piece` a column that grows with that order and cuts the series. A series' first row has a
-    null step. Only the first row of each piece needs its predecessor from another piece, and
-    that comes from a summary of one row per piece.
+    In time order (the default) rows of one time are counted first, however many they are: one
+    line for the step to that time and, for repeats, one line with step 0; `n_rows` says how many
+    rows have the step. With `order`, steps follow other columns (rows as they were read) and
+    `piece` is a column that grows with that order and cuts the series. A series' first row has a
+    null step.
+
+    Only the first row of each piece needs its predecessor from another piece, and that comes
+    from a summary of one row per piece.
     """
-    order = list(order or [time])
-    cols = list(dict.fromkeys([*keys, *order, time]))
-    if piece is None:
-        cut = with_piece(df.select(*cols), time, piece_width(df, keys, time))
+    if order is None:
+        times = df.groupBy(*keys, time).agg(F.count(F.lit(1)).alias("n_rows"))
+        cut = with_piece(times, time, piece_width(times, keys, time))
+        steps = _steps(cut, keys, time, [*keys, time, "n_rows"], [time])
+        repeats = steps.where(F.col("n_rows") > 1)
+        repeats = repeats.withColumns({"previous": F.col(time), "n_rows": F.col("n_rows") - 1})
+        steps = steps.withColumn("n_rows", F.lit(1).cast("long")).unionByName(repeats)
     else:
+        cols = list(dict.fromkeys([*keys, *order, time]))
         cut = df.select(*cols, piece.alias(PIECE))
+        steps = _steps(cut, keys, time, cols, order).withColumn("n_rows", F.lit(1).cast("long"))
+    step = (epoch_micros(time) - epoch_micros("previous")) / F.lit(1_000_000)
+    return steps.withColumn("step_seconds", step)
+
+
+def _steps(cut: DataFrame, keys: Sequence[str], time: str, cols: Sequence[str], order: Sequence[str]) -> DataFrame:
     inside = Window.partitionBy(*keys, PIECE).orderBy(*order)
-    ranked = cut.withColumn("previous", F.lag(time).over(inside)).withColumn(
-        "_row", F.row_number().over(inside)
-    )
+    ranked = cut.withColumns({"previous": F.lag(time).over(inside), "_row": F.row_number().over(inside)})
     later_rows = ranked.where(F.col("_row") > 1).select(*cols, "previous")
     position = F.struct(*order)
     ends = cut.groupBy(*keys, PIECE).agg(
@@ -61,14 +73,13 @@ def time_steps(
     )
     across = Window.partitionBy(*keys).orderBy(PIECE)
     heads = ends.withColumn("previous", F.lag("_tail").over(across)).select("_head.*", "previous")
-    step = (epoch_micros(time) - epoch_micros("previous")) / F.lit(1_000_000)
-    return later_rows.unionByName(heads).withColumn("step_seconds", step)
+    return later_rows.unionByName(heads)
 
 
 def step_histogram(df: DataFrame, keys: Sequence[str], time: str, order=None, piece=None) -> DataFrame:
     """Number of rows per step to the previous row (first rows have no step)."""
     steps = time_steps(df, keys, time, order, piece).where(F.col("step_seconds").isNotNull())
-    return steps.groupBy(*keys, "step_seconds").agg(F.count(F.lit(1)).alias("n_rows"))
+    return steps.groupBy(*keys, "step_seconds").agg(F.sum("n_rows").alias("n_rows"))
 
 
 def discontinuities(
@@ -80,7 +91,7 @@ def discontinuities(
     order=None,
     piece=None,
 ) -> DataFrame:
-    """Rows whose step is not `expected` (first rows count), or whose step is one of `among`."""
+    """Steps that are not `expected` (first rows count), or that are one of `among`."""
     steps = time_steps(df, keys, time, order, piece)
     if among is not None:
         return steps.where(F.col("step_seconds").isin(*among))

@@ -4,20 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from tidemill.functions.timecols import epoch_micros
+from tidemill.functions.timecols import micros
 from tidemill.operators.buckets import ROWS_PER_PIECE, carry_neighbours, over_rows
 
 
-def _near(c: str) -> tuple[Column, Column, Column, Column]:
-    return tuple(F.col(f"_{side}_{c}") for side in ("pt", "pv", "nt", "nv"))
-
-
-def _drop_near(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    return df.drop(*[f"_{side}_{c}" for c in cols for side in ("pt", "pv", "nt", "nv")])
-
-
 def interpolate_time(
     df: DataFrame,
     keys: Sequence[str],
@@ -25,34 +17,37 @@ def interpolate_time(
     cols: Sequence[str],
     step: int,
     both_edges: bool = False,
+    flag: str | None = None,
 ) -> DataFrame:
     """Straight line in time between the surrounding values.
 
     After the last value the last value holds. Before the first value rows stay null, or take
-    the first value with `both_edges`.
+    the first value with `both_edges`. `flag` names a 0/1 column: any cell was null before filling.
     """
     near = carry_neighbours(df, keys, time, cols, step * ROWS_PER_PIECE)
-    now = epoch_micros(time)
-    filled = {}
-    for c in cols:
-        pt, pv, nt, nv = _near(c)
-        slope = (nv - pv) / (epoch_micros(nt) - epoch_micros(pt))
-        line = slope * (now - epoch_micros(pt)) + pv
-        value = F.when(F.col(c).isNotNull(), F.col(c).cast("double"))
-        value = value.when(pt.isNotNull() & nt.isNotNull(), line)
-        value = value.when(pt.isNotNull(), pv.cast("double"))
-        filled[c] = value.when(nt.isNotNull(), nv.cast("double")) if both_edges else value
-    return _drop_near(near.withColumns(filled), cols).select(*df.columns)
+
+    def line(c: str) -> str:
+        b, a = f"`_before_{c}`", f"`_after_{c}`"
+        span = f"({micros(a + '.t')} - {micros(b + '.t')})"
+        straight = f"({a}.v - {b}.v) / {span} * ({micros(f'`{time}`')} - {micros(b + '.t')}) + {b}.v"
+        edge = f" WHEN {a} IS NOT NULL THEN {a}.v" if both_edges else ""
+        return (
+            f"CAST(CASE WHEN `{c}` IS NOT NULL THEN `{c}` WHEN {b} IS NOT NULL AND {a} IS NOT NULL THEN {straight} "
+            f"WHEN {b} IS NOT NULL THEN {b}.v{edge} END AS DOUBLE) AS `{c}`"
+        )
+
+    out = [line(c) if c in cols else f"`{c}`" for c in df.columns]
+    if flag:
+        nulls = [f"`{c}` IS NULL" for c in df.columns if c not in (*keys, time)]
+        out.append(f"CAST({' OR '.join(nulls)} AS INT) AS `{flag}`")
+    return near.selectExpr(*out)
 
 
 def fill_midpoint(df: DataFrame, keys: Sequence[str], time: str, cols: Sequence[str], step: int) -> DataFrame:
     """A gap takes the mean of the values around it; gaps at an edge stay null."""
     near = carry_neighbours(df, keys, time, cols, step * ROWS_PER_PIECE)
-    filled = {}
-    for c in cols:
-        _, pv, _, nv = _near(c)
-        filled[c] = F.coalesce(F.col(c), (pv + nv) / 2)
-    return _drop_near(near.withColumns(filled), cols).select(*df.columns)
+    middle = {c: f"coalesce(`{c}`, (`_before_{c}`.v + `_after_{c}`.v) / 2) AS `{c}`" for c in cols}
+    return near.selectExpr(*[middle.get(c, f"`{c}`") for c in df.columns])
 
 
 def fill_neighbour_mean(

@@ -7,7 +7,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from tidemill.functions.timecols import epoch_seconds, floor_time, seconds_interval
-from tidemill.operators.buckets import join_same
 
 _POINTS_PER_BLOCK = 4_096
 
@@ -35,9 +34,7 @@ def reindex(df: DataFrame, keys: Sequence[str], time: str, step: int) -> DataFra
     """The rows of `df` (one per series and time) put on the regular grid; gaps become null rows."""
     rest = [c for c in df.columns if c not in (*keys, time)]
     grid = regular_grid(df, keys, time, step)
-    if not keys:
-        return grid.join(df, time, "left").select(time, *rest)
-    return join_same(grid, df, [*keys, time], "left").select(*keys, time, *rest)
+    return grid.join(df, [*keys, time], "left").select(*keys, time, *rest)
 
 
 def resample_mean(
@@ -56,7 +53,7 @@ def resample_month_mean(df: DataFrame, keys: Sequence[str], time: str, cols: Seq
     span = means.groupBy(*keys).agg(F.min(time).alias("_lo"), F.max(time).alias("_hi"))
     months = F.sequence(F.trunc("_lo", "month"), F.trunc("_hi", "month"), F.expr("interval 1 month"))
     grid = span.select(*keys, F.explode(months).alias("_month")).select(*keys, F.last_day("_month").alias(time))
-    return join_same(grid, means, [*keys, time], "left").withColumn(time, F.col(time).cast("timestamp_ntz"))
+    return grid.join(means, [*keys, time], "left").withColumn(time, F.col(time).cast("timestamp_ntz"))
 
 
 def resample_sum(df: DataFrame, keys: Sequence[str], time: str, sums: Mapping[str, str], step: int) -> DataFrame:

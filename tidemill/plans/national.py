@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import NumericType
 
 from tidemill.functions.calendar import with_calendar, with_cycles
-from tidemill.functions.numeric import any_null, round_half_even, row_sum, safe_ratio
+from tidemill.functions.numeric import round_half_even, row_sum, safe_ratio
 from tidemill.functions.timecols import HALF_HOUR, parse_day, slot_timestamp
 from tidemill.operators.clean import dedup_keep_first, union_by_name
 from tidemill.operators.features import lag_and_rolling
@@ -37,10 +38,8 @@ def clean_slots(
     stacked = stack_sources(sources, date, slot, time).drop(*drop)
     unique = dedup_keep_first(stacked, [time], ["_source", date, slot]).drop("_source", date)
     gridded = reindex(unique, [], time, step)
-    values = [c for c in gridded.columns if c != time]
-    flagged = gridded.withColumn("is_interpolated", any_null(values))
-    numeric = [f.name for f in gridded.schema.fields if f.name in values and f.dataType.typeName() != "string"]
-    filled = interpolate_time(flagged, [], time, numeric, step)
+    numeric = [f.name for f in gridded.schema.fields if isinstance(f.dataType, NumericType)]
+    filled = interpolate_time(gridded, [], time, numeric, step, flag="is_interpolated")
     return filled.withColumns({c: round_half_even(c) for c in numeric})
 
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame
+from pyspark.sql.types import NumericType
 
 from tidemill.functions.calendar import with_calendar
 from tidemill.functions.timecols import HOUR
@@ -39,7 +40,7 @@ def clean_panel(
     whole = fill_midpoint(regular, [key, part], time, [value], step).drop(part)
     merged = left_join_time(whole, weather, time, weather_order)
     merged = skip_first(merged, [key], time, skip).drop(*drop)
-    numeric = [f.name for f in merged.schema.fields if f.name not in (key, time) and f.dataType.typeName() != "string"]
+    numeric = [f.name for f in merged.schema.fields if f.name not in (key, time) and isinstance(f.dataType, NumericType)]
     return interpolate_time(merged, [key], time, numeric, step, both_edges=True)
 
 

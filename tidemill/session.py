@@ -11,7 +11,7 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
 def build_session(app: str = "tidemill", master: str | None = None, **conf: str) -> SparkSession:
-    """Session with the settings the library is written for; `conf` uses `_` for `.`."""
+    """Session with the settings the library is written for; names in `conf` use `_` for `.`."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
@@ -21,6 +21,8 @@ def build_session(app: str = "tidemill", master: str | None = None, **conf: str)
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        # Call sites of single column expressions are not needed, and plans hold many of them.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
     settings.update({k.replace("_", "."): v for k, v in conf.items()})
     for key, value in settings.items():
