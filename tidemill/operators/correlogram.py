@@ -87,4 +87,5 @@ def partial_autocorrelation(acf: DataFrame, keys: Sequence[str], z: float = Z_95
 
     key_types = [f"`{f.name}` {f.dataType.simpleString()}" for f in acf.select(*keys).schema.fields]
     schema = ", ".join([*key_types, "lag int", "pacf double", "lower double", "upper double"])
-    return acf.groupBy(*(keys or [F.lit(0)])).applyInPandas(recursion, schema)
+    group = list(keys) or ["_series"]
+    return acf.withColumns({} if keys else {"_series": F.lit(0)}).groupBy(*group).applyInPandas(recursion, schema)
