@@ -161,12 +161,9 @@ _BEST = " UNION ALL ".join(
 @query(f"WITH {I.INTERVALS}, {_WEIGHTS}, {_PINBALL} {_BEST}")
 def blend_weight_pinball(spark, sf_dir):
     """Last week's value blended with each bound of an interval forecast."""
-    iv = I.intervals(spark, sf_dir)
-    parts = [
-        B.best_weight_pinball(iv, "y", "a", name, q).select(F.lit(name).alias("quantile"), "weight", F.round("pinball", 4).alias("pinball"))
-        for name, q in _Q3.items()
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    rows = B.per_quantile(I.intervals(spark, sf_dir), "y", {name: ("a", name, q) for name, q in _Q3.items()})
+    best = B.best_weight_pinball(rows, "y", "a", "b", "q", ["quantile"])
+    return best.withColumn("pinball", F.round("pinball", 4))
 
 
 @query(f"WITH {I.FORECASTS} SELECT ts, round(0.25 * a + (1 - 0.25) * b, 4) AS blended FROM fc")

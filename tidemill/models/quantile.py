@@ -16,7 +16,7 @@ from tidemill.session import cut_lineage
 
 # Name -> probability of the three forecasts (a 98 % interval and the median).
 QUANTILES = {"lower": 0.01, "median": 0.5, "upper": 0.99}
-_ROWS_BETWEEN_CHECKPOINTS = 5
+_ROUNDS_BETWEEN_CHECKPOINTS = 5
 
 
 @dataclass
@@ -61,7 +61,8 @@ class QuantileBoosting:
         """With `val` and `patience`, stops once that many rounds bring no better loss on it."""
         y = F.col(self.target).cast("double")
         cols = [*self.features, self.target]
-        self.start = exact_quantiles(train, [], self.target, {"q": self.q}).first()["q"]
+        n = train.count()
+        self.start = exact_quantiles(train, [], self.target, {"q": self.q}, most_rows=n).first()["q"]
         state = self._assemble(train.select(*cols)).select("_x", y.alias("_y"), F.lit(self.start).alias("_f"))
         state = cut_lineage(state)
         watch = None
@@ -84,14 +85,14 @@ class QuantileBoosting:
             sample = rows if self.subsample >= 1 else rows.sample(self.subsample, seed=self.random_state + i)
             tree = learner.fit(sample)
             residuals = tree.transform(rows).select("_leaf", (F.col("_y") - F.col("_f")).alias("_r"))
-            table = exact_quantiles(residuals, ["_leaf"], "_r", {"v": self.q}).collect()
+            table = exact_quantiles(residuals, ["_leaf"], "_r", {"v": self.q}, most_rows=n).collect()
             values = {row["_leaf"]: row["v"] for row in table}
             self.trees.append(tree)
             self.leaves.append(values)
             state = self._step(state, tree, values, "_f")
             if watch is not None:
                 watch = self._step(watch, tree, values, "_f")
-            if (i + 1) % _ROWS_BETWEEN_CHECKPOINTS == 0:
+            if (i + 1) % _ROUNDS_BETWEEN_CHECKPOINTS == 0:
                 state = cut_lineage(state)
                 watch = None if watch is None else cut_lineage(watch)
             if watch is not None:

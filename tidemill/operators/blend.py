@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -36,53 +36,70 @@ def best_weight_rmse(df: DataFrame, y: str, a: str, b: str, by: Sequence[str] =
     )
 
 
-def best_weight_pinball(df: DataFrame, y: str, a: str, b: str, q: float, by: Sequence[str] = ()) -> DataFrame:
-    """(by, weight, pinball). One pass, no candidate-by-row product.
+def per_quantile(df: DataFrame, y: str, pairs: Mapping[str, tuple[str, str, float]], keep: Sequence[str] = ()) -> DataFrame:
+    """One row per (row, quantile): `quantile, y, a, b, q` for name -> (column a, column b, q)."""
+    parts = [
+        F.struct(F.lit(name).alias("quantile"), F.col(a).alias("a"), F.col(b).alias("b"), F.lit(q).alias("q"))
+        for name, (a, b, q) in pairs.items()
+    ]
+    return df.select(*keep, F.col(y).alias("y"), F.explode(F.array(*parts)).alias("_p")).select(*keep, "y", "_p.*")
 
-    A row's loss is linear in the weight on either side of the weight at which its error changes
-    sign. Rows are summed up by the first candidate past that point; running sums over the
-    candidates then give the loss of every weight.
+
+def best_weight_pinball(
+    df: DataFrame, y: str, a: str, b: str, q: float | str, by: Sequence[str] = ()
+) -> DataFrame:
+    """(by, weight, pinball) for the quantile `q` (a number, or a column that is constant per `by`).
+
+    One pass, no candidate-by-row product. A row's loss is linear in the weight on either side of
+    the weight at which its error changes sign. Rows are summed up by the first candidate past
+    that point; running sums over the at most 1,002 cells then give the loss of every weight.
     """
+    q = F.col(q) if isinstance(q, str) else F.lit(q)
     e, d = F.col(y) - F.col(b), F.col(a) - F.col(b)
-    # The error e - w d is positive up to the break when d > 0, and after it when d < 0.
-    at = F.try_divide(e, d)
-    rising = F.when(d == 0, e > 0).otherwise(d < 0)
+    # The error e - w d falls with the weight when d > 0 and rises when d < 0.
     first_past = F.when(d == 0, F.lit(STEPS + 1)).otherwise(
-        F.ceil(F.greatest(F.lit(0.0), F.least(F.lit(STEPS + 1.0), at * STEPS)))
-    )
-    before = F.when(d == 0, F.when(rising, F.lit(q)).otherwise(F.lit(q - 1))).otherwise(
-        F.when(d > 0, F.lit(q)).otherwise(F.lit(q - 1))
+        F.ceil(F.greatest(F.lit(0.0), F.least(F.lit(STEPS + 1.0), F.try_divide(e, d) * STEPS)))
     )
-    after = F.when(d == 0, before).otherwise(F.when(d > 0, F.lit(q - 1)).otherwise(F.lit(q)))
+    start = F.when((d > 0) | ((d == 0) & (e > 0)), q).otherwise(q - 1)
+    end = F.when(d == 0, start).when(d > 0, q - 1).otherwise(q)
     rows = df.where(e.isNotNull() & d.isNotNull()).select(
-        *by, first_past.cast("int").alias("_i"), e.alias("_e"), d.alias("_d"), before.alias("_qb"), after.alias("_qa")
-    )
-    cells = rows.groupBy(*by, "_i").agg(
-        F.sum(F.col("_qb") * F.col("_e")).alias("_be"),
-        F.sum(F.col("_qb") * F.col("_d")).alias("_bd"),
-        F.sum(F.col("_qa") * F.col("_e")).alias("_ae"),
-        F.sum(F.col("_qa") * F.col("_d")).alias("_ad"),
-        F.count(F.lit(1)).alias("_n"),
-    )
-    grid = cells.select(*by).distinct() if by else cells.agg(F.count(F.lit(1)).alias("_any")).where("_any > 0")
-    empty = grid.select(*by, F.explode(F.sequence(F.lit(0), F.lit(STEPS + 1))).alias("_i"))
-    sums = ["_be", "_bd", "_ae", "_ad", "_n"]
-    filled = empty.select(*by, "_i", *[F.lit(0).cast("double").alias(s) for s in sums]).unionByName(
-        cells.withColumn("_n", F.col("_n").cast("double"))
+        *by, first_past.cast("int").alias("_i"), (start * e).alias("_be"), (start * d).alias("_bd"),
+        (end * e).alias("_ae"), (end * d).alias("_ad"),
     )
-    table = filled.groupBy(*by, "_i").agg(*[F.sum(s).alias(s) for s in sums])
+    sums = ["_be", "_bd", "_ae", "_ad"]
+    cells = rows.groupBy(*by, "_i").agg(*[F.sum(s).alias(s) for s in sums], F.count(F.lit(1)).alias("_n"))
     order = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_i")
     past = order.rowsBetween(Window.unboundedPreceding, 0)
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    w = F.col("_i") / STEPS
-
-    def upto(c: str) -> Column:
-        return F.sum(c).over(past)
-
-    def beyond(c: str) -> Column:
-        return F.sum(c).over(whole) - F.sum(c).over(past)
+    running = cells.select(
+        *by,
+        "_i",
+        (F.lead("_i", 1, STEPS + 1).over(order) - 1).alias("_to"),
+        (F.row_number().over(order) == 1).alias("_first"),
+        *[F.sum(s).over(past).alias(s) for s in ("_ae", "_ad")],
+        *[F.sum(s).over(whole).alias(f"_all{s}") for s in ("_be", "_bd", "_n")],
+        *[F.sum(s).over(past).alias(f"_past{s}") for s in ("_be", "_bd")],
+    )
 
-    loss = (upto("_ae") - w * upto("_ad")) + (beyond("_be") - w * beyond("_bd"))
-    scored = table.withColumn("_loss", loss / F.sum("_n").over(whole)).where(F.col("_i") <= STEPS)
-    best = F.min(F.struct("_loss", "_i")).alias("_b")
-    return scored.groupBy(*by).agg(best).select(*by, (F.col("_b._i") / STEPS).alias("weight"), F.col("_b._loss").alias("pinball"))
+    def stretch(start: Column, stop: Column, counted: bool) -> Column:
+        """Weights from..to that share one set of running sums."""
+        zero = F.lit(0.0)
+        return F.struct(
+            start.alias("start"),
+            stop.alias("stop"),
+            (F.col("_ae") if counted else zero).alias("ae"),
+            (F.col("_ad") if counted else zero).alias("ad"),
+            (F.col("_all_be") - F.col("_past_be") if counted else F.col("_all_be")).alias("be"),
+            (F.col("_all_bd") - F.col("_past_bd") if counted else F.col("_all_bd")).alias("bd"),
+        )
+
+    own = stretch(F.col("_i"), F.col("_to"), True)
+    head = F.when(F.col("_first"), stretch(F.lit(0), F.col("_i") - 1, False))
+    stretches = F.filter(F.array(own, head), lambda s: s.isNotNull() & (s["start"] <= s["stop"]))
+    tried = running.select(*by, "_all_n", F.explode(stretches).alias("_s")).select(
+        *by, "_all_n", "_s.*", F.explode(F.sequence("_s.start", "_s.stop")).alias("_w")
+    )
+    w = F.col("_w") / STEPS
+    loss = (F.col("ae") - w * F.col("ad") + F.col("be") - w * F.col("bd")) / F.col("_all_n")
+    best = F.min(F.struct(loss.alias("_loss"), F.col("_w"))).alias("_b")
+    return tried.groupBy(*by).agg(best).select(*by, (F.col("_b._w") / STEPS).alias("weight"), F.col("_b._loss").alias("pinball"))

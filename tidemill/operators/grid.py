@@ -18,11 +18,14 @@ def regular_grid(df: DataFrame, keys: Sequence[str], time: str, step: int) -> Da
     """
     span = df.groupBy(*keys).agg(F.min(time).alias("_lo"), F.max(time).alias("_hi"))
     steps = F.floor((epoch_seconds("_hi") - epoch_seconds("_lo")) / step)
+    # A fixed number of partitions: block rows are tiny before they expand, so adaptive execution
+    # would merge them all into one task.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = (
         span.where(F.col("_lo").isNotNull())
         .withColumn("_steps", steps)
         .withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("_steps") / _POINTS_PER_BLOCK))))
-        .repartition(*keys, "_block")
+        .repartition(tasks, *keys, "_block")
     )
     start = F.col("_block") * _POINTS_PER_BLOCK
     stop = F.least(start + _POINTS_PER_BLOCK - 1, F.col("_steps"))

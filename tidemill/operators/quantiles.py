@@ -19,11 +19,20 @@ def exact_quantiles(
     value: str,
     probs: Mapping[str, float],
     direct_rows: int = DIRECT_ROWS,
+    most_rows: int | None = None,
 ) -> DataFrame:
-    """One row per group with one column per entry of `probs` (name -> probability)."""
+    """One row per group with one column per entry of `probs` (name -> probability).
+
+    `most_rows`: rows of the largest group, or any number known to be no smaller; counted when
+    not given.
+    """
     seen = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    sizes = seen.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    largest = sizes.agg(F.max("_n")).first()[0] or 0
+    largest = most_rows
+    if largest is None:
+        sizes = seen.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+        largest = sizes.agg(F.max("_n")).first()[0] or 0
+    if largest > direct_rows and most_rows is not None:
+        return exact_quantiles(df, keys, value, probs, direct_rows)
     if largest <= direct_rows:
         picked = seen.groupBy(*keys).agg(F.percentile("_v", list(probs.values())).alias("_q"))
         return picked.select(*keys, *[F.col("_q")[i].alias(name) for i, name in enumerate(probs)])
