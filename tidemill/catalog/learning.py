@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemill.catalog import inputs as I
 from tidemill.catalog.registry import registry
+from tidemill.catalog.series import clean_panel_of_orders
 from tidemill.functions.calendar import with_calendar, with_cycles
 from tidemill.functions.timecols import DAY
 from tidemill.models import regressors as R
@@ -14,10 +15,12 @@ from tidemill.models.forecaster import PREDICTION, Forecaster
 from tidemill.models.knn import knn_predict, nearest
 from tidemill.models.quantile import fit_interval, predict_interval, residual_interval as band_from_errors
 from tidemill.models.search import boost_with_early_stop, draw, expand_grid, search
-from tidemill.operators import blend as B, metrics as M, split as X
+from tidemill.operators import blend as B, filters, metrics as M, split as X
 from tidemill.operators.features import lag_and_rolling
 from tidemill.operators.joins import stack_predictions
 from tidemill.operators.scale import fit_scaler
+from tidemill.plans.panel import panel_features
+from tidemill.plans.training import prepare, tune_and_refit
 from tidemill.session import scratch_path
 from tidemill.sources.tables import materialise
 
@@ -261,17 +264,20 @@ _INPUTS = [
 _SCALED_INPUTS = [c for c in _INPUTS if c.startswith("v_")]
 
 
-def _daily_features(spark, sf_dir):
-    """Features of the daily series, split by years, scaled by what the training rows show.
-
-    Written once: models read it many times.
-    """
+def _daily_rows(spark, sf_dir):
+    """Features of the daily series, written once: models read them many times."""
     base = lag_and_rolling(I.daily_filled(spark, sf_dir), [], "ts", "v", _LAGS, (7, 28), DAY)
     rows = with_cycles(with_calendar(base, "ts")).dropna("any")
-    split = X.split_three_way(rows, "ts")
-    stored = materialise(split, scratch_path(spark, "features"))
-    scaler = fit_scaler(stored.where("split = 'train'"), _SCALED_INPUTS)
-    return scaler.transform(stored)
+    return materialise(rows, scratch_path(spark, "features"))
+
+
+_UNSCALED = [c for c in _INPUTS if c not in _SCALED_INPUTS]
+
+
+def _daily_features(spark, sf_dir):
+    """The daily rows split by years and scaled by what the training rows show."""
+    rows = _daily_rows(spark, sf_dir)
+    return prepare(rows, "ts", _INPUTS, "v", _UNSCALED, holdout_years=1, val_years=1).rows
 
 
 def _parts(df):
@@ -423,6 +429,88 @@ def gbt_early_stop(spark, sf_dir):
     return found.losses.withColumn("best_iteration", F.lit(found.best_iteration))
 
 
+@query()
+def tune_older_refit_newer(spark, sf_dir):
+    """Settings chosen with the last three years held out, model refitted with one year held out."""
+    rows = _daily_rows(spark, sf_dir)
+    older, final = (prepare(rows, "ts", _INPUTS, "v", _UNSCALED, holdout_years=n) for n in (3, 1))
+    make = lambda p: Forecaster(R.robust_linear(max_iter=20, **p), _INPUTS, "v", "standard")
+    model, _ = tune_and_refit(older, final, "ts", [], make, expand_grid({"C": [0.1, 10.0]}), n_splits=3)
+    return _scored(model, final.test)
+
+
+@query()
+def panel_forecast(spark, sf_dir):
+    """One model for a panel of series; one series' year is held out and scored in its own unit.
+
+    The target is learnt as log(1 + v); the held-out rows are scaled with the training rows'
+    parameters.
+    """
+    panel = panel_features(clean_panel_of_orders(spark, sf_dir), "series", "ts", "power", ["temperature"], (1, 7, 28), DAY)
+    rows = with_cycles(panel)
+    held_out = (F.col("series") == "1-URGENT") & (F.year("ts") == 2000)
+    stored = materialise(rows.withColumn("held_out", F.coalesce(held_out, F.lit(False))), scratch_path(spark, "panel"))
+    test, train = filters.split_by_mask(stored, F.col("held_out"))
+    scaled = ["temperature", "power_lag_1", "power_lag_7", "power_lag_28"]
+    scaler = fit_scaler(train, scaled)
+    features = [*scaled, "is_weekend", "weekday_sin", "weekday_cos", "month_sin", "month_cos"]
+    model = Forecaster(R.gradient_boosting(n_estimators=10), features, "power", "log1p").fit(scaler.transform(train))
+    scored = model.predict(scaler.transform(test))
+    row = M.point_metrics(scored, "power", PREDICTION, scores=("rmse", "mae", "sd", "r2", "smape"))
+    return row.withColumn("mape", scored.agg(M.mape_shifted("power", PREDICTION)).scalar())
+
+
+_FAMILIES = {
+    "scaled": {"lower": "b * 0.6::DOUBLE", "median": "b", "upper": "b * 1.4::DOUBLE"},
+    "shifted": {"lower": "a * 0.5::DOUBLE", "median": "a", "upper": "a * 1.5::DOUBLE"},
+}
+_FAMILY_COLUMNS = ", ".join(f"{e} AS {f}_{n}" for f, cols in _FAMILIES.items() for n, e in cols.items())
+
+
+def _ensemble_sql() -> str:
+    losses, picks = [], []
+    for n, q in _Q3.items():
+        e = f"(y - (weight * scaled_{n} + (1 - weight) * shifted_{n}))"
+        losses.append(f"l_{n} AS (SELECT weight, avg(greatest({q} * {e}, ({q} - 1) * {e})) AS loss FROM f, w WHERE split = 'val' GROUP BY weight)")
+        picks.append(f"p_{n} AS (SELECT weight AS w_{n} FROM l_{n} ORDER BY loss, weight LIMIT 1)")
+    mixed = ", ".join(f"w_{n} * scaled_{n} + (1 - w_{n}) * shifted_{n} AS {n}" for n in _Q3)
+    plain = [f"SELECT '{f}' AS model, y, " + ", ".join(f"{f}_{n} AS {n}" for n in _Q3) + " FROM t" for f in _FAMILIES]
+    scores = (
+        "round(avg(CASE WHEN y BETWEEN lower AND upper THEN 1 ELSE 0 END) * 100, 6) AS picp, round(avg(upper - lower), 4) AS mpiw, "
+        f"{_pin('lower', 0.01)} AS pinball_lower, {_pin('median', 0.5)} AS pinball_median, {_pin('upper', 0.99)} AS pinball_upper"
+    )
+    cut = "SELECT max(ts) - INTERVAL 1 YEAR AS c FROM fc"
+    return (
+        f"WITH {I.FORECASTS}, {_WEIGHTS}, c1 AS ({cut}), c2 AS ({cut} WHERE ts < (SELECT c FROM c1)), "
+        f"f AS (SELECT ts, y, CASE WHEN ts >= c1.c THEN 'test' WHEN ts >= c2.c THEN 'val' ELSE 'train' END AS split, {_FAMILY_COLUMNS} FROM fc, c1, c2), "
+        f"{', '.join(losses + picks)}, t AS (SELECT * FROM f WHERE split = 'test'), "
+        f"m AS ({' UNION ALL '.join(plain)} UNION ALL SELECT 'ensemble', y, {mixed} FROM t, p_lower, p_median, p_upper) "
+        f"SELECT model, round(sqrt(avg((median - y) ** 2)), 4) AS rmse, {scores} FROM m GROUP BY 1"
+    )
+
+
+@query(_ensemble_sql())
+def interval_ensemble(spark, sf_dir):
+    """Two interval forecasts blended per quantile with weights from validation rows; scores of
+    both and of the blend on test rows."""
+    exprs = [F.expr(e.replace("::DOUBLE", "D")).alias(f"{f}_{n}") for f, cols in _FAMILIES.items() for n, e in cols.items()]
+    rows = X.split_three_way(I.forecasts(spark, sf_dir).select("ts", "y", *exprs), "ts")
+    stored = materialise(rows, scratch_path(spark, "intervals"))
+    pairs = {n: (f"scaled_{n}", f"shifted_{n}", q) for n, q in _Q3.items()}
+    val = B.per_quantile(stored.where("split = 'val'"), "y", pairs)
+    weights = {r["quantile"]: r["weight"] for r in B.best_weight_pinball(val, "y", "a", "b", "q", ["quantile"]).collect()}
+    mixed = {f"ensemble_{n}": B.blend(a, b, weights[n]) for n, (a, b, _) in pairs.items()}
+    test = stored.where("split = 'test'").withColumns(mixed)
+    models = [
+        F.struct(F.lit(m).alias("model"), *[F.col(f"{m}_{n}").alias(n) for n in _Q3]) for m in (*_FAMILIES, "ensemble")
+    ]
+    long = test.select("y", F.explode(F.array(*models)).alias("_m")).select("y", "_m.*")
+    bands = M.interval_metrics(long, "y", "lower", "median", "upper", by=["model"])
+    points = M.point_metrics(long, "y", "median", ["model"], ["rmse"]).select("model", "rmse")
+    joined = points.join(bands, "model")
+    return joined.select("model", F.round("picp", 6).alias("picp"), *[F.round(c, 4).alias(c) for c in joined.columns if c not in ("model", "picp")])
+
+
 @query()
 def ensemble_leaderboard(spark, sf_dir):
     """Two tuned models, their blend weight from validation rows, and scores of all three on test."""

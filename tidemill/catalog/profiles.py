@@ -106,6 +106,16 @@ def iqr_outliers(spark, sf_dir):
     return found.withColumns({c: F.round(c, 4) for c in ("lower", "upper")})
 
 
+@query(
+    f"WITH {I.DAILY_FILLED}, x AS (SELECT ts, v * v AS v FROM dfill WHERE v IS NOT NULL), {_FENCES} "
+    "SELECT ts, v FROM x, b WHERE v < lower OR v > upper ORDER BY ts LIMIT 15"
+)
+def first_outliers(spark, sf_dir):
+    """The first 15 outliers of the squared daily series, for display."""
+    squared = I.daily_filled(spark, sf_dir).withColumn("v", F.col("v") * F.col("v"))
+    return P.iqr_outliers(squared, "v").select("ts", "v").orderBy("ts").limit(15)
+
+
 @query(
     f"WITH {I.EVENTS}, x AS (SELECT v FROM ev), {_FENCES} "
     "SELECT round(any_value(q1), 4) AS q1, round(any_value(q3), 4) AS q3, count(*) FILTER (WHERE v < lower OR v > upper) AS n_outliers FROM x, b"
