@@ -175,7 +175,9 @@ def resample_day_mean(spark, sf_dir):
 
 
 @query(
-    "SELECT o_orderpriority AS series, last_day(o_orderdate)::TIMESTAMP AS ts, avg(round(o_totalprice * 100)) AS power FROM orders GROUP BY 1, 2"
+    "WITH m AS (SELECT o_orderpriority AS series, date_trunc('month', o_orderdate) AS month, avg(round(o_totalprice * 100)) AS power FROM orders GROUP BY 1, 2), "
+    "g AS (SELECT series, unnest(generate_series(min(month), max(month), INTERVAL 1 MONTH)) AS month FROM m GROUP BY 1) "
+    "SELECT g.series, last_day(g.month)::TIMESTAMP AS ts, m.power FROM g LEFT JOIN m ON g.series = m.series AND g.month = m.month"
 )
 def resample_month_mean(spark, sf_dir):
     return grid.resample_month_mean(I.priority_orders(spark, sf_dir), ["series"], "ts", ["power"])
