@@ -63,6 +63,26 @@ def join_same(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "
     return left.join(renamed, cond, how).drop(*names.values())
 
 
+# A per-group table of up to this many rows may be broadcast.
+SMALL_GROUPS = 10_000
+
+
+def group_sizes(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
+    """(number of groups, rows of the largest), from one map-side-combined count."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    row = counts.agg(F.count(F.lit(1)), F.coalesce(F.max("_n"), F.lit(0))).first()
+    return row[0], row[1]
+
+
+def join_per_group(df: DataFrame, per_group: DataFrame, keys: Sequence[str], n_groups: int) -> DataFrame:
+    """Attach one row per group to all rows. Few groups (as counted before) are broadcast, so the
+    rows stay where they are; many are joined by shuffle.
+    """
+    if not keys:
+        return df.withColumns({c: per_group.select(c).scalar() for c in per_group.columns})
+    return join_same(df, F.broadcast(per_group) if n_groups <= SMALL_GROUPS else per_group, keys)
+
+
 def with_ordinal(
     df: DataFrame,
     keys: Sequence[str],
@@ -89,7 +109,7 @@ def with_ordinal(
     )
 
 
-def _with_halo(df: DataFrame, position: Column, width: int, back: int, ahead: int) -> DataFrame:
+def with_halo(df: DataFrame, position: Column, width: int, back: int, ahead: int) -> DataFrame:
     """Send each row to its own piece and to the pieces whose windows reach it."""
     first, last = F.floor((position - ahead) / width), F.floor((position + back) / width)
     out = df.withColumn("_home", F.floor(position / width))
@@ -115,11 +135,11 @@ def over_rows(
     """
     rows = max(rows_per_piece, 4 * (back + ahead))
     if step:
-        halo = _with_halo(df, epoch_seconds(time), rows * step, back * step, ahead * step)
+        halo = with_halo(df, epoch_seconds(time), rows * step, back * step, ahead * step)
         helper = []
     else:
         numbered = with_ordinal(df, keys, time, tie, name="_ordinal")
-        halo = _with_halo(numbered, F.col("_ordinal"), rows, back, ahead)
+        halo = with_halo(numbered, F.col("_ordinal"), rows, back, ahead)
         helper = ["_ordinal"]
     spec = Window.partitionBy(*keys, PIECE).orderBy(time, *tie)
     added = [build(spec).alias(name) for name, build in columns.items()]

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemill.functions.timecols import epoch_seconds
-from tidemill.operators.buckets import OWNED, PIECE, ROWS_PER_PIECE, _with_halo, join_same
+from tidemill.operators.buckets import OWNED, PIECE, ROWS_PER_PIECE, group_sizes, join_per_group, with_halo
 
 Z_95 = 1.959963984540054
 
@@ -24,13 +24,11 @@ def autocorrelation(
     """
     stats = df.groupBy(*keys).agg(F.avg(value).alias("_mean"), F.count(value).alias("n"))
     placed = df.select(*keys, (epoch_seconds(time) / step).cast("long").alias("_pos"), F.col(value).alias("_v"))
-    if keys:
-        centred = join_same(placed, stats.select(*keys, "_mean"), keys)
-    else:
-        centred = placed.withColumn("_mean", stats.select("_mean").scalar())
+    n_series = group_sizes(df.select(*keys), keys)[0] if keys else 1
+    centred = join_per_group(placed, stats.select(*keys, "_mean"), keys, n_series)
     centred = centred.select(*keys, "_pos", F.coalesce(F.col("_v") - F.col("_mean"), F.lit(0.0)).alias("_x"))
     width = max(ROWS_PER_PIECE, 8 * lags)
-    pieces = _with_halo(centred, F.col("_pos"), width, back=0, ahead=lags)
+    pieces = with_halo(centred, F.col("_pos"), width, back=0, ahead=lags)
 
     def lag_sums(frame: pd.DataFrame) -> pd.DataFrame:
         base = int(frame[PIECE].iloc[0]) * width
@@ -52,10 +50,7 @@ def autocorrelation(
     by_lag = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("lag")
     total = F.first("_s").over(by_lag)
     acf = summed.withColumn("acf", F.try_divide("_s", total))
-    if keys:
-        acf = join_same(acf, stats.select(*keys, "n"), keys)
-    else:
-        acf = acf.withColumn("n", stats.select("n").scalar())
+    acf = join_per_group(acf, stats.select(*keys, "n"), keys, n_series)
     earlier = by_lag.rowsBetween(Window.unboundedPreceding, -1)
     squares = F.coalesce(F.sum(F.when(F.col("lag") > 0, F.col("acf") ** 2)).over(earlier), F.lit(0.0))
     band = F.when(F.col("lag") == 0, 0.0).otherwise(z * F.sqrt((1 + 2 * squares) / F.col("n")))

@@ -18,9 +18,9 @@ def regular_grid(df: DataFrame, keys: Sequence[str], time: str, step: int) -> Da
     """
     span = df.groupBy(*keys).agg(F.min(time).alias("_lo"), F.max(time).alias("_hi"))
     steps = F.floor((epoch_seconds("_hi") - epoch_seconds("_lo")) / step)
-    # A fixed number of partitions: block rows are tiny before they expand, so adaptive execution
-    # would merge them all into one task.
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # A fixed number of partitions (the cluster's cores): block rows are tiny before they expand,
+    # so adaptive execution would merge them all into one task.
+    tasks = df.sparkSession.sparkContext.defaultParallelism
     blocks = (
         span.where(F.col("_lo").isNotNull())
         .withColumn("_steps", steps)

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemill.operators.buckets import join_same
+from tidemill.operators.buckets import group_sizes, join_per_group
 from tidemill.operators.quantiles import exact_quantiles
 
 
@@ -44,10 +44,12 @@ def iqr_outliers(df: DataFrame, value: str, reach: float = 1.5) -> DataFrame:
 
 def boxplot_stats(df: DataFrame, keys: Sequence[str], value: str, reach: float = 1.5) -> DataFrame:
     """Quartiles, whiskers (last value inside the fences) and number of points outside, per group."""
-    quartiles = exact_quantiles(df, keys, value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    seen = df.select(*keys, value).where(F.col(value).isNotNull())
+    n_groups, largest = group_sizes(seen, keys)
+    quartiles = exact_quantiles(seen, keys, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, most_rows=largest)
     iqr = F.col("q3") - F.col("q1")
     fenced = quartiles.withColumns({"_lo": F.col("q1") - reach * iqr, "_hi": F.col("q3") + reach * iqr})
-    rows = join_same(df.select(*keys, value).where(F.col(value).isNotNull()), fenced, keys)
+    rows = join_per_group(seen, fenced, keys, n_groups)
     inside = F.col(value).between(F.col("_lo"), F.col("_hi"))
     return rows.groupBy(*keys).agg(
         *[F.max(c).alias(c) for c in ("q1", "median", "q3")],

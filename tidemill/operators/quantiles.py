@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemill.operators.buckets import join_same
+from tidemill.operators.buckets import group_sizes, join_per_group
 
 # Spark's `percentile` keeps every distinct value of a group in one task's memory, so it is used
 # only for groups of at most this many rows.
@@ -27,20 +27,18 @@ def exact_quantiles(
     not given.
     """
     seen = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    largest = most_rows
-    if largest is None:
-        sizes = seen.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-        largest = sizes.agg(F.max("_n")).first()[0] or 0
-    if largest > direct_rows and most_rows is not None:
-        return exact_quantiles(df, keys, value, probs, direct_rows)
+    if most_rows is None or most_rows > direct_rows:
+        n_groups, largest = group_sizes(seen, keys)
+    else:
+        n_groups, largest = 0, most_rows
     if largest <= direct_rows:
         picked = seen.groupBy(*keys).agg(F.percentile("_v", list(probs.values())).alias("_q"))
         return picked.select(*keys, *[F.col("_q")[i].alias(name) for i, name in enumerate(probs)])
-    return _bracketed(seen, keys, probs, largest, direct_rows)
+    return _bracketed(seen, keys, probs, n_groups, largest, direct_rows)
 
 
 def _bracketed(
-    seen: DataFrame, keys: Sequence[str], probs: Mapping[str, float], largest: int, direct_rows: int
+    seen: DataFrame, keys: Sequence[str], probs: Mapping[str, float], n_groups: int, largest: int, direct_rows: int
 ) -> DataFrame:
     """For large groups: a sketch brackets each quantile, one more pass ranks only the bracket.
 
@@ -63,7 +61,7 @@ def _bracketed(
         for p in probs.values()
     ]
     brackets = seen.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.array(*cuts).alias("_cuts"))
-    joined = join_same(seen, brackets, keys) if keys else _with_scalar(seen, brackets, ["_n", "_cuts"])
+    joined = join_per_group(seen, brackets, keys, n_groups)
     # Each row goes to the brackets it lies in or below; rows below only add to the count.
     parts = F.filter(
         F.transform(
@@ -103,6 +101,3 @@ def _bracketed(
         *[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(name) for i, name in enumerate(probs)]
     )
 
-
-def _with_scalar(df: DataFrame, one_row: DataFrame, cols: Sequence[str]) -> DataFrame:
-    return df.withColumns({c: one_row.select(c).scalar() for c in cols})
