@@ -54,7 +54,7 @@ def test_ordinals(panel):
 def test_fill_across_pieces(panel, monkeypatch, rows):
     whole = fill.interpolate_time(panel, ["k"], "ts", ["v"], 3600, both_edges=True)
     middle = fill.fill_midpoint(panel, ["k"], "ts", ["v"], 3600)
-    monkeypatch.setattr(fill, "ROWS_PER_PIECE", rows)
+    monkeypatch.setattr(fill, "ROWS_PER_FILL", rows)
     same(fill.interpolate_time(panel, ["k"], "ts", ["v"], 3600, both_edges=True), whole)
     same(fill.fill_midpoint(panel, ["k"], "ts", ["v"], 3600), middle)
     pdf = panel.where("k = 'hot'").orderBy("ts").toPandas().set_index("ts")

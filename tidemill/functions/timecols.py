@@ -63,7 +63,7 @@ def slot_timestamp(date: str | Column, slot: str | Column, slot_minutes: int = 3
 
 def parse_day(text: str | Column, pattern: str = "d-MMM-yyyy") -> Column:
     """Day text such as 7-Jan-2016 -> TIMESTAMP_NTZ, NULL when it does not parse."""
-    return F.try_to_timestamp(_col(text), F.lit(pattern)).cast("timestamp_ntz")
+    return F.try_to_date(_col(text), pattern).cast("timestamp_ntz")
 
 
 def minus_years(ts: str | Column, years: int) -> Column:

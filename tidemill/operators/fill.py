@@ -7,7 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from tidemill.functions.timecols import micros
-from tidemill.operators.buckets import ROWS_PER_PIECE, carry_neighbours, over_rows
+from tidemill.operators.buckets import carry_neighbours, over_rows
+
+# Fills need no halo, so their pieces are long and the summary (one row per piece) stays small:
+# one series of 10^11 rows has under a million pieces.
+ROWS_PER_FILL = 131_072
 
 
 def interpolate_time(
@@ -24,7 +28,7 @@ def interpolate_time(
     After the last value the last value holds. Before the first value rows stay null, or take
     the first value with `both_edges`. `flag` names a 0/1 column: any cell was null before filling.
     """
-    near = carry_neighbours(df, keys, time, cols, step * ROWS_PER_PIECE)
+    near = carry_neighbours(df, keys, time, cols, step * ROWS_PER_FILL)
 
     def line(c: str) -> str:
         b, a = f"`_before_{c}`", f"`_after_{c}`"
@@ -45,7 +49,7 @@ def interpolate_time(
 
 def fill_midpoint(df: DataFrame, keys: Sequence[str], time: str, cols: Sequence[str], step: int) -> DataFrame:
     """A gap takes the mean of the values around it; gaps at an edge stay null."""
-    near = carry_neighbours(df, keys, time, cols, step * ROWS_PER_PIECE)
+    near = carry_neighbours(df, keys, time, cols, step * ROWS_PER_FILL)
     middle = {c: f"coalesce(`{c}`, (`_before_{c}`.v + `_after_{c}`.v) / 2) AS `{c}`" for c in cols}
     return near.selectExpr(*[middle.get(c, f"`{c}`") for c in df.columns])
 
