@@ -12,7 +12,7 @@ from tidemill.functions.timecols import DAY
 from tidemill.models import regressors as R
 from tidemill.models.compress import Compressor
 from tidemill.models.forecaster import PREDICTION, Forecaster
-from tidemill.models.knn import knn_predict, nearest
+from tidemill.models.knn import distance_mean, nearest, uniform_mean
 from tidemill.models.quantile import fit_interval, predict_interval, residual_interval as band_from_errors
 from tidemill.models.search import boost_with_early_stop, draw, expand_grid, search
 from tidemill.operators import blend as B, filters, metrics as M, split as X
@@ -334,9 +334,7 @@ def knn_forecast(spark, sf_dir):
     """Leave-one-out regression of the label on the vector."""
     vectors = I.table(spark, sf_dir, "embeddings")
     near = nearest(vectors, vectors, "embedding", "vec_id", "label", k=5, exclude_self=True)
-    even = knn_predict(near, "vec_id").select("vec_id", F.round("prediction", 6).alias("uniform"))
-    weighted = knn_predict(near, "vec_id", "distance").select("vec_id", F.round("prediction", 6).alias("by_distance"))
-    return even.join(weighted, "vec_id")
+    return near.groupBy("vec_id").agg(F.round(uniform_mean(), 6).alias("uniform"), F.round(distance_mean(), 6).alias("by_distance"))
 
 
 @query()

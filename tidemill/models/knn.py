@@ -143,12 +143,20 @@ def nearest(
     )
 
 
-def knn_predict(neighbours: DataFrame, id_col: str, weights: str = "uniform") -> DataFrame:
-    """(id, prediction). distance: weight 1/distance; if any distance is 0 only those rows count."""
-    if weights == "uniform":
-        return neighbours.groupBy(id_col).agg(F.avg("neighbour_target").alias("prediction"))
+def uniform_mean() -> Column:
+    """Plain mean of the neighbours' targets, for use per query id."""
+    return F.avg("neighbour_target")
+
+
+def distance_mean() -> Column:
+    """Mean weighted by 1/distance; if any distance is 0 only those rows count."""
     zero = F.col("distance") == 0
-    exact = F.avg(F.when(zero, F.col("neighbour_target")))
     w = F.when(~zero, 1 / F.col("distance"))
     weighted = F.sum(w * F.col("neighbour_target")) / F.sum(w)
-    return neighbours.groupBy(id_col).agg(F.coalesce(exact, weighted).alias("prediction"))
+    return F.coalesce(F.avg(F.when(zero, F.col("neighbour_target"))), weighted)
+
+
+def knn_predict(neighbours: DataFrame, id_col: str, weights: str = "uniform") -> DataFrame:
+    """(id, prediction); weights: uniform or distance."""
+    mean = uniform_mean() if weights == "uniform" else distance_mean()
+    return neighbours.groupBy(id_col).agg(mean.alias("prediction"))
