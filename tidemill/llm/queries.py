@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemill.catalog.registry import registry
-from tidemill.llm import tokens
+from tidemill.llm import jaccard, language, leaks, mixing, tokens
 from tidemill.session import scratch_path
 
 QUERIES, ORACLES, query = registry()
@@ -28,3 +29,54 @@ def token_digests(spark: SparkSession, docs: DataFrame) -> DataFrame:
 @query()
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(spark, table(spark, sf_dir, "documents"))
+
+
+def language_model(docs: DataFrame) -> language.LanguageModel:
+    return language.fit(docs, ~language.held_out(F.col("doc_id")))
+
+
+@query()
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.predict_languages(docs, language_model(docs))
+
+
+@query()
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.linked_components(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+MIX_SQL = r"""
+WITH rows AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+sized AS (SELECT source, sum(size)::BIGINT AS source_size FROM rows GROUP BY source),
+weighed AS (SELECT *, [3, 1, 2][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight FROM sized),
+levels AS (
+  SELECT *, 2.0::DOUBLE * source_size AS cap,
+    1.5::DOUBLE * (SELECT sum(source_size) FROM sized)
+      - coalesce(sum(2.0::DOUBLE * source_size) OVER (up ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+    sum(weight) OVER (ORDER BY 2.0::DOUBLE * source_size / weight DESC, source DESC NULLS FIRST) AS rest_weight,
+    row_number() OVER up AS n
+  FROM weighed WINDOW up AS (ORDER BY 2.0::DOUBLE * source_size / weight, source NULLS LAST)),
+first_free AS (SELECT min(n) AS n FROM levels WHERE rest / rest_weight * weight <= cap),
+free AS (SELECT rest / rest_weight AS level, n FROM levels WHERE n = (SELECT n FROM first_free)),
+targets AS (SELECT l.source, l.source_size, CASE WHEN l.n < f.n THEN l.cap ELSE l.weight * f.level END AS target FROM levels l, free f),
+placed AS (
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5('0:' || coalesce(doc_id::VARCHAR, '')), doc_id, size
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before_row FROM rows)
+SELECT p.doc_id, p.size::BIGINT AS size, t.source_size, t.target,
+  (p.size * ((2 * p.before_row + p.size <= 2 * floor(t.target))::INT + (2 * p.before_row + p.size + 2 * t.source_size <= 2 * floor(t.target))::INT))::BIGINT AS taken
+FROM placed p JOIN targets t ON p.source IS NOT DISTINCT FROM t.source
+"""
+
+
+@query(MIX_SQL)
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    taken, targets, sizes = mixing.by_one_source(table(spark, sf_dir, "documents"))
+    about = spark.createDataFrame([(s, sizes[s], float(t)) for s, t in targets.items()], "source string, source_size long, target double")
+    out = taken.withColumn("of", F.element_at("members", 1)).join(about, F.col("of").eqNullSafe(F.col("source")))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))

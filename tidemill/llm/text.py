@@ -98,6 +98,18 @@ def spans(text: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+_CLOSING = np.isin(_BYTE, np.frombuffer(b".,!?;:*&%$#|", dtype=np.uint8))
+
+
+def without_closing(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Ends of words before their closing punctuation; a word of nothing else keeps its end."""
+    bodies, open_ = ends.copy(), np.arange(len(ends))
+    while len(open_):
+        open_ = open_[(bodies[open_] > starts[open_]) & _CLOSING[text[bodies[open_] - 1]]]
+        bodies[open_] -= 1
+    return np.where(bodies > starts, bodies, ends)
+
+
 def span_hashes(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of pieces of the text, from sums of powers."""
     up, down = _POWERS.of(len(text) + 1)

@@ -25,7 +25,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.llm.text import LOWER, raw, slices, span_hashes, spans
+from tidemill.llm.text import LOWER, raw, slices, span_hashes, spans, without_closing
 from tidemill.session import scratch_path
 
 #: Sequences in a record batch.
@@ -33,9 +33,7 @@ ROWS = 128
 #: Pieces of text that a worker keeps with their ids, about 40 bytes each.
 CACHE_WORDS = 4_000_000
 _MANIFEST = "part int, ids_file string, docs_file string, n_docs long, n_tokens long"
-_ASCII = np.arange(256)
-_CLOSING = np.isin(_ASCII, np.frombuffer(b".,!?;:*&%$#|", dtype=np.uint8))
-_ASCII_ALNUM = np.array([chr(i).isalnum() and i < 128 for i in _ASCII])
+_ASCII_ALNUM = np.array([chr(i).isalnum() and i < 128 for i in range(256)])
 
 
 class PieceEncoder:
@@ -85,11 +83,8 @@ class PieceEncoder:
     def _spans(self, text: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, end) of all pieces, and the first piece of each text."""
         starts, ends, _ = spans(text, offsets)
-        bodies, open_ = ends.copy(), np.arange(len(ends))
-        while len(open_):
-            open_ = open_[(bodies[open_] > starts[open_]) & _CLOSING[text[bodies[open_] - 1]]]
-            bodies[open_] -= 1
-        cut = np.flatnonzero((bodies > starts) & (bodies < ends) & _ASCII_ALNUM[text[np.maximum(bodies - 1, 0)]])
+        bodies = without_closing(text, starts, ends)
+        cut = np.flatnonzero((bodies < ends) & _ASCII_ALNUM[text[bodies - 1]])
         begin = np.insert(starts, cut + 1, bodies[cut])
         return begin, np.insert(ends, cut, bodies[cut]), np.searchsorted(begin, offsets)
 
