@@ -34,7 +34,7 @@ WORDS = 5
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 75
 #: Shingles in a bucket of step 1, in expectation.
-BUCKET = 400_000
+BUCKET = 1_500_000
 #: Entries of a list that one task compares with the list's other components; longer lists are dealt out.
 LIST_ROWS = 20_000
 #: Bounded rounds of step 4 that merge by best candidates before the exhaustive one.
