@@ -335,28 +335,34 @@ def _link_nodes(docs: DataFrame, total: int, id_col: str, text_col: str, k: int,
     stars = lists.join(centre, "hash").filter("node <> c.node").filter(room * (100 + percent) >= percent * (F.col("size") + F.col("c.size")))
     pairs = stars.select(F.col("node").alias("a"), F.col("c.node").alias("b")).distinct()
     overlaps = stored(verified(pairs, sets), "overlaps")
-    links = overlaps.filter(_is_link(percent)).select("a", "b")
-    comp = components(links)
+    comp = components(overlaps.filter(_is_link(percent)).select("a", "b"))
 
     # Step 4.
     known = overlaps
     for turn in range(MERGE_ROUNDS + 1):
         last = turn == MERGE_ROUNDS
         found = stored(mixed_pairs(_list_entries(lists, comp, overlaps), percent, best_only=not last), "mixed")
-        if found.isEmpty():
-            if last:
-                break
-            continue
+        if found.isEmpty():  # a set with any candidate has a best one
+            break
         done = known.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         fresh = found.filter("not derived").join(done, ["a", "b"], "left_anti").select("a", "b")
         checked = stored(verified(fresh, sets), "checked")
         known = known.unionByName(checked)
-        more = checked.filter(_is_link(percent)).select("a", "b").unionByName(found.filter("derived").select("a", "b"))
-        links = stored(links.unionByName(more), "all-links")
-        comp = components(links)
+        comp = _merged(comp, checked.filter(_is_link(percent)).select("a", "b").unionByName(found.filter("derived").select("a", "b")))
     return comp
 
 
+def _merged(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) after more links, from links between components only."""
+    for end in ("a", "b"):
+        of = comp.select(F.col("node").alias(end), F.col("component").alias("of"))
+        links = links.join(of, end, "left").withColumn(end, F.coalesce("of", end)).drop("of")
+    up = components(links).withColumnRenamed("component", "up")
+    moved = comp.join(up.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("up", "component").alias("component"))
+    alone = up.join(comp, "node", "left_anti").select("node", F.col("up").alias("component"))
+    return stored(moved.unionByName(alone), "components")
+
+
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows, with all their columns, whose id is their component's; of rows that repeat an id, one.
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.catalog.registry import registry
-from tidemill.llm import jaccard, language, leaks, mixing, tokens
+from tidemill.llm import ann, chat, jaccard, language, leaks, mixing, sharding, tokens
 from tidemill.session import scratch_path
 
 QUERIES, ORACLES, query = registry()
@@ -80,3 +80,21 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     about = spark.createDataFrame([(s, sizes[s], float(t)) for s, t in targets.items()], "source string, source_size long, target double")
     out = taken.withColumn("of", F.element_at("members", 1)).join(about, F.col("of").eqNullSafe(F.col("source")))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+@query()
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(table(spark, sf_dir, "documents"), shards=8)
+
+
+@query()
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.read_back(chat.windows(turns.unionByName(probe)))
+
+
+@query()
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
