@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.catalog.registry import registry
-from tidemill.llm import ann, chat, jaccard, language, leaks, mixing, sharding, tokens
+from tidemill.llm import ann, chat, jaccard, language, leaks, mixing, pii, sharding, tokens
 from tidemill.session import scratch_path
 
 QUERIES, ORACLES, query = registry()
@@ -98,3 +98,8 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
+@query()
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
