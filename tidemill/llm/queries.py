@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.catalog.registry import registry
-from tidemill.llm import ann, chat, jaccard, language, leaks, mixing, pii, sharding, tokens
+from tidemill.llm import ann, chat, jaccard, language, leaks, mixing, pages, pii, sharding, tokens
 from tidemill.session import scratch_path
 
 QUERIES, ORACLES, query = registry()
@@ -103,3 +103,8 @@ def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_texts(table(spark, sf_dir, "pages"))
