@@ -5,13 +5,17 @@ import random
 
 import numpy as np
 import pytest
-from conftest import at, hours
+from conftest import SF, at, hours
 from pyspark.sql import Window, functions as F
 
 from tidemill.operators import correlogram, features, fill, grid, ranks
 from tidemill.operators import buckets as B, clean
 from tidemill.operators.quantiles import exact_quantiles
-from tidemill.operators.split import split_ratio, split_tail
+from tidemill.operators.features import lag_and_rolling
+from tidemill.operators.fill import interpolate_time
+from tidemill.operators.filters import first_days, last_rows, skip_first
+from tidemill.operators.grid import reindex, resample_month_mean
+from tidemill.operators.split import expanding_folds, split_ratio, split_tail
 from tidemill.session import scratch_path
 from tidemill.sources.tables import materialise
 
@@ -155,3 +159,55 @@ def test_autocorrelation_over_pieces(spark, monkeypatch):
     for k in range(1, 7):
         toeplitz = np.array([[want[abs(i - j)] for j in range(k)] for i in range(k)])
         assert pacf[k] == pytest.approx(np.linalg.solve(toeplitz, want[1 : k + 1])[-1])
+
+
+@pytest.fixture
+def with_nulls(spark):
+    """5 rows of series `a`, 5 of a NULL series, and a row of each without a time."""
+    rows = [(k, at(f"2024-01-01 0{h}:00"), float(h)) for k in ("a", None) for h in range(5)]
+    return spark.createDataFrame(rows + [("a", None, 9.0), (None, None, 9.0)], "k string, ts timestamp_ntz, v double")
+
+
+def test_null_keys_and_times_stay(with_nulls):
+    timed = with_nulls.where("ts IS NOT NULL")
+    assert last_rows(with_nulls, ["k"], "ts", 1000).count() == last_rows(with_nulls, ["k"], "ts", 1001).count() == 12
+    for n in (3, 1001):
+        assert {(r["k"], r["v"]) for r in last_rows(timed, ["k"], "ts", n).collect()} == {(k, float(v)) for k in ("a", None) for v in range(5) if n > 5 or v >= 5 - n}
+    assert interpolate_time(with_nulls, ["k"], "ts", ["v"], 3600).count() == 12
+    assert lag_and_rolling(with_nulls, ["k"], "ts", "v", lags=[1], windows=[2]).count() == 12
+    lags = lag_and_rolling(timed, ["k"], "ts", "v", lags=[1], windows=[2]).where("k IS NULL").orderBy("ts")
+    assert [r["v_lag_1"] for r in lags.collect()] == [None, 0.0, 1.0, 2.0, 3.0]
+    assert reindex(timed, ["k"], "ts", 3600).where("v IS NULL").count() == 0
+    assert resample_month_mean(timed, ["k"], "ts", ["v"]).where("v = 2.0").count() == 2
+
+
+def test_skip_first_keeps_rows_without_a_time(with_nulls):
+    kept = skip_first(with_nulls, ["k"], "ts", 1)
+    assert kept.count() == 10 and kept.where("v = 0").count() == 0 and kept.where("ts IS NULL").count() == 2
+    assert skip_first(with_nulls, [], "ts", 4).count() == 4
+    assert skip_first(with_nulls.where("ts IS NULL"), ["k"], "ts", 1).count() == 2
+
+
+@pytest.mark.parametrize("n_tail", [1, 9, 10, 11, 12])
+def test_splits_with_null_times(with_nulls, n_tail):
+    got = split_tail(with_nulls, "ts", ["k", "v"], n_tail)
+    assert got.where("split = 'test'").count() == n_tail
+    assert got.where("split = 'train' AND ts IS NOT NULL").count() == max(0, 10 - n_tail)
+
+
+def test_folds_with_null_times(with_nulls):
+    blocks = {r["block"]: r["count"] for r in expanding_folds(with_nulls, "ts", ["k"], 2).groupBy("block").count().collect()}
+    assert blocks == {0: 4, 1: 4, 2: 4}
+
+
+def test_quantile_routes_agree_to_the_last_bit(spark):
+    df = spark.range(5_000).select((F.col("id") % 3).alias("k"), (F.rand(3) * 1e6 * F.rand(4)).alias("v")).cache()
+    probs = {"a": 0.1, "b": 0.25, "c": 0.5, "d": 0.9, "e": 1 / 3}
+    direct = exact_quantiles(df, ["k"], "v", probs).orderBy("k").collect()
+    assert direct == exact_quantiles(df, ["k"], "v", probs, direct_rows=10).orderBy("k").collect()
+
+
+def test_first_days_bounds_reach_the_scan(spark):
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    plan = first_days(events, "ts")._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(ts" in plan and "LessThan(ts" in plan

@@ -196,6 +196,16 @@ WEATHER = (
 _SLOT_COLUMNS = {"demand": "purchase", "flow_a": "view", "flow_b": "click", "wind": "signup", "wind_capacity": "error"}
 
 
+def years_of(df: DataFrame, day: str, most: int = 500) -> list[int]:
+    """All calendar years from the first to the last day of the table."""
+    first, last = df.agg(F.min(F.year(day)), F.max(F.year(day))).first()
+    if first is None:
+        return []
+    if last - first >= most:
+        raise ValueError(f"{day} spans over {most} years")
+    return list(range(first, last + 1))
+
+
 def slot_sources(spark, sf_dir) -> list[DataFrame]:
     """Three files of half-hour slots whose days overlap; the second lacks one column.
 
@@ -203,6 +213,8 @@ def slot_sources(spark, sf_dir) -> list[DataFrame]:
     as on a clock-change day.
     """
     ev = events(spark, sf_dir)
+    if other := ev.where(~F.col("event_type").isin(*_SLOT_COLUMNS.values()) | F.col("event_type").isNull()).first():
+        raise ValueError(f"event type {other['event_type']} has no slot column")
     day = F.to_date(F.col("ts") - F.make_dt_interval(F.lit(0), F.lit(1)))
     slot = (F.floor(epoch_seconds("ts") / HALF_HOUR) - F.unix_date(day) * 48 + 1).cast("int")
     sums = [F.sum(F.when(F.col("event_type") == t, F.col("v"))).alias(c) for c, t in _SLOT_COLUMNS.items()]

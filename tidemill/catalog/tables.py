@@ -52,10 +52,6 @@ def scan_glob_keyed(spark, sf_dir):
     return S.usable_sources({"events": found}, ["ts", "value"])["events"]
 
 
-# The years a complete set of sources would cover.
-_YEARS = [1995, 1996, 1997, 1998, 1999, 2000, 2001]
-
-
 @query(
     "SELECT k.o_custkey, y.year FROM (SELECT DISTINCT o_custkey FROM orders) k, "
     "(SELECT CAST(unnest(range(1995, 2002)) AS INTEGER) AS year) y EXCEPT "
@@ -63,7 +59,7 @@ _YEARS = [1995, 1996, 1997, 1998, 1999, 2000, 2001]
 )
 def missing_partitions(spark, sf_dir):
     orders = I.table(spark, sf_dir, "orders").select("o_custkey", F.year("o_orderdate").alias("year"))
-    return S.missing_parts(orders, "o_custkey", "year", _YEARS)
+    return S.missing_parts(orders, "o_custkey", "year", I.years_of(I.table(spark, sf_dir, "orders"), "o_orderdate"))
 
 
 @query(

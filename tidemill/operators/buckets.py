@@ -43,6 +43,19 @@ def with_piece(df: DataFrame, time: str, width: int) -> DataFrame:
     return df.withColumn(PIECE, F.coalesce(F.floor(epoch_micros(time) / width), F.lit(_NO_TIME)))
 
 
+#: The key columns as one struct. It is never NULL, and structs compare NULL fields as equal, so a join on
+#: it keeps rows whose keys are NULL and still runs on a shuffle of the same column.
+SERIES = "_series"
+
+
+def with_series(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return df.withColumn(SERIES, F.struct(*keys)) if keys else df
+
+
+def series_of(keys: Sequence[str]) -> list[str]:
+    return [SERIES] if keys else []
+
+
 def piece_width(df: DataFrame, keys: Sequence[str], time: str, max_rows: int = 1_000_000) -> int:
     """Widest cut for which no (series, piece) holds more than `max_rows` rows.
 
@@ -97,15 +110,16 @@ def with_ordinal(
     inside their piece.
     """
     width = width or piece_width(df, keys, time)
-    cut = with_piece(df, time, width)
-    counts = cut.groupBy(*keys, PIECE).agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.partitionBy(*keys).orderBy(PIECE).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*keys, PIECE, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy(*keys, PIECE).orderBy(time, *tie)
+    series = series_of(keys)
+    cut = with_piece(with_series(df, keys), time, width)
+    counts = cut.groupBy(*series, PIECE).agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*series).orderBy(PIECE).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*series, PIECE, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(*series, PIECE).orderBy(time, *tie)
     return (
-        cut.join(offsets.hint("shuffle_hash"), [*keys, PIECE])
+        cut.join(offsets.hint("shuffle_hash"), [*series, PIECE])
         .withColumn(name, F.col("_before") + F.row_number().over(inside) - 1)
-        .drop(PIECE, "_before")
+        .drop(PIECE, "_before", *series)
     )
 
 
@@ -155,8 +169,12 @@ def carry_neighbours(
     (`width` seconds) the first and last observation are kept; a window over those summaries
     carries them on.
     """
-    cut = with_piece(df, time, width * _SECOND)
-    if set(df.columns) <= {*keys, time, *cols}:
+    # The rows carry their keys in the struct only, so that both uses read the same columns.
+    cut = with_piece(with_series(df, keys).drop(*keys), time, width * _SECOND)
+    shared = set(df.columns) <= {*keys, time, *cols}
+    restored = [f"`{SERIES}`.`{c}` AS `{c}`" if c in keys else f"`{c}`" for c in df.columns]
+    keys = series_of(keys)
+    if shared:
         # Summary and rows read the same columns, so both can run on one shuffle of the input.
         cut = cut.repartition(*keys, PIECE)
     series = ", ".join(f"`{k}`" for k in keys)
@@ -199,4 +217,4 @@ def carry_neighbours(
     for c in cols:
         near.append(f"{nearest(c, f'_earlier_{c}', 'ASC')} AS `_before_{c}`")
         near.append(f"{nearest(c, f'_later_{c}', 'DESC')} AS `_after_{c}`")
-    return joined.selectExpr(*[f"`{c}`" for c in df.columns], *near)
+    return joined.selectExpr(*restored, *near)

@@ -14,9 +14,15 @@ _GROUP_LIMIT = 1_000
 
 
 def first_days(df: DataFrame, time: str, days: int = 7) -> DataFrame:
-    """Rows of the first `days` days, half-open."""
-    start = df.agg(F.min(time)).scalar()
-    return df.where((F.col(time) >= start) & (F.col(time) < start + seconds_interval(F.lit(days * DAY))))
+    """Rows of the first `days` days, half-open.
+
+    The first time is looked up at once, so the bounds are literals and reach the scan.
+    """
+    start, stop = df.agg(F.min(time), F.min(time) + seconds_interval(F.lit(days * DAY))).first()
+    if start is None:
+        return df.where(F.lit(False))
+    start, stop = (F.lit(t).cast(df.schema[time].dataType) for t in (start, stop))
+    return df.where((F.col(time) >= start) & (F.col(time) < stop))
 
 
 def closed_range(df: DataFrame, time: str, start: Column, end: Column) -> DataFrame:
@@ -40,21 +46,21 @@ def split_by_mask(df: DataFrame, mask: Column) -> tuple[DataFrame, DataFrame]:
 
 
 def skip_first(df: DataFrame, keys: Sequence[str], time: str, n: int) -> DataFrame:
-    """Drop the rows of the first `n` times of each series.
+    """Drop the rows of the first `n` times of each series; rows without a time stay.
 
     Only the n-th time of each series is looked up; the rows themselves are not sorted.
     """
-    times = df.select(*keys, time).distinct()
+    times = df.select(*keys, time).where(F.col(time).isNotNull()).distinct()
     rank = F.row_number().over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy(time))
     head = times.withColumn("_rank", rank).where(F.col("_rank") <= n)
     if not keys:
-        return df.where(F.col(time) > head.agg(F.max(time)).scalar())
+        return df.where(F.coalesce(F.col(time) > head.agg(F.max(time)).scalar(), F.lit(True)))
     bound = head.groupBy(*keys).agg(F.max(time).alias("_bound"))
-    return join_same(df, bound, keys).where(F.col(time) > F.col("_bound")).drop("_bound")
+    return join_same(df, bound, keys, "left").where(F.coalesce(F.col(time) > F.col("_bound"), F.lit(True))).drop("_bound")
 
 
 def last_rows(df: DataFrame, keys: Sequence[str], time: str, n: int, tie: Sequence[str] = ()) -> DataFrame:
-    """The last `n` rows of each series."""
+    """The last `n` rows of each series; rows without a time are its first, a NULL key is a series."""
     if n <= _GROUP_LIMIT:
         newest = [F.col(c).desc() for c in (time, *tie)]
         rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*newest))

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from tidemill.functions.timecols import epoch_seconds, floor_time, seconds_interval
+from tidemill.operators.buckets import series_of, with_series
 
 _POINTS_PER_BLOCK = 4_096
 
@@ -36,8 +37,13 @@ def regular_grid(df: DataFrame, keys: Sequence[str], time: str, step: int) -> Da
 def reindex(df: DataFrame, keys: Sequence[str], time: str, step: int) -> DataFrame:
     """The rows of `df` (one per series and time) put on the regular grid; gaps become null rows."""
     rest = [c for c in df.columns if c not in (*keys, time)]
-    grid = regular_grid(df, keys, time, step)
-    return grid.join(df, [*keys, time], "left").select(*keys, time, *rest)
+    grid = with_series(regular_grid(df, keys, time, step), keys)
+    return _matched(grid, df, keys, time).select(*keys, time, *rest)
+
+
+def _matched(grid: DataFrame, df: DataFrame, keys: Sequence[str], time: str) -> DataFrame:
+    """Grid rows with the columns of `df` at the same series and time; a NULL key is a series too."""
+    return grid.join(with_series(df, keys).drop(*keys), [*series_of(keys), time], "left").drop(*series_of(keys))
 
 
 def resample_mean(
@@ -56,7 +62,7 @@ def resample_month_mean(df: DataFrame, keys: Sequence[str], time: str, cols: Seq
     span = means.groupBy(*keys).agg(F.min(time).alias("_lo"), F.max(time).alias("_hi"))
     months = F.sequence(F.trunc("_lo", "month"), F.trunc("_hi", "month"), F.expr("interval 1 month"))
     grid = span.select(*keys, F.explode(months).alias("_month")).select(*keys, F.last_day("_month").alias(time))
-    return grid.join(means, [*keys, time], "left").withColumn(time, F.col(time).cast("timestamp_ntz"))
+    return _matched(with_series(grid, keys), means, keys, time).withColumn(time, F.col(time).cast("timestamp_ntz"))
 
 
 def resample_sum(df: DataFrame, keys: Sequence[str], time: str, sums: Mapping[str, str], step: int) -> DataFrame:

@@ -94,9 +94,12 @@ def _bracketed(
     per_prob = ranked.groupBy(*keys, "_i").agg(
         value_at(F.floor("_place")).alias("_lo"),
         value_at(F.ceil("_place")).alias("_hi"),
-        F.max(F.col("_place") - F.floor("_place")).alias("_frac"),
+        F.max(F.col("_place") - F.floor("_place")).alias("_above"),
+        F.max(F.ceil("_place") - F.col("_place")).alias("_below"),
     )
-    exact = per_prob.withColumn("_q", F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_frac"))
+    # The order of operations of `percentile`, so both routes agree to the last bit.
+    between = F.col("_below") * F.col("_lo") + F.col("_above") * F.col("_hi")
+    exact = per_prob.withColumn("_q", F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise(between))
     return exact.groupBy(*keys).agg(
         *[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(name) for i, name in enumerate(probs)]
     )

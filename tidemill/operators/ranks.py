@@ -14,7 +14,7 @@ _CELLS = 4_096
 def rows_at(
     df: DataFrame, time: str, tie: Sequence[str], ranks: Iterable[int], max_rows: int = 100_000
 ) -> dict[int, Row]:
-    """`rank -> (time, *tie)` of the row with that 0-based rank in (time, *tie) order.
+    """`rank -> (time, *tie)` of the row with that 0-based rank in (time, *tie) order, NULLs first.
 
     Counts per time cell narrow each rank down to a cell of at most `max_rows` rows, and only
     those cells are sorted. The driver sees at most 4,096 counts per step.
@@ -23,9 +23,13 @@ def rows_at(
     if not ranks:
         return {}
     rows = df.select(time, *tie).withColumn("_us", epoch_micros(time))
-    lo, hi, n = rows.agg(F.min("_us"), F.max("_us"), F.count(F.lit(1))).first()
-    open_cells = {(lo, hi + 1, n): [(r, r) for r in ranks]}
-    done: dict[tuple, list] = {}
+    lo, hi, timed, n = rows.agg(F.min("_us"), F.max("_us"), F.count("_us"), F.count(F.lit(1))).first()
+    timeless = n - timed
+    open_cells, done = {}, {}
+    if at := [(r, r - timeless) for r in ranks if r >= timeless]:
+        open_cells[(lo, hi + 1, timed)] = at
+    if at := [(r, r) for r in ranks if r < timeless]:
+        done[(None, None, timeless)] = at
     while open_cells:
         (start, stop, count), wanted = open_cells.popitem()
         if count <= max_rows or stop - start == 1:
@@ -45,9 +49,9 @@ def rows_at(
     for (start, stop, count), wanted in done.items():
         cell_rows = _within(rows, start, stop)
         if count > max_rows:
-            # One instant shared by very many rows: a distributed sort, one rank at a time.
+            # One instant shared by very many rows: all alike without a tie, else a sort for each rank.
             for rank, at in wanted:
-                found[rank] = cell_rows.orderBy(*tie).offset(at).limit(1).first()
+                found[rank] = cell_rows.orderBy(*tie).offset(at).limit(1).first() if tie else cell_rows.first()
             continue
         number = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(time, *tie)) - 1
         picks = cell_rows.withColumn("_at", number).where(F.col("_at").isin([at for _, at in wanted]))
@@ -56,14 +60,19 @@ def rows_at(
     return found
 
 
-def _within(rows: DataFrame, start: int, stop: int) -> DataFrame:
+def _within(rows: DataFrame, start: int | None, stop: int | None) -> DataFrame:
+    if start is None:
+        return rows.where(F.col("_us").isNull())
     return rows.where((F.col("_us") >= start) & (F.col("_us") < stop))
 
 
 def at_or_after(row: Row, time: str, tie: Sequence[str]) -> Column:
-    """Whether a row stands at or behind `row` in (time, *tie) order."""
+    """Whether a row stands at or behind `row` in (time, *tie) order, NULLs first. Never NULL."""
     later = F.lit(True)
     for c in reversed(list(tie)):
-        later = (F.col(c) > F.lit(row[c])) | ((F.col(c) == F.lit(row[c])) & later)
+        behind = F.col(c).isNotNull() if row[c] is None else F.coalesce(F.col(c) > F.lit(row[c]), F.lit(False))
+        later = behind | (F.col(c).eqNullSafe(F.lit(row[c])) & later)
+    if row[time] is None:
+        return F.col(time).isNotNull() | later
     bound = F.lit(row[time]).cast("timestamp_ntz")
-    return (F.col(time) >= bound) & ((F.col(time) > bound) | later)
+    return F.coalesce((F.col(time) >= bound) & ((F.col(time) > bound) | later), F.lit(False))

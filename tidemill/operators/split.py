@@ -28,8 +28,14 @@ def split_three_way(df: DataFrame, time: str, test_years: int = 1, val_years: in
 
 
 def split_tail(df: DataFrame, time: str, tie: Sequence[str], n_tail: int, label: str = "test") -> DataFrame:
-    """The last `n_tail` rows of the whole table in (time, *tie) order get `label`, others train."""
-    n = df.count()
+    """The last `n_tail` rows of the whole table in (time, *tie) order get `label`, others train.
+
+    Rows without a time stand first, so they train.
+    """
+    return _tail(df, time, tie, n_tail, df.count(), label)
+
+
+def _tail(df: DataFrame, time: str, tie: Sequence[str], n_tail: int, n: int, label: str = "test") -> DataFrame:
     if n_tail <= 0:
         return df.withColumn(SPLIT, F.lit("train"))
     if n_tail >= n:
@@ -40,7 +46,8 @@ def split_tail(df: DataFrame, time: str, tie: Sequence[str], n_tail: int, label:
 
 def split_ratio(df: DataFrame, time: str, tie: Sequence[str], ratio: float = 0.1) -> DataFrame:
     """The last int(ratio * n) rows are test."""
-    return split_tail(df, time, tie, int(ratio * df.count()))
+    n = df.count()
+    return _tail(df, time, tie, int(ratio * n), n)
 
 
 def expanding_folds(df: DataFrame, time: str, tie: Sequence[str], n_splits: int = 5, name: str = "block") -> DataFrame:

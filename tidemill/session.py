@@ -38,7 +38,8 @@ def shared_dir(spark: SparkSession) -> str:
     configured = spark.conf.get(CHECKPOINT_KEY, None)
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
         raise ValueError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="tidemill-")
     spark.conf.set(CHECKPOINT_KEY, folder)
