@@ -54,28 +54,38 @@ class Block:
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[order], vectors[order]
         projected = self.vectors @ axes.T
-        self.order = np.argsort(projected, axis=0, kind="stable").T.astype(np.int32)
-        self.sorted = np.take_along_axis(projected.T, self.order, axis=1)
+        order = np.argsort(projected, axis=0, kind="stable").T.astype(np.int32)
+        sorted_ = np.take_along_axis(projected.T, order, axis=1)
         self.step = max(float(np.median(projected.std(axis=0))) / 20, 1e-12)
+        # All arrays in one, array j scaled into [2j, 2j + 1], so that one search opens all windows.
+        self.low, self.high = sorted_[:, :1], sorted_[:, -1:]
+        self.reach = np.where(self.high > self.low, self.high - self.low, 1.0)
+        self.order, self.sorted = order.ravel(), self._scaled(sorted_).ravel()
+
+    def _scaled(self, at: np.ndarray) -> np.ndarray:
+        return (at - self.low) / self.reach + 2.0 * np.arange(len(at))[:, None]
+
+    def _places(self, at: np.ndarray) -> np.ndarray:
+        """The place in `sorted` of one value per projection, inside that projection's own array."""
+        n, at = len(self.ids), at[:, None]
+        own = np.arange(len(at)) * n
+        found = np.clip(np.searchsorted(self.sorted, self._scaled(np.clip(at, self.low, self.high))[:, 0]), own, own + n)
+        return np.where((at > self.high)[:, 0], own + n, found)
 
     def nearest(self, query: np.ndarray, own: int, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, distances) of the k nearest found, nearest first, ties by id. `at`: the query's projections."""
         n = len(self.ids)
         counts = np.zeros(n, dtype=np.int16)
-        low = np.array([np.searchsorted(s, p) for s, p in zip(self.sorted, at)])
-        high = low.copy()
+        low = high = self._places(at)
         fresh = self.ids != own
         needed = math.ceil(THRESHOLD * len(at))
         found, distances, radius = np.empty(0, np.int64), np.empty(0), self.step
         while True:
-            for j, p in enumerate(at):
-                s, order = self.sorted[j], self.order[j]
-                lo, hi = np.searchsorted(s, [p - HALF_WIDTH * radius, p + HALF_WIDTH * radius], side="left")
-                lo, hi = min(lo, low[j]), max(hi, high[j])
-                counts[order[lo : low[j]]] += 1
-                counts[order[high[j] : hi]] += 1
-                low[j], high[j] = lo, hi
-            new = np.flatnonzero((counts >= needed) & fresh)
+            lower, upper = np.minimum(self._places(at - HALF_WIDTH * radius), low), np.maximum(self._places(at + HALF_WIDTH * radius), high)
+            ends = zip([*lower, *high], [*low, *upper])
+            counts += np.bincount(np.concatenate([self.order[a:b] for a, b in ends]), minlength=n)
+            low, high = lower, upper
+            new = np.flatnonzero(((counts >= needed) | (not math.isfinite(radius))) & fresh)
             if len(new):
                 fresh[new] = False
                 apart = np.sqrt(((self.vectors[new] - query) ** 2).sum(axis=1))
