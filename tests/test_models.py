@@ -87,6 +87,37 @@ def test_neighbours_are_exact(spark, p, rows_per_chunk):
         assert [sorted(x) for x in found] == [sorted(x) for x in want.tolist()]
 
 
+def test_neighbours_of_rows_without_a_vector(spark):
+    rows = [(1, 0.0, 1.0), (2, 1.0, 2.0), (3, None, 3.0), (None, 5.0, 4.0), (4, 7.0, None)]
+    df = spark.createDataFrame(rows, "id long, x double, y double")
+    got = {(r["id"], r["neighbour"]) for r in nearest(df, df, ["x"], "id", "y", k=1, exclude_self=True).collect()}
+    assert got == {(1, 2), (2, 1), (4, 2)}
+    assert nearest(df.limit(0), df, ["x"], "id", "y").columns == ["id", "neighbour", "distance", "neighbour_target"]
+    assert nearest(df.limit(0), df, ["x"], "id", "y").count() == nearest(df, df.limit(0), ["x"], "id", "y").count() == 0
+
+
+def test_small_tables_are_searched_by_many_tasks(spark):
+    df = spark.range(20_000).select("id", (F.col("id") % 1013).cast("double").alias("x"), F.col("id").cast("double").alias("y"))
+    near = nearest(df, df.where("id % 100 = 0"), ["x"], "id", "y", k=1)
+    assert near.where("distance = 0").count() == 200
+
+
+def test_search_gives_its_cache_back_and_bears_null_scores(spark, toy):
+    toy.count()  # cached by itself
+    cached = len(spark.sparkContext._jsc.getPersistentRDDs())
+
+    def broken(params):
+        raise RuntimeError("no fit")
+
+    with pytest.raises(RuntimeError):
+        search(toy, "ts", [], broken, [{}], n_splits=2)
+    assert len(spark.sparkContext._jsc.getPersistentRDDs()) == cached
+    zero = toy.withColumn("y", F.lit(0.0))
+    made = lambda p: Forecaster(R.robust_linear(**p), ["a", "b"], "y")
+    found = search(zero, "ts", [], made, [{}], n_splits=2, scores=("rmse", "mape"))
+    assert found.table.first()["cv_mape"] is None and found.best_score == pytest.approx(0)
+
+
 def test_neighbour_weights(spark):
     rows = [(1, 10, 0.0, 5.0), (1, 11, 1.0, 9.0), (2, 10, 1.0, 4.0), (2, 11, 3.0, 8.0)]
     near = spark.createDataFrame(rows, "id int, neighbour int, distance double, neighbour_target double")

@@ -141,6 +141,15 @@ def test_quantiles_of_large_groups(spark):
     np.testing.assert_allclose([row[n] for n in probs], np.quantile(data["hot"], list(probs.values())), rtol=1e-12)
 
 
+def test_autocorrelation_refuses_repeated_steps(spark):
+    rows = spark.range(50).selectExpr("timestamp_seconds(3600 * id) AS ts", "sin(id) AS v")
+    without_time = rows.unionByName(spark.sql("SELECT CAST(NULL AS timestamp) AS ts, 1000d AS v"))
+    acf = [correlogram.autocorrelation(d, [], "ts", "v", 2, 3600).orderBy("lag").collect() for d in (rows, without_time)]
+    assert acf[0] == acf[1]
+    with pytest.raises(Exception, match="two rows of a series on one step"):
+        correlogram.autocorrelation(rows.unionByName(rows.limit(1)), [], "ts", "v", 2, 3600).collect()
+
+
 def test_autocorrelation_over_pieces(spark, monkeypatch):
     monkeypatch.setattr(correlogram, "ROWS_PER_PIECE", 64)
     rng = np.random.default_rng(1)

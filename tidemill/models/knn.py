@@ -8,6 +8,7 @@ into chunks, so a hot cell is spread over many tasks, and each task sends k rows
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -15,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 ROWS_PER_CHUNK = 20_000
+#: Rows of a group below which more tasks do not pay.
+LEAST_CHUNK = 1_000
 MAX_PIVOTS = 512
 _SLACK = 1e-9
 
@@ -57,11 +60,18 @@ def nearest(
 ) -> DataFrame:
     """(query id, neighbour id, distance, neighbour target): the k nearest, ties by id.
 
-    `exclude_self`: a row is not its own neighbour (leave-one-out on one table).
+    `exclude_self`: a row is not its own neighbour (leave-one-out on one table). Rows without an id, a vector
+    or one of its components have no distance: they are no neighbours and find none. Small tables are cut
+    finer than `rows_per_chunk`, so that every core has a group; the result is the same.
     """
     known = train.select(F.col(id_col).alias("_tid"), _vector(features).alias("_x"), F.col(target).cast("double").alias("_y"))
     asked = query.select(F.col(id_col).alias("_qid"), _vector(features).alias("_x"))
-    n_train = train.count()
+    known, asked = (d.where(d[i].isNotNull() & d["_x"].isNotNull() & ~F.exists("_x", F.isnull)) for d, i in ((known, "_tid"), (asked, "_qid")))
+    n_train = known.count()
+    if not n_train:
+        asked_type, id_type = (d.schema[id_col].dataType.simpleString() for d in (query, train))
+        return train.sparkSession.createDataFrame([], f"`{id_col}` {asked_type}, neighbour {id_type}, distance double, neighbour_target double")
+    rows_per_chunk = min(rows_per_chunk, max(LEAST_CHUNK, math.ceil(n_train / train.sparkSession.sparkContext.defaultParallelism)))
     n_pivots = int(min(MAX_PIVOTS, max(1, n_train // rows_per_chunk)))
     picked = known.orderBy(F.xxhash64("_tid"), "_tid").limit(n_pivots).collect()
     pivots = np.array([row["_x"] for row in picked], dtype=float)

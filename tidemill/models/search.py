@@ -60,7 +60,8 @@ def search(
     """Mean score per candidate over folds that train on the past and test on what follows.
 
     Fits are independent Spark jobs, submitted from a few threads. `score` replaces the point
-    scores by one of its own (lower is better). The folds are cached, not collected.
+    scores by one of its own (lower is better). The folds are cached, not collected. A score that is NULL
+    (such as mape where all actuals are zero) stays NULL, and its candidate is chosen last.
     """
     folds = expanding_folds(df, time, tie, n_splits).persist()
 
@@ -71,19 +72,21 @@ def search(
         if score is not None:
             return {"candidate": c, "fold": i, refit: float(score(predicted))}
         row = point_metrics(predicted, model.target, PREDICTION, scores=scores).first()
-        return {"candidate": c, "fold": i, **{s: float(row[s]) for s in scores}}
+        return {"candidate": c, "fold": i, **{s: None if row[s] is None else float(row[s]) for s in scores}}
 
     jobs = [(c, i) for c in range(len(candidates)) for i in range(1, n_splits + 1)]
-    with ThreadPool(threads) as pool:
-        results = pool.map(run, jobs, chunksize=1)
-    folds.unpersist()
+    try:
+        with ThreadPool(threads) as pool:
+            results = pool.map(run, jobs, chunksize=1)
+    finally:
+        folds.unpersist()
     spark = df.sparkSession
     names = [refit] if score is not None else list(scores)
     schema = "candidate int, fold int, " + ", ".join(f"{s} double" for s in names)
     per_fold = spark.createDataFrame([[r["candidate"], r["fold"], *(r[s] for s in names)] for r in results], schema)
     labels = spark.createDataFrame([(c, str(p)) for c, p in enumerate(candidates)], "candidate int, params string")
     table = per_fold.groupBy("candidate").agg(*[F.avg(s).alias(f"cv_{s}") for s in names]).join(labels, "candidate")
-    means = [sum(r[refit] for r in results if r["candidate"] == c) / n_splits for c in range(len(candidates))]
+    means = [sum(math.inf if r[refit] is None else r[refit] for r in results if r["candidate"] == c) / n_splits for c in range(len(candidates))]
     best = min(range(len(candidates)), key=means.__getitem__)
     return SearchResult(table, dict(candidates[best]), means[best])
 

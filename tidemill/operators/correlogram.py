@@ -20,8 +20,10 @@ def autocorrelation(
     """(keys, lag, acf, lower, upper, n) for lags 0..`lags`, with Bartlett's band.
 
     Each piece of a series also receives the `lags` rows after it and adds up its own lag
-    products in NumPy; pieces send one sum per lag, never pairs of rows.
+    products in NumPy; pieces send one sum per lag, never pairs of rows. Rows without a time stand on no
+    step and are left out; two rows of a series on one step are refused.
     """
+    df = df.where(F.col(time).isNotNull())
     stats = df.groupBy(*keys).agg(F.avg(value).alias("_mean"), F.count(value).alias("n"))
     placed = df.select(*keys, (epoch_seconds(time) / step).cast("long").alias("_pos"), F.col(value).alias("_v"))
     n_series = group_sizes(df.select(*keys), keys)[0] if keys else 1
@@ -35,6 +37,8 @@ def autocorrelation(
         place = frame["_pos"].to_numpy() - base
         dense = np.zeros(width + lags)
         near = place < width + lags
+        if len(np.unique(place)) < len(place):
+            raise ValueError("two rows of a series on one step: average them first")
         dense[place[near]] = frame["_x"].to_numpy()[near]
         own = dense[:width]
         sums = np.array([own @ dense[k : k + width] for k in range(lags + 1)])
