@@ -363,6 +363,16 @@ def test_pages(spark):
     assert pages.main_texts(df.limit(0)).count() == 0
 
 
+def test_pages_of_a_host_in_rounds(spark, monkeypatch):
+    tags = ["p", "h2", "blockquote", "pre", "h3"]
+    rows = [(i, "http://a.example/", "<article>" + "".join(f"<{t}>{t} {i}</{t}>" for k, t in enumerate(tags) if i >> k & 1) + "</article><nav>n</nav>") for i in range(32)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {i: "\n\n".join(f"{t} {i}" for k, t in enumerate(tags) if i >> k & 1) for i in range(32)}
+    for most in (64, 2):
+        monkeypatch.setattr(pages, "FOLD_ROWS", most)
+        assert {r["page_id"]: r["text"] for r in pages.main_texts(df).collect()} == want
+
+
 def test_wrapper_groups():
     a = pages.folded(["h", "p", "p#", "p", "p#", "f"])
     assert a == ["h", ["+", ["p", "p#"]], "f"]

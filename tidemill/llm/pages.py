@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import html
 import json
+import math
 import re
 from collections.abc import Iterable, Iterator
 from difflib import SequenceMatcher
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 from tidemill.llm.components import stored
 from tidemill.llm.text import slices
 
-#: Parts of a host that are folded on their own first.
-PARTS = 16
+#: Skeletons, or wrappers of parts, that one task folds into one; a host of more goes through more rounds.
+FOLD_ROWS = 64
 #: Without an article region: slots with at least this share of linked text are menus.
 LINK_SHARE = 0.5
 
@@ -284,9 +285,17 @@ def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
     def folded_by(df: DataFrame) -> DataFrame:
         return df.repartition("host", "part").sortWithinPartitions("host", "part", "skeleton").mapInArrow(fold, "host string, wrapper string")
 
-    distinct = outlines.select("host", "skeleton").distinct().withColumn("part", F.pmod(F.xxhash64("skeleton"), F.lit(PARTS)))
-    parts = folded_by(distinct).select("host", F.col("wrapper").alias("skeleton"), F.lit(0).alias("part"))
-    whole = folded_by(parts)
+    def in_parts(df: DataFrame, most: int) -> DataFrame:
+        # By its text's hash: a host's parts are no more than its skeletons.
+        return df.withColumn("part", F.pmod(F.xxhash64("skeleton"), F.lit(math.ceil(most / FOLD_ROWS))))
+
+    level = outlines.select("host", "skeleton").distinct()
+    most = level.groupBy("host").count().agg(F.max("count")).first()[0] or 0
+    while most > FOLD_ROWS:
+        parts = math.ceil(most / FOLD_ROWS)
+        level = stored(folded_by(in_parts(level, most)).select("host", F.col("wrapper").alias("skeleton")), "wrapper-parts")
+        most = min(most, parts)
+    whole = folded_by(level.withColumn("part", F.lit(0).cast("long")))
     sums = outlines.groupBy("host", "path").agg(F.sum("chars").alias("chars"), F.sum("linked").alias("linked"))
     by_host = sums.groupBy("host").agg(F.collect_list(F.struct("path", "chars", "linked")).alias("sums"))
 
