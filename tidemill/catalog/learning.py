@@ -8,13 +8,13 @@ from tidemill.catalog import inputs as I
 from tidemill.catalog.registry import registry
 from tidemill.catalog.series import clean_panel_of_orders
 from tidemill.functions.calendar import with_calendar, with_cycles
-from tidemill.functions.timecols import DAY
+from tidemill.functions.timecols import DAY, epoch_micros
 from tidemill.models import regressors as R
 from tidemill.models.compress import Compressor
 from tidemill.models.forecaster import PREDICTION, Forecaster
-from tidemill.models.knn import distance_mean, nearest, uniform_mean
-from tidemill.models.quantile import fit_interval, predict_interval, residual_interval as band_from_errors
-from tidemill.models.search import boost_with_early_stop, draw, expand_grid, search
+from tidemill.models.knn import NeighbourForecaster, distance_mean, nearest, uniform_mean
+from tidemill.models.quantile import QUANTILES, fit_interval, load_interval, predict_interval, residual_interval as band_from_errors, save_interval, tune_interval
+from tidemill.models.search import boost_with_early_stop, draw, expand_grid, search, store_params, stored_params
 from tidemill.operators import blend as B, filters, metrics as M, split as X
 from tidemill.operators.features import lag_and_rolling
 from tidemill.operators.joins import stack_predictions
@@ -337,6 +337,63 @@ def knn_forecast(spark, sf_dir):
     return near.groupBy("vec_id").agg(F.round(uniform_mean(), 6).alias("uniform"), F.round(distance_mean(), 6).alias("by_distance"))
 
 
+# The daily rows and their splits: y, the cuts of validation and test.
+_DAILY_SPLIT = (
+    f"{I.DAILY_FILLED}, dx AS (SELECT ts, v AS y, count(v) OVER (ORDER BY ts ROWS BETWEEN 28 PRECEDING AND 1 PRECEDING) AS nb, "
+    + ", ".join(f"lag(v, {k}) OVER (ORDER BY ts) AS l{k}" for k in _LAGS)
+    + " FROM dfill), dr AS (SELECT * FROM dx WHERE y IS NOT NULL AND nb = 28), tc AS (SELECT max(ts) - INTERVAL 1 YEAR AS c FROM dr)"
+)
+
+_NEAR = ", ".join(f"avg(l{k}) AS m{k}, stddev_pop(l{k}) AS s{k}" for k in (1, 7, 14))
+_NEAR_SCALED = ", ".join(f"(l{k} - m{k}) / s{k} AS x{k}" for k in (1, 7, 14))
+
+
+@query(
+    f"WITH {_DAILY_SPLIT}, p AS (SELECT {_NEAR} FROM dr, tc WHERE ts < c), z AS (SELECT ts, y, ts < c AS old, {_NEAR_SCALED} FROM dr, p, tc), "
+    f"d AS (SELECT a.ts, any_value(a.y) OVER (PARTITION BY a.ts) AS y, b.y AS v, b.ts AS other, {' + '.join(f'abs(a.x{k} - b.x{k})' for k in (1, 7, 14))} AS dist "
+    "FROM z a JOIN z b ON NOT a.old AND b.old), t AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY ts ORDER BY dist, other) <= 5) "
+    "SELECT ts, any_value(y) AS y, round(CASE WHEN min(dist) = 0 THEN avg(v) FILTER (WHERE dist = 0) "
+    "ELSE sum(v / dist) FILTER (WHERE dist > 0) / sum(1 / dist) FILTER (WHERE dist > 0) END, 2) AS prediction FROM t GROUP BY 1"
+)
+def knn_daily_forecast(spark, sf_dir):
+    """k-NN on scaled lags: the held-out year from all days before it."""
+    lags = ["v_lag_1", "v_lag_7", "v_lag_14"]
+    rows = _daily_rows(spark, sf_dir).select("ts", "v", *lags).withColumn("day", epoch_micros("ts"))
+    data = prepare(rows, "ts", lags, "v", holdout_years=1)
+    model = NeighbourForecaster(lags, "v", "day", k=5, weights="distance", p=1).fit(data.train)
+    return _scored(model, data.test).withColumn("prediction", F.round("prediction", 2))
+
+
+@query()
+def knn_search_cv(spark, sf_dir):
+    """k x weights x distance over expanding folds."""
+    lags = ["v_lag_1", "v_lag_7", "v_lag_14"]
+    rows = _daily_rows(spark, sf_dir).select("ts", "v", *lags).withColumn("day", epoch_micros("ts"))
+    data = prepare(rows, "ts", lags, "v", holdout_years=1)
+    grid = expand_grid({"k": [3, 5, 10], "weights": ["uniform", "distance"], "p": [1, 2]})
+    return search(data.train, "ts", [], lambda p: NeighbourForecaster(lags, "v", "day", **p), grid, n_splits=2, scores=("rmse", "mae")).table
+
+
+@query(
+    f"WITH {_DAILY_SPLIT} SELECT ts, y, " + ", ".join(f"0.0::DOUBLE AS gap_{n}" for n in QUANTILES) + " FROM dr, tc WHERE ts >= c"
+)
+def quantile_tuned_small(spark, sf_dir):
+    """Settings per quantile drawn and scored by pinball loss, stored and read again, refitted with early
+    stopping, saved and loaded: how far the loaded models' bounds lie from the fitted ones. Small: 2 draws,
+    2 folds, 3 rounds in the search and up to 12 with a patience of 4 in the refit.
+    """
+    train, val, test = _parts(_daily_features(spark, sf_dir))
+    space = {"max_depth": ("int", 2, 4), "learning_rate": ("log", 0.1, 0.5), "colsample_bytree": ("real", 0.6, 1.0)}
+    params = tune_interval(train.unionByName(val), "ts", [], _INPUTS, "v", space, n_iter=2, n_splits=2, n_estimators=3)
+    folder = scratch_path(spark, "quantiles")
+    store_params(spark, params, f"{folder}/params")
+    models = fit_interval(train, _INPUTS, "v", stored_params(spark, f"{folder}/params"), val, n_estimators=12, patience=4)
+    save_interval(models, spark, f"{folder}/models")
+    loaded = predict_interval(load_interval(spark, f"{folder}/models"), test).select("ts", *[F.col(n).alias(f"again_{n}") for n in QUANTILES])
+    both = predict_interval(models, test).join(loaded, "ts")
+    return both.select("ts", F.col("v").alias("y"), *[F.round(F.abs(F.col(n) - F.col(f"again_{n}")), 6).alias(f"gap_{n}") for n in QUANTILES])
+
+
 @query()
 def quantile_gbt(spark, sf_dir):
     train, val, test = _parts(_daily_features(spark, sf_dir))
@@ -371,15 +428,16 @@ def pca_codes_forecast(spark, sf_dir):
     return _scored(model.fit(codes.encode(train)), codes.encode(test))
 
 
-@query()
+@query(f"WITH {_DAILY_SPLIT} SELECT ts, y, 0.0::DOUBLE AS gap FROM dr, tc WHERE ts >= c")
 def model_save_load(spark, sf_dir):
-    """Predictions of a model and of its saved and loaded copy, side by side."""
+    """How far predictions of a model and of its saved and loaded copy lie apart."""
     train, _, test = _parts(_daily_features(spark, sf_dir))
     model = _boosted(5).fit(train)
     path = scratch_path(spark, "model")
     model.save(spark, path)
     loaded = Forecaster.load(spark, path)
-    return _scored(model, test).join(_scored(loaded, test).select("ts", F.col("prediction").alias("loaded")), "ts")
+    both = _scored(model, test).join(_scored(loaded, test).select("ts", F.col("prediction").alias("loaded")), "ts")
+    return both.select("ts", "y", F.round(F.abs(F.col("prediction") - F.col("loaded")), 6).alias("gap"))
 
 
 @query()
@@ -511,9 +569,16 @@ def interval_ensemble(spark, sf_dir):
 
 @query()
 def ensemble_leaderboard(spark, sf_dir):
-    """Two tuned models, their blend weight from validation rows, and scores of all three on test."""
+    """Two models with searched and stored settings, their blend weight from validation rows, and scores of
+    all three on test. The searches try two settings each on two folds.
+    """
     train, val, test = _parts(_daily_features(spark, sf_dir))
-    models = {"forest": _forest(n_estimators=20, max_depth=6).fit(train), "boosted": _boosted(10).fit(train)}
+    makers = {"forest": lambda p: _forest(n_estimators=20, **p), "boosted": lambda p: _boosted(10, **p)}
+    grids = {"forest": {"max_depth": [4, 8]}, "boosted": {"max_depth": [2, 4]}}
+    best = {m: search(train, "ts", [], make, expand_grid(grids[m]), n_splits=2, scores=("rmse",)).best_params for m, make in makers.items()}
+    path = scratch_path(spark, "params")
+    store_params(spark, best, path)
+    models = {m: makers[m](p).fit(train) for m, p in stored_params(spark, path).items()}
 
     def both(rows):
         for name, model in models.items():

@@ -65,6 +65,29 @@ def pivot_year_month(spark, sf_dir):
     return P.pivot_profile(orders, {"month": F.month("o_orderdate")}, F.year("o_orderdate"), I.years_of(orders, "o_orderdate"), "v", prefix="y")
 
 
+_MEASURES = {"quantity": "l_quantity", "price": "round(l_extendedprice * 100)", "tax": "round(l_tax * 100)"}
+# Ship dates of the supplied items, for the SQL form.
+_SHIP_YEARS = list(range(1995, 2002))
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT '{m}' AS measure, CAST(month(l_shipdate) AS INTEGER) AS month, "
+        + ", ".join(f"avg({e}) FILTER (WHERE year(l_shipdate) = {y}) AS y{y}" for y in _SHIP_YEARS)
+        + " FROM lineitem GROUP BY 2"
+        for m, e in _MEASURES.items()
+    )
+)
+def pivot_year_month_measures(spark, sf_dir):
+    """Three measures: means per month and year in one pass, then turned."""
+    items = I.table(spark, sf_dir, "lineitem")
+    means = items.groupBy(F.month("l_shipdate").alias("month"), F.year("l_shipdate").alias("year")).agg(
+        F.avg("l_quantity").alias("quantity"), F.avg(I.cents("l_extendedprice")).alias("price"), F.avg(I.cents("l_tax")).alias("tax")
+    )
+    long = means.unpivot(["month", "year"], list(_MEASURES), "measure", "v")
+    return P.pivot_profile(long, {"measure": F.col("measure"), "month": F.col("month")}, F.col("year"), I.years_of(items, "l_shipdate"), "v", prefix="y")
+
+
 @query(
     "SELECT CAST(hour(ts) AS INTEGER) AS hour, avg(round(value * 100)) FILTER (WHERE isodow(ts) < 6) AS \"Weekday\", "
     "avg(round(value * 100)) FILTER (WHERE isodow(ts) >= 6) AS \"Weekend\" FROM events GROUP BY 1"
@@ -177,7 +200,7 @@ def _acf(spark, sf_dir):
     return correlogram.autocorrelation(filled, ["event_type"], "ts", "v", _ACF_LAGS, HOUR)
 
 
-@query(
+_ACF_SQL = (
     f"WITH {I.HOURLY_FILLED}, o AS (SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY ts) AS i, "
     "v - avg(v) OVER (PARTITION BY event_type) AS x, count(v) OVER (PARTITION BY event_type) AS n FROM hfill), "
     f"k AS (SELECT CAST(unnest(range(0, {_ACF_LAGS + 1})) AS INTEGER) AS lag), "
@@ -185,7 +208,12 @@ def _acf(spark, sf_dir):
     "WHERE b.event_type = a.event_type AND b.i = a.i + k.lag GROUP BY 1, 2), "
     "r AS (SELECT event_type, lag, s / first_value(s) OVER (PARTITION BY event_type ORDER BY lag) AS acf, n FROM s), "
     "c AS (SELECT *, coalesce(sum(CASE WHEN lag > 0 THEN acf * acf END) OVER (PARTITION BY event_type ORDER BY lag ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sq FROM r) "
-    f"SELECT event_type, lag, round(acf, 6) + 0.0 AS acf, round(CASE WHEN lag = 0 THEN 0 ELSE {correlogram.Z_95} * sqrt((1 + 2 * sq) / n) END, 6) AS band FROM c"
+)
+
+
+@query(
+    _ACF_SQL
+    + f"SELECT event_type, lag, round(acf, 6) + 0.0 AS acf, round(CASE WHEN lag = 0 THEN 0 ELSE {correlogram.Z_95} * sqrt((1 + 2 * sq) / n) END, 6) AS band FROM c"
 )
 def acf(spark, sf_dir):
     table = _acf(spark, sf_dir)
@@ -194,9 +222,18 @@ def acf(spark, sf_dir):
     )
 
 
-@query()
+@query(
+    _ACF_SQL.replace("WITH ", "WITH RECURSIVE ", 1)
+    + ", l AS (SELECT event_type, list(acf ORDER BY lag) AS r, any_value(n) AS n FROM c GROUP BY 1), "
+    "dl AS (SELECT event_type, r, n, 1 AS lag, [r[2]] AS phi, 1 - r[2] * r[2] AS err, r[2] AS refl FROM l UNION ALL "
+    "SELECT event_type, r, n, lag + 1, list_append(list_transform(range(1, lag + 1), lambda i: phi[i] - g * phi[lag + 1 - i]), g), err * (1 - g * g), g "
+    "FROM (SELECT *, (r[lag + 2] - list_sum(list_transform(range(1, lag + 1), lambda i: phi[i] * r[lag + 2 - i]))) / err AS g FROM dl WHERE lag + 1 < len(r))) "
+    f"SELECT event_type, CAST(lag AS INTEGER) AS lag, round(refl, 6) + 0.0 AS pacf, round({correlogram.Z_95} / sqrt(n), 6) AS band FROM dl "
+    "UNION ALL SELECT event_type, 0, 1.0, 0.0 FROM l"
+)
 def pacf(spark, sf_dir):
-    return correlogram.partial_autocorrelation(_acf(spark, sf_dir), ["event_type"])
+    table = correlogram.partial_autocorrelation(_acf(spark, sf_dir), ["event_type"])
+    return table.select("event_type", "lag", (F.round("pacf", 6) + F.lit(0.0)).alias("pacf"), F.round(F.col("upper") - F.col("pacf"), 6).alias("band"))
 
 
 @query(

@@ -9,7 +9,7 @@ from tidemill.catalog.registry import registry
 from tidemill.functions.timecols import DAY, HOUR, epoch_seconds
 from tidemill.operators import clean, features, fill, grid
 from tidemill.plans.national import build_features, clean_slots, encode_features, stack_sources
-from tidemill.plans.panel import clean_panel, panel_features, weather_lags
+from tidemill.plans.panel import clean_panel, clean_weather, panel_features, weather_lags
 
 QUERIES, ORACLES, query = registry()
 _TYPE = ["event_type"]
@@ -305,3 +305,24 @@ def panel_features_of_orders(spark, sf_dir):
 def weather_row_lags(spark, sf_dir):
     weather = I.weather(spark, sf_dir).select("ts", "temperature", *I.WEATHER_ORDER)
     return weather_lags(weather, "ts", "temperature", I.WEATHER_ORDER).drop(*I.WEATHER_ORDER)
+
+
+_WEATHER_LAGS = (1, 24, 48, 72, 168)
+_ROW_ORDER = f"ORDER BY ts, {', '.join(I.WEATHER_ORDER)}"
+
+
+@query(
+    "WITH w0 AS (SELECT l_shipdate AS ts, l_quantity AS temperature, CASE WHEN l_linenumber <> 3 THEN round(l_tax * 100) END AS pressure, "
+    f"{', '.join(I.WEATHER_ORDER)} FROM lineitem), "
+    f"w1 AS (SELECT *, coalesce(pressure, (lag(pressure) OVER ({_ROW_ORDER}) + lead(pressure) OVER ({_ROW_ORDER})) / 2) AS filled FROM w0), "
+    f"w2 AS (SELECT ts, temperature, filled AS pressure FROM w1 QUALIFY row_number() OVER (PARTITION BY ts {_ROW_ORDER}) = 1), "
+    "w3 AS (SELECT *, " + ", ".join(f"lag(temperature, {k}) OVER (ORDER BY ts) AS temperature_lag_{k}" for k in _WEATHER_LAGS)
+    + " FROM w2) SELECT * FROM w3 WHERE temperature_lag_168 IS NOT NULL AND pressure IS NOT NULL",
+    name="clean_weather",
+)
+def clean_weather_of_items(spark, sf_dir):
+    """Pressure has gaps, filled from the rows around them while repeated times are still there."""
+    items = I.table(spark, sf_dir, "lineitem")
+    pressure = F.when(F.col("l_linenumber") != 3, I.cents("l_tax"))
+    rows = items.select(F.col("l_shipdate").alias("ts"), F.col("l_quantity").alias("temperature"), pressure.alias("pressure"), *I.WEATHER_ORDER)
+    return clean_weather(rows, "ts", ["pressure"], "temperature", I.WEATHER_ORDER, _WEATHER_LAGS).drop(*I.WEATHER_ORDER)

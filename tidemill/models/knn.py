@@ -13,13 +13,17 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+
+from tidemill.models.forecaster import PREDICTION
+from tidemill.operators.metrics import point_metrics
 
 ROWS_PER_CHUNK = 20_000
 #: Rows of a group below which more tasks do not pay.
 LEAST_CHUNK = 1_000
 MAX_PIVOTS = 512
 _SLACK = 1e-9
+_META = "features array<string>, target string, id_col string, k int, weights string, p double"
 
 
 def _vector(features: Sequence[str] | str) -> Column:
@@ -170,3 +174,39 @@ def knn_predict(neighbours: DataFrame, id_col: str, weights: str = "uniform") ->
     """(id, prediction); weights: uniform or distance."""
     mean = uniform_mean() if weights == "uniform" else distance_mean()
     return neighbours.groupBy(id_col).agg(mean.alias("prediction"))
+
+
+class NeighbourForecaster:
+    """k-NN regression with the contract of `Forecaster`: fit keeps the rows, predict searches them.
+
+    `id_col` names a row, in training and in scored tables; it settles equal distances. Rows without an id
+    or a feature get no prediction. Features should be scaled before.
+    """
+
+    def __init__(self, features: Sequence[str], target: str, id_col: str, k: int = 5, weights: str = "uniform", p: float = 2):
+        if weights not in ("uniform", "distance"):
+            raise ValueError("weights: uniform or distance")
+        self.features, self.target, self.id_col = list(features), target, id_col
+        self.k, self.weights, self.p = k, weights, p
+        self.rows: DataFrame | None = None
+
+    def fit(self, df: DataFrame) -> NeighbourForecaster:
+        self.rows = df.select(self.id_col, *self.features, self.target)
+        return self
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        near = nearest(self.rows, df, self.features, self.id_col, self.target, self.k, self.p)
+        return df.join(knn_predict(near, self.id_col, self.weights), self.id_col, "left")
+
+    def evaluate(self, df: DataFrame, scores=("rmse", "mae", "mape", "sd")) -> DataFrame:
+        return point_metrics(self.predict(df), self.target, PREDICTION, scores=scores)
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        self.rows.write.mode("overwrite").parquet(f"{path}/rows")
+        row = (self.features, self.target, self.id_col, self.k, self.weights, float(self.p))
+        spark.createDataFrame([row], _META).write.mode("overwrite").json(f"{path}/meta")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> NeighbourForecaster:
+        meta = spark.read.schema(_META).json(f"{path}/meta").first()
+        return cls(*meta).fit(spark.read.parquet(f"{path}/rows"))

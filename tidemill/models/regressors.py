@@ -50,16 +50,23 @@ def gradient_boosting(
     learning_rate: float = 0.1,
     subsample: float = 1.0,
     colsample_bytree: float = 1.0,
+    min_child_weight: int = 1,
+    gamma: float = 0.0,
     random_state: int = 42,
     max_bins: int = 32,
 ) -> GBTRegressor:
-    """Boosted trees with squared loss; columns are sampled per node (MLlib), not per tree."""
+    """Boosted trees with squared loss; columns are sampled per node (MLlib), not per tree.
+
+    min_child_weight is the least number of rows of a leaf, gamma the least gain of a split (mean per row).
+    """
     return GBTRegressor(
         maxIter=n_estimators,
         maxDepth=max_depth,
         stepSize=learning_rate,
         subsamplingRate=subsample,
         featureSubsetStrategy=_feature_share(colsample_bytree),
+        minInstancesPerNode=min_child_weight,
+        minInfoGain=gamma,
         seed=random_state,
         maxBins=max_bins,
     )

@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import itertools
+import json
 import math
 import random
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemill.models.forecaster import PREDICTION, Forecaster
 from tidemill.operators.metrics import point_metrics
 from tidemill.operators.split import expanding_folds, fold_test, fold_train
+from tidemill.sources.tables import read_json, write_json
 
 
 def expand_grid(grid: Mapping[str, Sequence] | Sequence[Mapping[str, Sequence]]) -> list[dict]:
@@ -101,21 +103,39 @@ class EarlyStop:
 def boost_with_early_stop(
     make: Callable[[int], Forecaster], train: DataFrame, val: DataFrame, max_iter: int, patience: int
 ) -> EarlyStop:
-    """Boost `max_iter` rounds, keep the round after which `patience` rounds brought no better
-    validation loss, and refit with that many rounds. `make(n)` builds a model of n rounds.
-    """
-    full = make(max_iter).fit(train)
-
-    def curve(df: DataFrame) -> list[float]:
-        return full.regressor.evaluateEachIteration(full.vectors(df), "squared")
+    """Boost until `patience` rounds bring no better validation loss (or `max_iter` rounds), and keep the
+    model of the best round. `make(n)` builds a model of n rounds, the same ones for any n.
 
-    train_loss, val_loss = curve(train), curve(val)
-    best = 0
-    for i, loss in enumerate(val_loss):
-        if loss < val_loss[best]:
-            best = i
-        elif i - best >= patience:
+    Rounds are added by doubling, so no more than about twice the rounds needed are trained, whatever
+    `max_iter`; the best round is trained by itself unless it is the last one.
+    """
+    rounds = min(max_iter, max(2 * patience, 1))
+    while True:
+        full = make(rounds).fit(train)
+        val_loss = full.regressor.evaluateEachIteration(full.vectors(val), "squared")
+        best, stopped = 0, None
+        for i, loss in enumerate(val_loss):
+            if loss < val_loss[best]:
+                best = i
+            elif i - best >= patience:
+                stopped = i + 1
+                break
+        if stopped or rounds >= max_iter:
             break
-    rows = [(i + 1, t, v) for i, (t, v) in enumerate(zip(train_loss, val_loss))]
+        rounds = min(max_iter, 2 * rounds)
+    train_loss = full.regressor.evaluateEachIteration(full.vectors(train), "squared")
+    rows = [(i + 1, t, v) for i, (t, v) in enumerate(zip(train_loss, val_loss))][:stopped]
     losses = train.sparkSession.createDataFrame(rows, "iteration int, train_loss double, val_loss double")
-    return EarlyStop(make(best + 1).fit(train), best + 1, losses)
+    model = full if best + 1 == rounds else make(best + 1).fit(train)
+    return EarlyStop(model, best + 1, losses)
+
+
+def store_params(spark: SparkSession, params: Mapping[str, Mapping], path: str) -> None:
+    """Settings by model name, as JSON lines."""
+    write_json(spark.createDataFrame([(name, json.dumps(dict(p))) for name, p in params.items()], "model string, params string"), path)
+
+
+def stored_params(spark: SparkSession, path: str) -> dict[str, dict]:
+    """What `store_params` wrote; numbers keep every bit."""
+    rows = read_json(spark, path, "model string, params string").collect()
+    return {r["model"]: json.loads(r["params"]) for r in rows}

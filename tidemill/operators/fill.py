@@ -55,10 +55,10 @@ def fill_midpoint(df: DataFrame, keys: Sequence[str], time: str, cols: Sequence[
 
 
 def fill_neighbour_mean(
-    df: DataFrame, keys: Sequence[str], time: str, cols: Sequence[str], step: int | None = None
+    df: DataFrame, keys: Sequence[str], time: str, cols: Sequence[str], step: int | None = None, tie: Sequence[str] = ()
 ) -> DataFrame:
     """A null takes the mean of the rows just before and after it; wider gaps stay null."""
     windows = {f"_mean_{c}": lambda w, c=c: (F.lag(c).over(w) + F.lead(c).over(w)) / 2 for c in cols}
-    added = over_rows(df, keys, time, windows, back=1, ahead=1, step=step)
+    added = over_rows(df, keys, time, windows, back=1, ahead=1, step=step, tie=tie)
     filled = added.withColumns({c: F.coalesce(F.col(c), F.col(f"_mean_{c}")) for c in cols})
     return filled.select(*df.columns)

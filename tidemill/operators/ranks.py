@@ -7,6 +7,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
 from tidemill.functions.timecols import epoch_micros
+from tidemill.session import cut_lineage
 
 _CELLS = 4_096
 
@@ -49,9 +50,7 @@ def rows_at(
     for (start, stop, count), wanted in done.items():
         cell_rows = _within(rows, start, stop)
         if count > max_rows:
-            # One instant shared by very many rows: all alike without a tie, else a sort for each rank.
-            for rank, at in wanted:
-                found[rank] = cell_rows.orderBy(*tie).offset(at).limit(1).first() if tie else cell_rows.first()
+            found.update(_in_one_instant(cell_rows, tie, wanted, count, max_rows))
             continue
         number = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(time, *tie)) - 1
         picks = cell_rows.withColumn("_at", number).where(F.col("_at").isin([at for _, at in wanted]))
@@ -60,6 +59,31 @@ def rows_at(
     return found
 
 
+def _in_one_instant(rows: DataFrame, tie: Sequence[str], wanted: list[tuple[int, int]], count: int, max_rows: int) -> dict[int, Row]:
+    """Ranks among very many rows of one instant. Without a tie they are all alike; else the rows are dealt
+    into ranges of the tie, kept by a checkpoint (ranges come from a sample), and only ranges that hold a
+    wanted rank are numbered. Rows of equal ties share a range, and any of them will do.
+    """
+    if not tie:
+        row = rows.first()
+        return {rank: row for rank, _ in wanted}
+    dealt = rows.repartitionByRange(min(_CELLS, 2 * -(-count // max_rows)), *tie).withColumn("_range", F.spark_partition_id())
+    dealt = cut_lineage(dealt)
+    found, before = {}, 0
+    for c in sorted(dealt.groupBy("_range").count().collect(), key=lambda r: r["_range"]):
+        inside = {at - before: rank for rank, at in wanted if before <= at < before + c["count"]}
+        if inside:
+            # Rows of equal ties count once, with their number: a range of one tie value is one row.
+            part = dealt.where(F.col("_range") == c["_range"]).groupBy(*[x for x in rows.columns]).agg(F.count(F.lit(1)).alias("_n"))
+            end = F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy(*tie).rowsBetween(Window.unboundedPreceding, 0))
+            ended = part.withColumn("_end", end)
+            hit = F.array(*[F.lit(a) for a in sorted(inside)])
+            picked = ended.withColumn("_at", F.explode(F.filter(hit, lambda a: (a < F.col("_end")) & (a >= F.col("_end") - F.col("_n")))))
+            found.update({inside[row["_at"]]: row for row in picked.collect()})
+        before += c["count"]
+    return found
+
+
 def _within(rows: DataFrame, start: int | None, stop: int | None) -> DataFrame:
     if start is None:
         return rows.where(F.col("_us").isNull())

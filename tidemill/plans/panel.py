@@ -11,7 +11,7 @@ from tidemill.functions.calendar import with_calendar
 from tidemill.functions.timecols import HOUR
 from tidemill.operators.clean import dedup_keep_first
 from tidemill.operators.features import lag_and_rolling
-from tidemill.operators.fill import fill_midpoint, interpolate_time
+from tidemill.operators.fill import fill_midpoint, fill_neighbour_mean, interpolate_time
 from tidemill.operators.filters import skip_first
 from tidemill.operators.grid import resample_mean
 from tidemill.operators.joins import left_join_time
@@ -56,3 +56,13 @@ def weather_lags(df: DataFrame, time: str, col: str, order: Sequence[str | Colum
     """Keep-first weather rows with row lags (rows, not hours: no grid is laid first)."""
     unique = dedup_keep_first(df, [time], order)
     return lag_and_rolling(unique, [], time, col, lags).dropna("any")
+
+
+def clean_weather(
+    df: DataFrame, time: str, fill: Sequence[str], col: str, order: Sequence[str], lags: Sequence[int] = (1, 24, 48, 72, 168)
+) -> DataFrame:
+    """Weather rows in source order: single gaps of `fill` take the mean of the rows around them (repeated
+    times still present), then keep-first, then row lags of `col`; rows with a null are dropped.
+    """
+    filled = fill_neighbour_mean(df, [], time, fill, tie=order)
+    return weather_lags(filled, time, col, order, lags)
