@@ -10,9 +10,9 @@ from tidemill.catalog import learning as L
 from tidemill.models import regressors as R
 from tidemill.models.compress import Compressor
 from tidemill.models.forecaster import PREDICTION, Forecaster
-from tidemill.models.knn import knn_predict, nearest
-from tidemill.models.quantile import QuantileBoosting, fit_interval, predict_interval
-from tidemill.models.search import boost_with_early_stop, draw, expand_grid, search
+from tidemill.models.knn import NeighbourForecaster, knn_predict, nearest
+from tidemill.models.quantile import QuantileBoosting, fit_interval, predict_interval, tune_interval
+from tidemill.models.search import boost_with_early_stop, draw, expand_grid, search, store_params, stored_params
 from tidemill.operators import blend, metrics as M
 
 
@@ -219,3 +219,126 @@ def test_compression_rebuilds_what_is_linear(spark):
     assert M.reconstruction_metrics(comp.reconstruct(df), "original", "rebuilt").first().recon_mse < 1e-12
     assert M.reconstruction_metrics(Compressor(names, 1).fit(df).reconstruct(df), "original", "rebuilt").first().recon_mse > 1e-3
     assert comp.encode(df).columns == [*names, "code_0", "code_1"]
+
+
+def test_boosting_stops_where_nothing_is_gained(spark, toy):
+    train, val = toy.where("a < 0"), toy.where("a >= 0").withColumn("y", -F.col("y"))
+    trained = []
+
+    def make(n):
+        trained.append(n)
+        return Forecaster(R.gradient_boosting(n), ["b"], "y")
+
+    found = boost_with_early_stop(make, train, val, 200, 2)
+    losses = [r.val_loss for r in found.losses.orderBy("iteration").collect()]
+    assert found.best_iteration == int(np.argmin(losses)) + 1 and len(losses) == found.best_iteration + 2
+    assert max(trained) < 50
+
+
+def test_stored_params_keep_every_bit(spark, tmp_path):
+    params = {"lower": {"learning_rate": 0.1 + 0.2, "max_depth": 7}, "upper": {}}
+    store_params(spark, params, str(tmp_path / "p"))
+    assert stored_params(spark, str(tmp_path / "p")) == params
+
+
+def test_quantile_model_reloads_and_scores(spark, toy, tmp_path):
+    model = QuantileBoosting(["a", "b"], "y", 0.9, n_estimators=4, learning_rate=0.5, colsample_bytree=0.5).fit(toy)
+    row = model.evaluate(toy).first()
+    model.save(spark, str(tmp_path / "m"))
+    assert QuantileBoosting.load(spark, str(tmp_path / "m")).evaluate(toy).first() == row
+    assert 0.8 < row.share_below <= 1
+
+
+def test_quantile_search_prefers_the_better_setting(spark, toy):
+    space = {"max_depth": ("int", 0, 4), "learning_rate": ("real", 0.5, 0.5)}
+    drawn = [d["max_depth"] for d in draw(space, 3, seed=1)]
+    assert len(set(drawn)) > 1
+    best = tune_interval(toy, "ts", [], ["a", "b"], "y", space, n_iter=3, n_splits=2, n_estimators=2, seed=1)
+    assert set(best) == {"lower", "median", "upper"} and best["median"]["max_depth"] == max(drawn)
+
+
+def test_neighbours_as_a_model(spark, toy, tmp_path):
+    rows = toy.withColumn("id", F.unix_micros(F.col("ts").cast("timestamp")))
+    train, test = rows.where("ts < timestamp_ntz'2024-01-20'"), rows.where("ts >= timestamp_ntz'2024-01-20'")
+    model = NeighbourForecaster(["a", "b"], "y", "id", k=3, weights="distance", p=1).fit(train)
+    score = model.evaluate(test).first()
+    assert score.rmse < 0.6
+    model.save(spark, str(tmp_path / "m"))
+    assert NeighbourForecaster.load(spark, str(tmp_path / "m")).evaluate(test).first().rmse == pytest.approx(score.rmse)
+    found = search(train, "ts", [], lambda p: NeighbourForecaster(["a", "b"], "y", "id", **p), expand_grid({"k": [3, 200]}), n_splits=2)
+    assert found.best_params == {"k": 3}
+
+
+# --- registered queries without a SQL form -----------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def naive(features):
+    return features.where("split = 'test'").select("ts", F.col("v").alias("y"), F.col("v_lag_7").alias("naive")).toPandas().set_index("ts").sort_index()
+
+
+def _rmse(a, b):
+    return float(np.sqrt(np.mean((np.asarray(a) - np.asarray(b)) ** 2)))
+
+
+def _query(spark, name):
+    return L.QUERIES[name](spark, SF).toPandas()
+
+
+@pytest.mark.parametrize("name", ["pca_codes_forecast", "tune_older_refit_newer"])
+def test_forecast_queries_beat_last_week(spark, naive, name):
+    got = _query(spark, name).set_index("ts").sort_index()
+    assert list(got.index) == list(naive.index) and np.allclose(got.y, naive.y)
+    assert _rmse(got.prediction, got.y) < _rmse(naive.naive, naive.y)
+
+
+def test_quantile_query(spark, naive):
+    got = _query(spark, "quantile_gbt").set_index("ts").sort_index()
+    assert list(got.index) == list(naive.index) and np.allclose(got.y, naive.y)
+    assert np.mean((got.y >= got.lower) & (got.y <= got.upper)) > 0.9
+    assert np.mean(got.lower) < np.mean(got["median"]) < np.mean(got.upper)
+
+
+def test_batch_score_query(spark, features):
+    got = _query(spark, "batch_score").set_index("ts").sort_index()
+    want = features.select("ts", "v", "split").toPandas().set_index("ts").sort_index()
+    assert list(got.index) == list(want.index) and np.allclose(got.y, want.v) and got.prediction.notna().all()
+    old = (want.split == "train").to_numpy()
+    assert _rmse(got.prediction[old], got.y[old]) < np.std(got.y[old])
+
+
+def test_compression_queries(spark):
+    rows, names = L._vector_columns(spark, SF)
+    x = rows.orderBy("vec_id").select(*names).toPandas().to_numpy()
+    z = (x - x.mean(0)) / np.where(x.std(0) > 0, x.std(0), 1)
+    s = np.linalg.svd(z, compute_uv=False)
+    codes = _query(spark, "pca_codes").sort_values("vec_id")[[f"code_{i}" for i in range(8)]].to_numpy()
+    assert np.allclose(codes.var(axis=0), s[:8] ** 2 / len(x), rtol=1e-6)
+    error = _query(spark, "pca_reconstruction_error").iloc[0]
+    assert error.recon_mse == pytest.approx((s[8:] ** 2).sum() / z.size, rel=1e-6)
+
+
+def test_search_queries(spark):
+    grid = _query(spark, "grid_search_cv").sort_values("candidate")
+    assert list(grid.params) == [str(p) for p in ({"kernel": "linear", "C": 0.1}, {"kernel": "linear", "C": 1.0}, {"kernel": "rbf", "C": 1.0, "gamma": 0.1})]
+    assert (grid.cv_rmse >= grid.cv_mae).all() and (grid.cv_mae > 0).all()
+    near = _query(spark, "knn_search_cv").sort_values("candidate")
+    assert len(near) == 12 and (near.cv_rmse >= near.cv_mae).all()
+    drawn = _query(spark, "random_search_cv").sort_values("candidate")
+    assert list(drawn.columns) == ["candidate", "cv_pinball", "params"] and len(drawn) == 2 and (drawn.cv_pinball > 0).all()
+
+
+def test_early_stop_query(spark):
+    got = _query(spark, "gbt_early_stop").sort_values("iteration")
+    assert got.best_iteration.nunique() == 1 and got.best_iteration.iloc[0] == int(got.val_loss.to_numpy().argmin()) + 1
+    assert list(got.iteration) == list(range(1, len(got) + 1)) and got.train_loss.iloc[-1] < got.train_loss.iloc[0]
+    assert len(got) in (20, got.best_iteration.iloc[0] + 5)
+
+
+def test_panel_and_leaderboard_queries(spark):
+    panel = _query(spark, "panel_forecast").iloc[0]
+    assert panel.rmse > 0 and panel.rmse >= panel.mae and panel.r2 < 1 and 0 < panel.smape <= 200
+    board = _query(spark, "ensemble_leaderboard").set_index("model")
+    assert set(board.index) == {"forest", "boosted", "blend"} and board.weight_forest.between(0, 1).all()
+    # A blend of two never does worse than the worse of the two.
+    assert board.rmse["blend"] <= max(board.rmse["forest"], board.rmse["boosted"]) + 1e-9

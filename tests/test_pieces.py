@@ -220,3 +220,14 @@ def test_first_days_bounds_reach_the_scan(spark):
     events = spark.read.parquet(f"{SF}/events.parquet")
     plan = first_days(events, "ts")._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(ts" in plan and "LessThan(ts" in plan
+
+
+def test_ranks_inside_one_hot_instant(spark):
+    """Ranges of the tie, with a value that alone fills several ranges, and NULLs."""
+    ties = [None] * 40 + [7] * 900 + list(range(1000))
+    df = spark.createDataFrame([(dt.datetime(2024, 1, 1), t) for t in ties], "ts timestamp_ntz, tie int").repartition(7)
+    order = sorted(ties, key=lambda t: (t is not None, t or 0))
+    want = [0, 39, 40, 47, 500, 946, 947, 948, 1500, 1939]
+    found = ranks.rows_at(df, "ts", ["tie"], want, max_rows=50)
+    assert {r: found[r]["tie"] for r in want} == {r: order[r] for r in want}
+    assert ranks.rows_at(df, "ts", [], [3, 1000], max_rows=50)[1000]["ts"] == dt.datetime(2024, 1, 1)
