@@ -231,3 +231,20 @@ def test_ranks_inside_one_hot_instant(spark):
     found = ranks.rows_at(df, "ts", ["tie"], want, max_rows=50)
     assert {r: found[r]["tie"] for r in want} == {r: order[r] for r in want}
     assert ranks.rows_at(df, "ts", [], [3, 1000], max_rows=50)[1000]["ts"] == dt.datetime(2024, 1, 1)
+
+
+def test_ordinals_of_a_burst(spark):
+    """Most rows stand on one instant, many of them equal in time and tie: no piece exceeds its share."""
+    burst = dt.datetime(2024, 1, 1)
+    rows = [("a", burst, i % 50) for i in range(4000)] + [(None, burst + dt.timedelta(hours=i % 9), i) for i in range(300)] + [("a", None, 1)]
+    df = spark.createDataFrame(rows, "k string, ts timestamp_ntz, tie int").repartition(5)
+    assert B.piece_width(df, ["k"], "ts", max_rows=200) is None
+    got = B.with_ordinal(df, ["k"], "ts", ["tie"], most_rows=200)
+    assert got.count() == len(rows)
+    for k in ("a", None):
+        own = sorted(((t is not None, t or burst, tie) for key, t, tie in rows if key == k))
+        found = got.where(F.col("k").eqNullSafe(F.lit(k))).orderBy("ordinal").collect()
+        assert [r["ordinal"] for r in found] == list(range(len(own)))
+        assert [(r["ts"] is not None, r["ts"] or burst, r["tie"]) for r in found] == own
+    pieces = B.cut_by_ranges(df, ["k", "ts", "tie"], 200).groupBy(B.PIECE).count()
+    assert pieces.agg(F.max("count")).first()[0] <= 600

@@ -38,7 +38,7 @@ def gap_histogram_source_order(spark, sf_dir):
     """Rows as a day-by-day, type-by-type file would hold them: steps go back as well as forward."""
     ev = I.table(spark, sf_dir, "events").select("ts", "event_type", "event_id")
     day = F.floor(epoch_seconds("ts") / DAY)
-    steps = clean.time_steps(ev.withColumn("day", day), [], "ts", ["day", "event_type", "ts", "event_id"], F.struct("day", "event_type"))
+    steps = clean.time_steps(ev.withColumn("day", day), [], "ts", ["day", "event_type", "ts", "event_id"])
     whole = F.floor("step_seconds").alias("whole_seconds")
     return steps.where(F.col("step_seconds").isNotNull()).groupBy(whole).agg(F.count(F.lit(1)).alias("n_rows"))
 

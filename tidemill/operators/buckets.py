@@ -9,8 +9,8 @@ Two ways to cut:
 * by time, for rows on a regular step: at most width/step rows per piece, one shuffle;
 * by ordinal, for irregular rows: rows are numbered first, so pieces have equal row counts.
 
-A series key is never NULL: rows without one belong to no series, so label them first. Joins
-between pieces and their summaries are plain equi-joins, which share the shuffle of the windows.
+A NULL series key is a series of its own: joins between pieces and their summaries run on the keys as one
+struct, as plain equi-joins that share the shuffle of the windows.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.window import WindowSpec
 
 from tidemill.functions.timecols import epoch_micros, epoch_seconds
+from tidemill.session import cut_lineage
 
 PIECE = "_piece"
 OWNED = "_owned"
@@ -30,6 +31,8 @@ _SECOND = 1_000_000
 _NO_TIME = -(2**62)
 # Candidate widths in microseconds for cutting irregular rows, widest first.
 _WIDTHS = [d * 86_400 * _SECOND for d in (365, 30, 1)] + [3_600 * _SECOND, 60 * _SECOND, _SECOND, 1_000]
+#: Rows that one task may number.
+ROWS_PER_CUT = 1_000_000
 
 WindowColumn = Callable[[WindowSpec], Column]
 
@@ -56,8 +59,8 @@ def series_of(keys: Sequence[str]) -> list[str]:
     return [SERIES] if keys else []
 
 
-def piece_width(df: DataFrame, keys: Sequence[str], time: str, max_rows: int = 1_000_000) -> int:
-    """Widest cut for which no (series, piece) holds more than `max_rows` rows.
+def piece_width(df: DataFrame, keys: Sequence[str], time: str, max_rows: int = ROWS_PER_CUT) -> int | None:
+    """Widest cut for which no (series, piece) holds more than `max_rows` rows; None if there is none.
 
     Every candidate costs one map-side-combined count; the first ones nearly always fit.
     """
@@ -65,7 +68,21 @@ def piece_width(df: DataFrame, keys: Sequence[str], time: str, max_rows: int = 1
         counts = with_piece(df.select(*keys, time), time, width).groupBy(*keys, PIECE).count()
         if (counts.agg(F.max("count")).first()[0] or 0) <= max_rows:
             return width
-    return _WIDTHS[-1]
+    return None
+
+
+def cut_by_ranges(df: DataFrame, order: Sequence[str], rows: int = ROWS_PER_CUT) -> DataFrame:
+    """Rows with a piece number that grows along `order`, of about `rows` rows each.
+
+    Pieces part rows of one instant too, even rows that are equal in all of `order`: a running number, taken
+    from a checkpoint so that it stays the same, comes last in the order. Ranges come from a sample, so the
+    result is kept by a checkpoint as well.
+    """
+    kept = cut_lineage(df)
+    parts = max(1, -(-kept.count() // rows))
+    numbered = kept.withColumn("_running", F.monotonically_increasing_id())
+    ranges = numbered.repartitionByRange(parts, *order, "_running").drop("_running")
+    return cut_lineage(ranges.withColumn(PIECE, F.spark_partition_id().cast("long")))
 
 
 def join_same(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
@@ -103,15 +120,18 @@ def with_ordinal(
     tie: Sequence[str] = (),
     width: int | None = None,
     name: str = "ordinal",
+    most_rows: int = ROWS_PER_CUT,
 ) -> DataFrame:
     """0-based row number per series, without a window over the whole series.
 
     Rows are counted per piece, the counts are summed up over pieces, and rows are numbered only
-    inside their piece.
+    inside their piece. Where no width gives pieces of at most `most_rows` rows (a burst at one instant),
+    pieces are ranges of (series, time, tie) instead.
     """
-    width = width or piece_width(df, keys, time)
+    width = width or piece_width(df, keys, time, most_rows)
     series = series_of(keys)
-    cut = with_piece(with_series(df, keys), time, width)
+    rows = with_series(df, keys)
+    cut = with_piece(rows, time, width) if width else cut_by_ranges(rows, [*series, time, *tie], most_rows)
     counts = cut.groupBy(*series, PIECE).agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy(*series).orderBy(PIECE).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*series, PIECE, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))

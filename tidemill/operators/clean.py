@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemill.functions.timecols import epoch_micros
-from tidemill.operators.buckets import PIECE, piece_width, with_piece
+from tidemill.operators.buckets import PIECE, cut_by_ranges, piece_width, with_piece
 
 
 def dedup_keep_first(df: DataFrame, subset: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
@@ -40,23 +40,24 @@ def time_steps(
 
     In time order (the default) rows of one time are counted first, however many they are: one
     line for the step to that time and, for repeats, one line with step 0; `n_rows` says how many
-    rows have the step. With `order`, steps follow other columns (rows as they were read) and
-    `piece` is a column that grows with that order and cuts the series. A series' first row has a
-    null step.
+    rows have the step. With `order`, steps follow other columns (rows as they were read); the series is cut
+    into ranges of that order, or by `piece`, a column that grows with it. A series' first row has a null
+    step.
 
     Only the first row of each piece needs its predecessor from another piece, and that comes
     from a summary of one row per piece.
     """
     if order is None:
         times = df.groupBy(*keys, time).agg(F.count(F.lit(1)).alias("n_rows"))
-        cut = with_piece(times, time, piece_width(times, keys, time))
+        width = piece_width(times, keys, time)
+        cut = with_piece(times, time, width) if width else cut_by_ranges(times, [*keys, time])
         steps = _steps(cut, keys, time, [*keys, time, "n_rows"], [time])
         repeats = steps.where(F.col("n_rows") > 1)
         repeats = repeats.withColumns({"previous": F.col(time), "n_rows": F.col("n_rows") - 1})
         steps = steps.withColumn("n_rows", F.lit(1).cast("long")).unionByName(repeats)
     else:
         cols = list(dict.fromkeys([*keys, *order, time]))
-        cut = df.select(*cols, piece.alias(PIECE))
+        cut = cut_by_ranges(df.select(*cols), [*keys, *order]) if piece is None else df.select(*cols, piece.alias(PIECE))
         steps = _steps(cut, keys, time, cols, order).withColumn("n_rows", F.lit(1).cast("long"))
     step = (epoch_micros(time) - epoch_micros("previous")) / F.lit(1_000_000)
     return steps.withColumn("step_seconds", step)
