@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemill.functions.timecols import epoch_seconds
 from tidemill.operators.buckets import OWNED, PIECE, ROWS_PER_PIECE, group_sizes, join_per_group, with_halo
+from tidemill.sources.tables import kept
 
 Z_95 = 1.959963984540054
 
@@ -23,10 +24,11 @@ def autocorrelation(
     products in NumPy; pieces send one sum per lag, never pairs of rows. Rows without a time stand on no
     step and are left out; two rows of a series on one step are refused.
     """
-    df = df.where(F.col(time).isNotNull())
-    stats = df.groupBy(*keys).agg(F.avg(value).alias("_mean"), F.count(value).alias("n"))
-    placed = df.select(*keys, (epoch_seconds(time) / step).cast("long").alias("_pos"), F.col(value).alias("_v"))
-    n_series = group_sizes(df.select(*keys), keys)[0] if keys else 1
+    placed = df.where(F.col(time).isNotNull()).select(*keys, (epoch_seconds(time) / step).cast("long").alias("_pos"), F.col(value).alias("_v"))
+    # Counts, means and rows read the series: what it comes from runs once.
+    placed = kept(placed, "series")
+    stats = placed.groupBy(*keys).agg(F.avg("_v").alias("_mean"), F.count("_v").alias("n"))
+    n_series = group_sizes(placed.select(*keys), keys)[0] if keys else 1
     centred = join_per_group(placed, stats.select(*keys, "_mean"), keys, n_series)
     centred = centred.select(*keys, "_pos", F.coalesce(F.col("_v") - F.col("_mean"), F.lit(0.0)).alias("_x"))
     width = max(ROWS_PER_PIECE, 8 * lags)

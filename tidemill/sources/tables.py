@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemill.operators.buckets import join_same
+from tidemill.session import scratch_path
 
 
 def scan_csv(spark: SparkSession, path, schema: str, header: bool = True) -> DataFrame:
@@ -61,3 +62,8 @@ def materialise(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> D
     writer = df.write.mode("overwrite")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def kept(df: DataFrame, label: str) -> DataFrame:
+    """A stage that several later steps read, stored once in the shared scratch folder."""
+    return materialise(df, scratch_path(df.sparkSession, label))
