@@ -336,6 +336,26 @@ def test_leaks(spark):
     assert leaks.leaks(df, bench.limit(0)).count() == 0 and leaks.leaks(df.limit(0), bench).count() == 0
 
 
+def test_leaks_of_many_texts(spark):
+    item = [f"q{i}" for i in range(100)]
+    edited = [w if k % 4 else f"zz{k}" for k, w in enumerate(item)]
+    fragment, rare = item[40:65], item[:30]
+    rows = [(k, f"before {k} " + " ".join(edited) + f" after {k}") for k in range(1000)]
+    rows += [(1000 + k, " ".join(f"f{k}x{j}" for j in range(30)) + " " + " ".join(fragment)) for k in range(1000)]
+    rows += [(2000, " ".join(rare)), (2001, "q1 q2 q3 x q5 q6 q7 " * 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(9, " ".join(item))], "item_id long, text string")
+    assert sorted(r["doc_id"] for r in leaks.leaks(df, bench).collect()) == list(range(2001))
+    assert [r["doc_id"] for r in leaks.without_leaks(df, bench).collect()] == [2001]
+
+
+def test_score_bound():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        a, b = rng.integers(0, 12, 12), rng.integers(0, 12, 40)
+        assert leaks.most(np.unique(a), b) >= leaks.align(a, b)[0]
+
+
 def test_alignment_brute_force():
     rng = np.random.default_rng(2)
     for _ in range(30):

@@ -1,9 +1,11 @@
-"""Benchmark passages in training texts: rare n-gram seeds, then Smith-Waterman alignment of words.
-
-Words are lower-cased (A-Z) and lose closing punctuation. One pass counts in how many texts each n-gram
-of the benchmark occurs; an item's rare ones are its seeds. A second pass looks the seeds up in every text
-and aligns the passages around them, inside the task that holds the text: no text is shuffled. The
-benchmark travels in blocks of bounded size, each with its own two passes.
+"""Benchmark passages in training texts: n-gram seeds, then Smith-Waterman alignment of words.
+
+Words are lower-cased (A-Z) and lose closing punctuation. One pass looks the items' n-grams up in every
+text and aligns the passages around them, inside the task that holds the text: no text is shuffled. Every
+n-gram is a seed, however many texts hold it: copies keep different parts of an item, so a frequent n-gram
+may be all that one of them has left. What a frequent n-gram costs is cut by a bound on the score of its
+passage, which no leak fails, and by aligning equal passages once per batch. The benchmark travels in
+blocks of bounded size, each with its own pass.
 """
 
 from __future__ import annotations
@@ -22,8 +24,6 @@ from tidemill.llm.text import LOWER, raw, shingle_hashes, slices, span_hashes, s
 
 #: Words in a seed.
 SEED_WORDS = 3
-#: A seed occurs in at most this many times as many texts as the item's median n-gram.
-RARE = 10
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Least score as a share of a perfect alignment of the item.
 MIN_SHARE = 0.5
@@ -61,17 +61,6 @@ class Items:
         keys = np.array(sorted(places), dtype=np.uint64)
         return cls(list(ids), [words[first[i] : first[i + 1]] for i in range(len(ids))], keys, [places[int(k)] for k in keys])
 
-    def seeds(self, texts_with: np.ndarray) -> Items:
-        """Only the rare n-grams of each item."""
-        by_item: dict[int, list] = defaultdict(list)
-        for g, places in enumerate(self.places):
-            for i, _ in places:
-                by_item[i].append(int(texts_with[g]))
-        limit = {i: RARE * (1 + float(np.median(c))) for i, c in by_item.items()}
-        places = [[p for p in ps if texts_with[g] <= limit[p[0]]] for g, ps in enumerate(self.places)]
-        keep = np.array([bool(p) for p in places], dtype=bool)
-        return Items(self.ids, self.words, self.grams[keep], [p for p in places if p])
-
 
 def _hits(column: pa.Array, items: Items, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, position, gram) of the items' n-grams in the texts, and the texts' words."""
@@ -100,6 +89,16 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
+def most(item_words: np.ndarray, passage: np.ndarray) -> int:
+    """No alignment scores more: a word of the passage gains at most a match if the item has it, and else costs one.
+
+    item_words: the item's distinct words, sorted.
+    """
+    at = np.minimum(np.searchsorted(item_words, passage), len(item_words) - 1)
+    sums = np.concatenate([[0], np.cumsum(np.where(item_words[at] == passage, MATCH, max(MISMATCH, GAP)))])
+    return int((sums - np.minimum.accumulate(sums)).max())
+
+
 def found_leaks(column: pa.Array, items: Items, n: int = SEED_WORDS) -> Iterator[tuple[int, int, float, int, int]]:
     """(text, item, score, first word, last word + 1) of every leak, the best place of each text and item."""
     text, place, gram, words, first = _hits(column, items, n)
@@ -107,17 +106,29 @@ def found_leaks(column: pa.Array, items: Items, n: int = SEED_WORDS) -> Iterator
     for t, p, g in zip(text.tolist(), place.tolist(), gram.tolist()):
         for i, k in items.places[g]:
             starts[t, i].append(p - k)
+    known: dict[tuple[bytes, bytes], tuple[int, int]] = {}
+    distinct: dict[int, np.ndarray] = {}
     for (t, i), begins in starts.items():
         item, own = items.words[i], words[first[t] : first[t + 1]]
         size = len(item)
-        begins = np.sort(np.array(begins))
-        cuts = np.flatnonzero(np.diff(begins) > max(4, size // 2)) + 1
+        if i not in distinct:
+            distinct[i] = np.unique(item)
+        begins = sorted(begins)
         needed = min(MIN_SHARE * MATCH * size, MATCH * LONG_COPY)
         best = (0, 0, 0)
-        for group in np.split(begins, cuts):
-            low = max(0, int(group[0]) - size // 4 - 2)
-            high = min(len(own), int(group[-1]) + size + size // 4 + 2)
-            score, end = align(item, own[low:high])
+        apart, head = max(4, size // 2), 0
+        for k in range(1, len(begins) + 1):
+            if k < len(begins) and begins[k] - begins[k - 1] <= apart:
+                continue
+            low = max(0, begins[head] - size // 4 - 2)
+            passage = own[low : begins[k - 1] + size + size // 4 + 2]
+            head = k
+            if most(distinct[i], passage) < max(needed, best[0]):
+                continue
+            key = (item.tobytes(), passage.tobytes())
+            if key not in known:
+                known[key] = align(item, passage)
+            score, end = known[key]
             best = max(best, (score, -low, low + end))
         if best[0] >= needed:
             yield t, i, best[0] / (MATCH * size), -best[1], best[2]
@@ -135,28 +146,8 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[tuple[
             yield [r["id"] for r in block], [r["text"] for r in block]
 
 
-def _seeded(texts: DataFrame, items: Items, n: int) -> Items:
-    """`texts` has the one column text."""
-
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(items.grams), dtype=np.int64)
-        for batch in batches:
-            for piece in slices(batch):
-                text, _, gram, _, _ = _hits(piece.column("text"), items, n)
-                total += np.bincount(np.unique(text * len(items.grams) + gram) % max(1, len(items.grams)), minlength=len(items.grams))
-        seen = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(seen), pa.array(total[seen])], names=["gram", "texts"])
-
-    counts = texts.mapInArrow(count, "gram long, texts long").groupBy("gram").agg(F.sum("texts").alias("texts")).collect()
-    texts_with = np.zeros(len(items.grams), dtype=np.int64)
-    for r in counts:
-        texts_with[r["gram"]] = r["texts"]
-    return items.seeds(texts_with)
-
-
-def _prepared(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, n: int) -> list[Items]:
-    texts = docs.select(F.col(text_col).cast("string").alias("text"))
-    return [_seeded(texts, Items.of(ids, items, n), n) for ids, items in _blocks(benchmark, item_col, item_text_col)]
+def _prepared(benchmark: DataFrame, item_col: str, item_text_col: str, n: int) -> list[Items]:
+    return [Items.of(ids, texts, n) for ids, texts in _blocks(benchmark, item_col, item_text_col)]
 
 
 _LEAK = "doc_id long, item_id long, score double, first_word long, last_word long"
@@ -171,7 +162,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     """
     out = None
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    for items in _prepared(docs, benchmark, text_col, item_col, item_text_col, n):
+    for items in _prepared(benchmark, item_col, item_text_col, n):
 
         def run(batches: Iterable[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -190,7 +181,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = SEED_WORDS) -> DataFrame:
     """The rows, with all their columns, that hold no item."""
-    blocks = _prepared(docs, benchmark, text_col, item_col, item_text_col, n)
+    blocks = _prepared(benchmark, item_col, item_text_col, n)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
