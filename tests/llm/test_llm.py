@@ -383,6 +383,27 @@ def test_pages(spark):
     assert pages.main_texts(df.limit(0)).count() == 0
 
 
+def test_pages_of_many_layouts(spark):
+    body = "".join(f"<p>Sentence {k} of the long text.</p>" for k in range(5))
+    text = "\n\n".join(f"Sentence {k} of the long text." for k in range(5))
+    pages_of = {
+        1: "<div><article><a href=1>Teaser one</a></article><article><a href=2>Teaser two</a></article></div>",
+        2: f"<main>{body}</main><div class=sidebar><p>side</p></div>",
+        3: f"<div id=story>{body}</div><article><p>teaser</p></article><div class=ad>buy</div>",
+        4: f"<div class='content has-sidebar'><div>{body}</div><div class=sidebar>side</div></div>",
+        5: f"<form action=x><div class=no-sidebar><article>{body}</article></div></form>",
+        6: f"<div class=nav-open><div class=page-header-fixed>{body}<div class=comments>Nice</div></div></div>",
+        7: f"<div class=sidebar>{body}</div>",
+        8: f"<form>{body}</form><nav><p>n</p></nav>",
+        9: f"<div class='content'>{body}</div><div id=comments><article class=comment><p>{'c ' * 20}</p></article></div>",
+    }
+    rows = [(i + 100 * k, url, p) for i, p in pages_of.items() for k, url in enumerate(["http://a.example/", None])]
+    got = {r["page_id"]: r["text"] for r in pages.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = {i: text for i in pages_of if i not in (1, 3)}
+    assert {i: t for i, t in got.items() if i % 100 not in (1, 3)} == {i + k: t for i, t in want.items() for k in (0, 100)}
+    assert all(got[i].startswith(text) and "buy" not in got[i] for i in (3, 103))
+
+
 def test_pages_of_a_host_in_rounds(spark, monkeypatch):
     tags = ["p", "h2", "blockquote", "pre", "h3"]
     rows = [(i, "http://a.example/", "<article>" + "".join(f"<{t}>{t} {i}</{t}>" for k, t in enumerate(tags) if i >> k & 1) + "</article><nav>n</nav>") for i in range(32)]

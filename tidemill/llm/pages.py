@@ -6,9 +6,10 @@
    group, runs of a unit become a repeated group, and texts are slots. The result is the host's wrapper;
    its slots are named by their path of tags. Equal skeletons count once, and wrappers of parts of a host
    align like skeletons, so a host of any size is folded in parts.
-3. The host's slots are labelled main or not, by what their paths say (menus, adverts, comments ...), by
-   the article or main region that the wrapper has, and else by how much linked text they hold.
-4. Each page's blocks in main slots are its text.
+3. The host's slots are labelled as menus by how much linked text they hold.
+4. Each page chooses its own region, as a host may have many layouts: an article or main element with
+   enough of its text, else all but the menus. What paths say (adverts, comments ...) leaves blocks out,
+   except layout words (has-sidebar, a form) on what holds the page's article or most of its text.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from tidemill.llm.text import slices
 FOLD_ROWS = 64
 #: Without an article region: slots with at least this share of linked text are menus.
 LINK_SHARE = 0.5
+#: Share of a page's text that its article or main elements hold at least; below it they are teasers.
+REGION_SHARE = 0.3
 
 # HTML elements by their part in a page.
 _BLOCK = set("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
@@ -42,6 +45,9 @@ _SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr",
 _ARTICLE = {"article", "main"}
 # Words in class, id or role that name other parts of a page.
 _OTHER_PART = re.compile(r"^(ads?|advert\w*|adsense|banner\w*|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar|side|aside|header|masthead|topbar|footer|bottom|comments?|disqus|respond|replies|reply|cookies?|consent|notice\w*|alert|popup|modal|overlay|share|sharing|social|newsletter|subscribe|signup|login|search|related|recommended|widget\w*|pagination|pager|toolbar|hidden|complementary|contentinfo|dialog|form)$")
+# Of these, words of layout, which name a page's layout when they are part of a longer word.
+_LAYOUT = re.compile(r"^(banner\w*|nav\w*|menu\w*|breadcrumbs?|sidebar|side|aside|header|masthead|topbar|footer|bottom|search|widget\w*|toolbar|form)$")
+_WRAPPING = {"form", "fieldset"}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|[\s\"'])(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
@@ -207,27 +213,76 @@ def _bare(path: str) -> list[str]:
     return [s.split(".", 1)[0].rstrip("!") for s in path.split(">")] if path else []
 
 
-def _is_other_part(path: str) -> bool:
+def _prefixes(path: str) -> list[str]:
     steps = path.split(">") if path else []
-    inside = False
-    for step in steps:
+    return [">".join(steps[: k + 1]) for k in range(len(steps))]
+
+
+def _is_other_part(path: str, wraps: frozenset | set = frozenset(), named: bool = True) -> bool:
+    """Whether a step of the path is no part of the main text.
+
+    wraps: paths that hold the page's main region. Forms and layout words in longer words are neutral there,
+    and all words without `named`.
+    """
+    inside, prefix = False, ""
+    for step in path.split(">") if path else []:
+        prefix = f"{prefix}>{step}" if prefix else step
+        around = prefix in wraps
         tag, *words = step.rstrip("!").split(".")
-        if step.endswith("!") or (tag in _NOT_MAIN and not (tag == "header" and inside)):
-            return True
-        if tag not in ("html", "body") and any(_OTHER_PART.match(part) for w in words for part in [w, *re.split(r"[-_:]+", w)]):
+        if step.endswith("!") or (tag in _NOT_MAIN and not (tag == "header" and inside) and not (around and tag in _WRAPPING)):
             return True
         inside |= tag in _ARTICLE
+        if tag in ("html", "body") or (around and not named):
+            continue
+        if any(_OTHER_PART.match(w) for w in words):
+            return True
+        if any(_OTHER_PART.match(part) and not (around and _LAYOUT.match(part)) for w in words for part in re.split(r"[-_:]+", w)):
+            return True
     return False
 
 
-def main_slots(wrapper: list, chars: dict[str, tuple[int, int]]) -> list[str]:
-    """Paths of main text. `chars`: characters and linked characters of the host's texts by path."""
-    paths = list(dict.fromkeys(slots(wrapper)))
-    kept = [p for p in paths if not _is_other_part(p)]
-    for region in ("article", "main"):
-        if inside := [p for p in kept if region in _bare(p)]:
-            return inside
-    return [p for p in kept if chars.get(p, (0, 0))[1] < LINK_SHARE * max(1, chars.get(p, (0, 0))[0])]
+def _never_main(path: str) -> bool:
+    return any(step.endswith("!") or step.split(".", 1)[0].rstrip("!") in _NOT_MAIN - _WRAPPING - {"header"} for step in path.split(">"))
+
+
+def main_blocks(page: str | None, menus: set[str]) -> list[str]:
+    """Texts of the page's main blocks. `menus`: the host's paths of mostly linked text."""
+    opened: dict[str, int] = {}
+    blocks: list[tuple[str, str, int, tuple | None]] = []
+    for path, text, linked in blocks_of(page):
+        if text is None:
+            opened[path] = len(opened) + len(blocks)
+            continue
+        # The outermost article or main element, told from others with the same path by where it opened.
+        region = next((q for q in _prefixes(path) if q.rsplit(">", 1)[-1].split(".", 1)[0] in _ARTICLE), None)
+        blocks.append((path, text, linked, region and (region, opened.get(region))))
+    sizes: dict[str, int] = {}
+    regions: dict[tuple, int] = {}
+    whole = 0
+    for path, text, linked, region in blocks:
+        if _never_main(path):
+            continue
+        own = len(text) - linked
+        whole += own
+        for q in _prefixes(path):
+            sizes[q] = sizes.get(q, 0) + own
+        if region:
+            regions[region] = regions.get(region, 0) + own
+    if sum(regions.values()) >= REGION_SHARE * whole and regions:
+        wraps = set(_prefixes(max(regions, key=regions.get)[0]))
+    else:
+        wraps = {q for q, n in sizes.items() if 2 * n > whole}
+    for named in (True, False):
+        other = {p: _is_other_part(p, wraps, named) for p in {b[0] for b in blocks}}
+        kept = [b for b in blocks if not other[b[0]]]
+        total = sum(len(text) - linked for _, text, linked, _ in kept)
+        for tag in ("article", "main"):
+            inside = [b for b in kept if tag in _bare(b[0])]
+            if inside and sum(len(text) - linked for _, text, linked, _ in inside) >= REGION_SHARE * total:
+                return [text for _, text, _, _ in inside]
+        if found := [text for path, text, _, _ in kept if path not in menus]:
+            return found
+    return []
 
 
 def _host(url):
@@ -238,7 +293,7 @@ _ARROW = {"page_id": pa.int64(), "url": pa.string(), "text": pa.string(), "n_cha
 
 
 def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, wrapper, main): each host's wrapper as JSON, and the paths of its main slots."""
+    """(host, wrapper, menus): each host's wrapper as JSON, and the paths of its slots of mostly linked text."""
 
     def outline(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -301,10 +356,13 @@ def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
 
     def label(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            main = [main_slots(json.loads(w), {s["path"]: (s["chars"], s["linked"]) for s in sums}) for w, sums in zip(batch.column("wrapper").to_pylist(), batch.column("sums").to_pylist())]
-            yield pa.record_batch([batch.column("host"), batch.column("wrapper"), pa.array(main, pa.list_(pa.string()))], names=["host", "wrapper", "main"])
+            menus = []
+            for w, sums in zip(batch.column("wrapper").to_pylist(), batch.column("sums").to_pylist()):
+                chars = {s["path"]: (s["chars"], s["linked"]) for s in sums}
+                menus.append([p for p in dict.fromkeys(slots(json.loads(w))) if chars.get(p, (0, 0))[1] >= LINK_SHARE * max(1, chars.get(p, (0, 0))[0])])
+            yield pa.record_batch([batch.column("host"), batch.column("wrapper"), pa.array(menus, pa.list_(pa.string()))], names=["host", "wrapper", "menus"])
 
-    return stored(whole.join(by_host, "host").select("host", "wrapper", "sums").mapInArrow(label, "host string, wrapper string, main array<string>"), "wrappers")
+    return stored(whole.join(by_host, "host").select("host", "wrapper", "sums").mapInArrow(label, "host string, wrapper string, menus array<string>"), "wrappers")
 
 
 def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -314,17 +372,16 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     without main text, has an empty text. Pages without a host share one wrapper. Repeated rows have a
     result each; an empty table gives no rows. Other columns are not read.
     """
-    known = wrappers(pages, url_col, html_col).select(F.col("host").alias("of"), "main")
+    known = wrappers(pages, url_col, html_col).select(F.col("host").alias("of"), "menus")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), _host(F.col(url_col)).alias("host"), F.col(html_col).cast("string").alias("html"))
 
     def extract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch, "html"):
                 texts = []
-                for page, main in zip(piece.column("html").to_pylist(), piece.column("main").to_pylist()):
-                    keep = set(main or ())
-                    texts.append("\n\n".join(t for p, t, _ in blocks_of(page) if t is not None and p in keep))
+                for page, menus in zip(piece.column("html").to_pylist(), piece.column("menus").to_pylist()):
+                    texts.append("\n\n".join(main_blocks(page, set(menus or ()))))
                 yield pa.record_batch([piece.column("page_id"), piece.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=list(_ARROW))
 
-    joined = rows.join(known, F.col("host") == F.col("of"), "left").select("page_id", "url", "html", "main")
+    joined = rows.join(known, F.col("host") == F.col("of"), "left").select("page_id", "url", "html", "menus")
     return joined.mapInArrow(extract, "page_id long, url string, text string, n_chars long")
