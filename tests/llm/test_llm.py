@@ -262,6 +262,17 @@ def test_patterns_find_unseen_identifiers(spark):
     assert got[300] == "card:12:28" and got[301] == "" and got[101] == ""
 
 
+def test_patterns_reach_other_formats(spark):
+    known = [(k, f"please call +49 30 55{k:05d} today") for k in range(20)] + [(50 + k, f"the server 10.0.0.{k} replied") for k in range(20)]
+    known += [(80 + k, f"mail to someone{k}@example.org about it") for k in range(20)]
+    values = {100: "030/5512345", 101: "030 551 2345", 102: "(030) 551-2345", 103: "555.123.4567"}
+    unseen = [(i, f"please call {v} today") for i, v in values.items()] + [(104, "mail to jürgen@exämple.de about it")]
+    rejected = [(200, "the server 300.1.1.1 replied"), (201, "please call +1 234 today"), (202, "in room 030 551 2346 we met"), (203, "please call 1 2 today")]
+    got = {r["doc_id"]: r["spans"] for r in pii.personal_data(spark.createDataFrame(known + unseen + rejected, "doc_id long, text string")).collect()}
+    assert {i: got[i] for i in values} == {i: f"phone:12:{12 + len(v)}" for i, v in values.items()}
+    assert "email:8:25" in got[104].split(",") and all(got[i] == "" for i, _ in rejected)
+
+
 def conversation_brute(rows):
     by = collections.defaultdict(list)
     for c, t, r, x in rows:

@@ -1,9 +1,9 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame functions only.
 
 1. Base patterns find emails, IP addresses, cards and phone numbers with their places (the seeds), and
-   identifier-like words that no base pattern covers (the candidates).
-2. Each occurrence induces lexical patterns: the word before it, and the word after it, each with the
-   shape of the value (digits as 9, runs of letters as a).
+   what no base pattern covers (the candidates): words with a digit or @, and runs of number words.
+2. Each occurrence induces lexical patterns: the word before it, and the word after it, each with a coarse
+   class of the value (with @, no digit, up to 5 digits, more), so that a pattern reaches other formats.
 3. Patterns and values form a graph, weighted by occurrences. In turn, a pattern is scored by the share of
    its weight that confirmed values of a kind hold, discounted where few distinct ones do, and an
    unconfirmed value by the scores of its patterns. Values above the threshold are confirmed, and count
@@ -27,8 +27,8 @@ _PATTERNS = {
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?+[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    # A candidate: a word of 6 characters or more with 4 digits or more.
-    "word": r"(?<![^\x20\x09-\x0D])(?=(?:[^\x20\x09-\x0D0-9]*+[0-9]){4})[^\x20\x09-\x0D]{6,}+",
+    # A candidate: two or more words of digits, or a word of 5 characters or more with a digit or @.
+    "word": r"(?<![^\x20\x09-\x0D])(?:[+(]*+[0-9][0-9()./-]*+(?![^\x20\x09-\x0D,;:!?])(?:\x20[(]?+[0-9][0-9()./-]*+(?![^\x20\x09-\x0D,;:!?]))++|(?=[^\x20\x09-\x0D]{5})(?=[^\x20\x09-\x0D0-9@]*+[0-9@])[^\x20\x09-\x0D]++)",
 }
 #: What a text must hold for a pattern to be tried.
 _HINTS = {"email": "@", "ip": ".", "phone": "+"}
@@ -51,7 +51,7 @@ def _matches(text: Column, kind: str) -> Column:
     rows = F.zip_with(rows, after, lambda r, a: F.struct(r["gap"].alias("gap"), r["hit"].alias("hit"), r["left"].alias("left"), a.alias("right")))
     found = F.filter(rows, lambda r: r["hit"].isNotNull())
     hint = _HINTS.get(kind)
-    possible = F.contains(text, F.lit(hint)) if hint else text.rlike("[0-9]")
+    possible = F.contains(text, F.lit(hint)) if hint else text.rlike("[0-9@]" if kind == "word" else "[0-9]")
     return F.when(possible, found).otherwise(F.array().cast("array<struct<gap: int, hit: string, left: string, right: string>>"))
 
 
@@ -100,8 +100,15 @@ def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return table.select("row", "doc_id"), placed.filter(_valid(F.col("kind"), F.col("value")))
 
 
-def _shape(value: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(value, "[0-9]", "9"), r"\p{L}+", "a")
+def _class(value: Column) -> Column:
+    n = F.length(_digits(value))
+    return F.when(F.contains(value, F.lit("@")), "@").when(n == 0, "0").when(n <= 5, "1").otherwise("6")
+
+
+def _rejected(kind: Column, value: Column) -> Column:
+    """Values of a base pattern that are no valid IP address or phone number. A card that fails only its check digit stays."""
+    whole = F.when(kind == "ip", value.rlike(r"^[0-9]+(\.[0-9]+){3}$")).when(kind == "phone", value.rlike(r"^\+[0-9][\x20().0-9-]+[0-9]$"))
+    return F.coalesce(whole, F.lit(False))
 
 
 def _word(text: Column, last: bool) -> Column:
@@ -113,10 +120,12 @@ def _word(text: Column, last: bool) -> Column:
 def _uncovered(hits: DataFrame) -> DataFrame:
     """Candidates that touch no base span of their row, without closing punctuation."""
     words = hits.filter("kind = 'word'").drop("kind")
-    value = F.regexp_replace("value", r"^[\p{P}\p{S}]+|[\p{P}\p{S}]+$", "")
-    lead = F.length("value") - F.length(F.regexp_replace("value", r"^[\p{P}\p{S}]+", ""))
+    # A plus or an area code in brackets belongs to the number that it begins.
+    opening = r"^(?:(?!\+[0-9]|\([0-9]++\).*[0-9])[\p{P}\p{S}])+"
+    value = F.regexp_replace("value", opening + r"|[\p{P}\p{S}]+$", "")
+    lead = F.length("value") - F.length(F.regexp_replace("value", opening, ""))
     words = words.withColumn("start", F.col("start") + lead).withColumn("value", value).withColumn("end", F.col("start") + F.length("value"))
-    words = words.filter(F.length("value") >= 5)
+    words = words.filter((F.length("value") >= 5) & (~F.contains(F.col("value"), F.lit(" ")) | F.length(_digits(F.col("value"))).between(6, 19)))
     # Both sides stand in one order per row: a word is covered if a base span that begins before its end
     # reaches over its start.
     base = hits.filter("kind <> 'word'").select("row", F.col("start").alias("at"), F.col("end").alias("reach"), F.lit(0).alias("turn"))
@@ -131,8 +140,8 @@ def discovered(hits: DataFrame, rounds: int = ROUNDS, pattern_score: float = PAT
     candidates = stored(_uncovered(hits), "candidates")
     seeds = hits.filter("kind <> 'word'")
     every = seeds.select("kind", "value", "left", "right").unionByName(candidates.select(F.lit(None).cast("string").alias("kind"), "value", "left", "right"))
-    shape = _shape(F.col("value"))
-    sides = F.array(F.concat(F.lit("l "), _word(F.col("left"), True), F.lit(" "), shape), F.concat(F.lit("r "), _word(F.col("right"), False), F.lit(" "), shape))
+    coarse = _class(F.col("value"))
+    sides = F.array(F.concat(F.lit("l "), _word(F.col("left"), True), F.lit(" "), coarse), F.concat(F.lit("r "), _word(F.col("right"), False), F.lit(" "), coarse))
     edges = every.withColumn("pattern", F.explode(sides)).filter(~F.col("pattern").rlike("^[lr]  "))
     # One row for each pattern and value, whatever the number of occurrences.
     edges = stored(edges.groupBy("pattern", "value").agg(F.count(F.lit(1)).alias("weight"), F.max("kind").alias("seed_kind")), "edges")
@@ -147,6 +156,7 @@ def discovered(hits: DataFrame, rounds: int = ROUNDS, pattern_score: float = PAT
         weights = unknown.groupBy("value").agg(F.sum("weight").alias("all"))
         gained = unknown.join(scored, "pattern").groupBy("value", "kind").agg(F.sum(F.col("weight") * F.col("p")).alias("gain"))
         fresh = gained.join(weights, "value").withColumn("score", F.col("gain") / F.col("all")).filter(F.col("score") >= value_score)
+        fresh = fresh.filter(~_rejected(F.col("kind"), F.col("value")))
         best = fresh.groupBy("value").agg(F.max(F.struct("score", "kind")).alias("b")).select("value", "b.kind", "b.score")
         fresh = stored(best.join(confirmed, "value", "left_anti"), "fresh")
         if fresh.isEmpty():
