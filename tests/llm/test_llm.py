@@ -302,6 +302,22 @@ def test_chat_round_trip(spark):
         chat.windows(df, budget=10, history=20)
 
 
+def test_chat_windows_keep_the_budget(spark):
+    size = lambda text: sum(1 + len(re.findall(chat.TOKEN, chat.unescape(m[2]))) for m in chat._TURN.finditer(text))
+    lengths = [(7 * k) % 65 for k in range(120)]
+    rows = [(1, 0, "system", "s " * 30), *[(1, k + 1, "user" if k % 2 else "assistant", f"a{k} " * n) for k, n in enumerate(lengths)]]
+    rows += [(2, 0, "system", "s " * 90), *[(2, k, "assistant", f"b{k} " * 40) for k in range(1, 20)]]
+    rows += [(3, k, "assistant", "漢字" * 20 + "x" * 240) for k in range(20)]
+    rows += [(4, 0, "user", "u"), (4, 1, "assistant", "w " * 300), (4, 2, "user", "u")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    formatted = chat.windows(df, budget=100, history=25).cache()
+    found = formatted.collect()
+    assert all(r["tokens"] == size(r["text"]) and r["over"] == (r["tokens"] > 100) for r in found)
+    assert [(r["conv_id"], r["first_own"], r["tokens"]) for r in found if r["over"]] == [(4, 0, 301)]
+    assert {r["conv_id"]: tuple(r)[1:5] for r in chat.read_back(formatted).collect()} == conversation_brute(rows)
+    assert all(r["text"].startswith("<|system|>") for r in found if r["conv_id"] == 1)
+
+
 def test_language(spark):
     docs = table(spark, SF, "documents")
     model = language.fit(docs, ~language.held_out(F.col("doc_id")))

@@ -1,10 +1,12 @@
 """Chat formatting in budgeted windows.
 
-A turn's tokens are its words and one for its mark. Prefix sums of turn tokens cut a conversation at turns:
-a window holds the turns whose sum falls into one stretch of `budget` tokens. It begins with the system
-turn, repeats the turns just before it as far as `history` tokens reach, and then has its own turns. The
-loss mask covers assistant turns of its own only, so repeated targets are masked and every assistant text
-is learnt once. A turn is never cut: one of more than `budget` tokens ends its window.
+A turn's tokens are one for its mark and those of its text, where a run of up to 12 letters and digits of
+words in ASCII counts as one and every other character but white space as one. Sums of turn tokens cut a
+conversation at turns: a window begins with the system turn, repeats the turns just before it as far as
+`history` tokens reach, and takes own turns as long as all together keep to `budget`. Where its first own
+turn would not fit, history shrinks, and then the system turn is left out. The loss mask covers assistant
+turns of its own only, so repeated targets are masked and every assistant text is learnt once. A turn is
+never cut: one of more than `budget` tokens is a window by itself, and `over` says so.
 
 Template: `<|role|>\\n` text `<|end|>\\n`. In texts and roles `<|` becomes `<\\|`, and `<\\`*n`|` gets one more
 backslash, which is undone by taking one away: no text can hold a mark, and nothing is lost.
@@ -14,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import deque
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -21,12 +24,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.llm.components import stored
-from tidemill.llm.mixing import words_in
 
 BUDGET = 1024
 HISTORY = 256
-#: Turns of a long conversation whose sums are taken together.
-CHUNK = 1024
+#: What counts as one token: a run of up to 12 ASCII letters and digits, or any other character.
+TOKEN = r"[A-Za-z0-9]{1,12}|[^A-Za-z0-9\x20\x09-\x0D]"
 _END = "<|end|>\n"
 _TURN = re.compile(r"<\|((?:(?!\|>).)*?)\|>\n(.*?)<\|end\|>\n", re.S)
 
@@ -52,48 +54,72 @@ def _text(name: str):
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def _spans(budget: int, history: int):
+    """Windows of turns that stream in order: of a conversation, only the last `history` tokens are held."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        conv: object = run
+        past: deque[tuple[int, int]] = deque()
+        window = used = system = held = 0
+        for batch in batches:
+            out = []
+            for c, seq, tokens, is_system in zip(*(batch.column(n).to_pylist() for n in ("conv_id", "seq", "tokens", "is_system"))):
+                if c != conv:
+                    conv, window, used, held, system = c, 0, 0, 0, tokens if is_system else 0
+                    past.clear()
+                if seq and used + tokens > budget:
+                    window += 1
+                    lead = system if system + tokens <= budget else 0
+                    room, used, repeats = min(history, budget - lead - tokens), lead, []
+                    for s, n in reversed(past):
+                        if n > room:
+                            break
+                        room, used = room - n, used + n
+                        repeats.append(s)
+                    out += [(c, s, window, False, bool(lead)) for s in reversed(repeats)]
+                    with_system = bool(lead)
+                elif not seq:
+                    with_system = False
+                used += tokens
+                out.append((c, seq, window, True, with_system))
+                if not is_system:
+                    past.append((seq, tokens))
+                    held += tokens
+                    while past and held - past[0][1] >= history:
+                        held -= past.popleft()[1]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_()))], names=["conv_id", "seq", "window", "own", "with_system"])
+
+    return run
+
+
 def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """(conv_id, window, first_seq, text, loss): formatted windows and their loss spans.
+    """(conv_id, window, first_own, text, loss, tokens, over): formatted windows and their loss spans.
 
     loss: (begin, end) code points in `text`, ends exclusive, of each assistant text of the window's own.
     Turns stand by turn number; equal ones by role, then text, so repeated rows stay, next to each other.
     A null turn number comes first, a null role or text is empty, rows of a null conv_id are one
-    conversation of its own. A window's first turns are repeats up to `first_own`. Empty tables give no
+    conversation of its own. tokens: of the whole window; over: they exceed the budget, which only a single
+    turn of more than the budget does. A window's first turns are repeats up to `first_own`. Empty tables give no
     rows. The system turn is a conversation's first row if its role is `system`.
     """
     if not 0 <= history <= budget:
         raise ValueError("history must be between 0 and the budget")
     rows = turns.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), _text(role_col).alias("role"), _text(text_col).alias("text"))
-    rows = rows.withColumn("tokens", words_in(F.col("text")) + 1)
+    rows = rows.withColumn("tokens", F.regexp_count(F.col("text"), F.lit(TOKEN)).cast("long") + 1)
     order = ["turn", "role", "text"]
     rows = stored(rows.withColumn("seq", F.row_number().over(Window.partitionBy("conv_id").orderBy(*order)) - 1), "turns")
-    # Prefix sums in two levels: of chunks of turns, then inside them.
-    sized = rows.select("conv_id", "seq", "role", "tokens", F.floor(F.col("seq") / CHUNK).alias("chunk"))
-    chunks = sized.groupBy("conv_id", "chunk").agg(F.sum("tokens").alias("sum"))
-    before = F.coalesce(F.sum("sum").over(Window.partitionBy("conv_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    chunks = chunks.select(F.col("conv_id").alias("c"), F.col("chunk").alias("k"), before.alias("before"))
-    inside = F.coalesce(F.sum("tokens").over(Window.partitionBy("conv_id", "chunk").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = sized.withColumn("inside", inside).join(chunks, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("chunk") == F.col("k")))
     system = (F.col("seq") == 0) & (F.col("role") == "system")
-    placed = placed.select("conv_id", "seq", "tokens", (F.col("before") + F.col("inside")).alias("start"), system.alias("is_system"))
-    placed = placed.withColumn("window", F.floor(F.col("start") / budget))
-    # A turn is history of the next window if it begins within `history` tokens of that window's first turn;
-    # as history is no longer than a window, it cannot reach further.
-    heads = placed.groupBy("conv_id", "window").agg(F.min("start").alias("head"))
-    following = F.lead(F.struct("window", "head")).over(Window.partitionBy("conv_id").orderBy("window"))
-    heads = heads.withColumn("next", following).select(F.col("conv_id").alias("c"), F.col("window").alias("w"), "next")
-    both = placed.join(heads, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("window") == F.col("w")))
-    repeated = F.coalesce(F.col("next.head") - F.col("start") <= history, F.lit(False))
-    used = both.withColumn("into", F.explode(F.when(repeated, F.array("window", "next.window")).otherwise(F.array("window"))))
-    used = used.select("conv_id", "seq", F.col("into").alias("window"), (F.col("into") == F.col("window")).alias("own"))
-    full = used.join(rows, (used.conv_id.eqNullSafe(rows.conv_id)) & (used.seq == rows.seq)).select(used.conv_id, used.seq, "window", "own", "role", "text")
+    sized = rows.select("conv_id", F.col("seq").cast("long").alias("seq"), "tokens", system.alias("is_system"))
+    used = sized.repartition("conv_id").sortWithinPartitions("conv_id", "seq").mapInArrow(_spans(budget, history), "conv_id long, seq long, window long, own boolean, with_system boolean")
+    full = used.join(rows, (used.conv_id.eqNullSafe(rows.conv_id)) & (used.seq == rows.seq)).select(used.conv_id, used.seq, "window", "own", "with_system", "role", "text", "tokens")
 
     formatted = F.concat(F.lit("<|"), _escaped_role(F.col("role")), F.lit("|>\n"), escaped(F.col("text")), F.lit(_END))
     piece = F.struct("seq", formatted.alias("part"), (F.length(_escaped_role(F.col("role"))) + 5).alias("text_from"), F.length(escaped(F.col("text"))).alias("text_size"), ((F.col("role") == "assistant") & F.col("own")).alias("learnt"), "own")
-    grouped = full.groupBy("conv_id", "window").agg(F.sort_array(F.collect_list(piece)).alias("parts"))
-    first_turn = rows.filter("seq = 0 and role = 'system'").select(F.col("conv_id").alias("c"), formatted.alias("system"))
+    grouped = full.groupBy("conv_id", "window").agg(F.sort_array(F.collect_list(piece)).alias("parts"), F.sum("tokens").alias("tokens"), F.max("with_system").alias("with_system"))
+    first_turn = rows.filter("seq = 0 and role = 'system'").select(F.col("conv_id").alias("c"), formatted.alias("system"), F.col("tokens").alias("system_tokens"))
     grouped = grouped.join(first_turn, F.col("conv_id").eqNullSafe(F.col("c")), "left")
-    lead = F.when(F.element_at("parts", 1)["seq"] == 0, F.lit("")).otherwise(F.coalesce("system", F.lit("")))
+    lead = F.when(F.col("with_system"), F.col("system")).otherwise(F.lit(""))
+    grouped = grouped.withColumn("tokens", F.col("tokens") + F.when(F.col("with_system"), F.col("system_tokens")).otherwise(0))
     grouped = grouped.withColumn("lead", lead)
     start = F.struct(F.length("lead").cast("int").alias("at"), F.array().cast("array<struct<begin: int, end: int>>").alias("spans"))
 
@@ -103,7 +129,7 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, conv
 
     loss = F.aggregate("parts", start, add)["spans"]
     repeats = F.size(F.filter("parts", lambda p: ~p["own"])) + F.when(F.col("lead") != "", 1).otherwise(0)
-    return grouped.select("conv_id", "window", repeats.cast("int").alias("first_own"), F.concat("lead", F.array_join(F.transform("parts", lambda p: p["part"]), "")).alias("text"), loss.alias("loss"))
+    return grouped.select("conv_id", "window", repeats.cast("int").alias("first_own"), F.concat("lead", F.array_join(F.transform("parts", lambda p: p["part"]), "")).alias("text"), loss.alias("loss"), "tokens", (F.col("tokens") > budget).alias("over"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
