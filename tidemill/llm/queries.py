@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.catalog.registry import registry
-from tidemill.llm import ann, audit, chat, jaccard, language, leaks, mixing, pages, pii, sharding, tokens
+from tidemill.llm import ann, audit, chat, codes, jaccard, language, leaks, mixing, pages, pii, sharding, tokens
 from tidemill.session import scratch_path
 
 QUERIES, ORACLES, query = registry()
@@ -146,3 +146,37 @@ SELECT * EXCLUDE (own), (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS
 @query(AUDIT_SQL)
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(audit.failures(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
+def _codes_sql(rounds: int = 4) -> str:
+    """Lloyd rounds spelled out, one pair of tables per round."""
+    near = (
+        "SELECT n, p, min(d * 256 + e) AS best FROM (SELECT x.n, x.p, c.e, "
+        "list_sum(list_transform(list_zip(x.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d "
+        "FROM parts x JOIN c{k} c ON x.p = c.p) GROUP BY n, p"
+    )
+    moved = (
+        "m{k} AS MATERIALIZED (SELECT p, e, list(CASE WHEN s % c < 0 THEN s // c - 1 ELSE s // c END ORDER BY i) AS x FROM "
+        "(SELECT a.p, a.best % 256 AS e, i, sum(x.x[i])::BIGINT AS s, count(*) AS c FROM a{k} a JOIN parts x USING (n, p), "
+        "range(1, (SELECT max(len(x)) FROM parts) + 1) r(i) GROUP BY 1, 2, 3) GROUP BY p, e), "
+        "c{l} AS MATERIALIZED (SELECT c.p, c.e, coalesce(m.x, c.x) AS x FROM c{k} c LEFT JOIN m{k} m USING (p, e))"
+    )
+    steps = ", ".join(f"a{k} AS MATERIALIZED ({near.format(k=k)}), {moved.format(k=k, l=k + 1)}" for k in range(rounds))
+    return (
+        "WITH kept AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v, "
+        "row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS n FROM embeddings "
+        "WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0), "
+        "parts AS MATERIALIZED (SELECT n, p, v[p * (len(v) // 4) + 1 : (p + 1) * (len(v) // 4)] AS x FROM kept, range(4) r(p)), "
+        f"c0 AS MATERIALIZED (SELECT p, n - 1 AS e, x FROM parts WHERE n <= 256), {steps}, "
+        f"last AS MATERIALIZED ({near.format(k=rounds)}), "
+        "coded AS (SELECT n, string_agg(lpad(lower(to_hex(best % 256)), 2, '0'), '' ORDER BY p) AS code, "
+        "sum(best // 256)::BIGINT AS error FROM last GROUP BY n), "
+        f"books AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM c{rounds}) "
+        "SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 "
+        "FROM kept JOIN coded USING (n), books"
+    )
+
+
+@query(_codes_sql())
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compressed(table(spark, sf_dir, "embeddings"))
