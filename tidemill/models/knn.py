@@ -1,28 +1,25 @@
-"""Exact k-nearest-neighbour regression as a Spark join.
-
-Training rows are assigned to their nearest pivot (a cell). A query first bounds the distance of
-its k-th neighbour from the cells' sizes and radii, then visits only the cells that can hold a
-closer row; the triangle inequality makes this exact for every Minkowski p >= 1. Cells are cut
-into chunks, so a hot cell is spread over many tasks, and each task sends k rows per query.
-"""
+"""Exact k-nearest-neighbour regression with a metric tree, as Spark joins on the tree's leaves."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tidemill.models.forecaster import PREDICTION
+from tidemill.models.metric_tree import MAX_LEAVES, SAMPLE_ROWS, MetricTree, distances, norm
 from tidemill.operators.metrics import point_metrics
+from tidemill.sources.tables import kept
 
+#: Rows of a block: what one task compares queries with, and queries it takes at once.
 ROWS_PER_CHUNK = 20_000
-#: Rows of a group below which more tasks do not pay.
+#: Rows of a block below which more tasks do not pay.
 LEAST_CHUNK = 1_000
-MAX_PIVOTS = 512
-_SLACK = 1e-9
+#: Rows of a leaf, in expectation.
+ROWS_PER_LEAF = 32
 _META = "features array<string>, target string, id_col string, k int, weights string, p double"
 
 
@@ -33,22 +30,209 @@ def _vector(features: Sequence[str] | str) -> Column:
     return F.array(*[F.col(c).cast("double") for c in features])
 
 
-def _distances(x: np.ndarray, to: np.ndarray, p: float) -> np.ndarray:
-    out = np.empty((len(x), len(to)))
-    block = max(1, 4_000_000 // max(1, to.size))
-    for i in range(0, len(x), block):
-        gap = np.abs(x[i : i + block, None, :] - to[None, :, :])
-        if p == 1:
-            out[i : i + block] = gap.sum(axis=2)
-        elif p == 2:
-            out[i : i + block] = np.sqrt((gap * gap).sum(axis=2))
-        else:
-            out[i : i + block] = (gap**p).sum(axis=2) ** (1.0 / p)
-    return out
+def _stack(column: pd.Series) -> np.ndarray:
+    return np.stack(column.to_numpy()).astype(float) if len(column) else np.empty((0, 1))
 
 
-def _stack(column: pd.Series) -> np.ndarray:
-    return np.stack(column.to_numpy()).astype(float)
+def _usable(df: DataFrame, id_col: str) -> DataFrame:
+    return df.where(df[id_col].isNotNull() & df["_x"].isNotNull() & ~F.exists("_x", F.isnull))
+
+
+def _by_block(row: np.ndarray, leaf: np.ndarray, n: int, first: np.ndarray, parts: np.ndarray) -> pd.Series:
+    """For each of n queries its visits: a block and the leaves in it. `first`, `parts`: a leaf's blocks."""
+    out: list[list[dict]] = [[] for _ in range(n)]
+    order = np.lexsort((leaf, first[leaf], row))
+    row, leaf = row[order], leaf[order]
+    block = first[leaf]
+    cuts = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (block[1:] != block[:-1])])) if len(row) else []
+    for begin, end in zip(cuts, [*cuts[1:], len(row)]):
+        for k in range(int(parts[leaf[begin]])):
+            out[row[begin]].append({"block": int(block[begin]) + k, "leaves": leaf[begin:end].tolist()})
+    return pd.Series(out, dtype=object)
+
+
+class NeighbourIndex:
+    """The rows of a table in the leaves of a metric tree, stored once for any number of searches.
+
+    Building it reads the table three times: to count, to sample, and to place all rows; the placed rows go to
+    the shared folder. The tree (at most `MAX_LEAVES` leaves) and the leaves' bounds are all that the
+    driver holds. Rows without an id, a vector or one of its components are left out.
+    """
+
+    def __init__(self, train: DataFrame, features: Sequence[str] | str, id_col: str, target: str, p: float = 2, rows_per_chunk: int = ROWS_PER_CHUNK):
+        self.features, self.id_col, self.p = features, id_col, p
+        self.id_type = train.schema[id_col].dataType.simpleString()
+        self.spark = train.sparkSession
+        known = _usable(train.select(F.col(id_col).alias("_tid"), _vector(features).alias("_x"), F.col(target).cast("double").alias("_y")), "_tid")
+        picked = known.orderBy(F.xxhash64("_tid"), "_tid").limit(SAMPLE_ROWS).select("_x").collect()
+        self.n = len(picked) if len(picked) < SAMPLE_ROWS else known.count()
+        if not self.n:
+            return
+        cores = self.spark.sparkContext.defaultParallelism
+        self.rows_per_chunk = min(rows_per_chunk, max(LEAST_CHUNK, math.ceil(self.n / cores)))
+        per_leaf = min(ROWS_PER_LEAF, max(1, rows_per_chunk))
+        self.tree = tree = MetricTree.shaped(np.array([r["_x"] for r in picked], dtype=float), min(MAX_LEAVES, max(1, self.n // per_leaf)), p)
+        centres = tree.centres()
+
+        @F.pandas_udf("leaf int, reach double")
+        def place(x: pd.Series) -> pd.DataFrame:
+            if not len(x):
+                return pd.DataFrame({"leaf": np.empty(0, np.int32), "reach": np.empty(0)})
+            rows = _stack(x)
+            leaf = tree.home(rows)
+            return pd.DataFrame({"leaf": leaf.astype(np.int32), "reach": norm(np.abs(rows - centres[leaf]), p)})
+
+        placed = kept(known.withColumn("_place", place("_x")).select("_tid", "_x", "_y", "_place.leaf", "_place.reach"), "neighbours")
+        self._bound(placed)
+        self._block(placed)
+
+    def _bound(self, placed: DataFrame) -> None:
+        tree, dims = self.tree, self.tree.pivots.shape[1]
+
+        def tight(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            size, reach = np.zeros(tree.leaves, np.int64), np.zeros(tree.leaves)
+            low, high = np.full((tree.leaves, dims), np.inf), np.full((tree.leaves, dims), -np.inf)
+            for rows in batches:
+                if len(rows):
+                    leaf, x = rows["leaf"].to_numpy(), _stack(rows["_x"])
+                    np.add.at(size, leaf, 1)
+                    np.maximum.at(reach, leaf, rows["reach"].to_numpy())
+                    np.minimum.at(low, leaf, x)
+                    np.maximum.at(high, leaf, x)
+            used = np.flatnonzero(size)
+            sides = {"low": low[used].ravel(), "high": high[used].ravel(), "n": np.repeat(size[used], dims), "reach": np.repeat(reach[used], dims)}
+            yield pd.DataFrame({"leaf": np.repeat(used, dims).astype(np.int32), "at": np.tile(np.arange(dims, dtype=np.int32), len(used)), **sides})
+
+        # A row per task, leaf and dimension; the tasks' rows meet in Spark.
+        parts = placed.select("leaf", "reach", "_x").mapInPandas(tight, "leaf int, at int, low double, high double, n long, reach double")
+        size, reach = np.zeros(tree.leaves), np.zeros(tree.leaves)
+        low, high = np.full((tree.leaves, dims), np.inf), np.full((tree.leaves, dims), -np.inf)
+        for r in parts.groupBy("leaf", "at").agg(F.min("low"), F.max("high"), F.sum("n"), F.max("reach")).collect():
+            leaf, at, low[leaf, at], high[leaf, at], size[leaf], reach[leaf] = r
+        tree.bounded(size, low, high, reach)
+        self.leaf_size = size.astype(np.int64)
+
+    def _block(self, placed: DataFrame) -> None:
+        """Neighbouring leaves share a block of about `rows_per_chunk` rows; a larger leaf is cut into several."""
+        tree, order, stack = self.tree, [], [0]
+        while stack:  # leaves from left to right
+            node = stack.pop()
+            if tree.left[node] < 0:
+                order.append(tree.leaf[node])
+            else:
+                stack += [tree.right[node], tree.left[node]]
+        self.first, self.parts = np.zeros(tree.leaves, np.int64), np.ones(tree.leaves, np.int64)
+        block, held = 0, 0
+        for leaf in order:
+            n = int(self.leaf_size[leaf])
+            if held and held + n > self.rows_per_chunk:
+                block, held = block + 1, 0
+            self.first[leaf], self.parts[leaf] = block, max(1, -(-n // self.rows_per_chunk))
+            block, held = (block + self.parts[leaf], 0) if self.parts[leaf] > 1 else (block, held + n)
+
+        first, parts = (F.array(*[F.lit(int(v)) for v in x]) for x in (self.first, self.parts))
+        part = F.pmod(F.xxhash64("_tid"), F.element_at(parts, F.col("leaf") + 1))
+        self.rows = placed.select("_tid", "_x", "_y", "leaf", (F.element_at(first, F.col("leaf") + 1) + part).cast("int").alias("block"))
+
+    def _search(self, asked: DataFrame, k: int, exclude_self: bool, dealt: bool) -> DataFrame:
+        """(_qid, _tid, distance, _y): the best k of each block that a query (_qid, _x, bound, block, leaves) visits."""
+        left, right = asked.withColumn("salt", F.lit(0)), self.rows.withColumn("salt", F.lit(0))
+        if dealt:
+            # Blocks that many queries visit are read by several tasks.
+            salts = asked.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / self.rows_per_chunk).cast("int").alias("salts"))
+            left = asked.join(salts, "block").withColumn("salt", F.pmod(F.xxhash64("_qid"), F.col("salts")).cast("int")).drop("salts")
+            right = self.rows.join(salts, "block").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+        p = self.p
+
+        def best(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+            empty = pd.DataFrame({"_qid": q["_qid"].iloc[:0], "_tid": t["_tid"].iloc[:0], "distance": [], "_y": []})
+            if q.empty or t.empty:
+                return empty
+            t = t.sort_values(["leaf", "_tid"])
+            leaf, tid, ty, tx = t["leaf"].to_numpy(), t["_tid"].to_numpy(), t["_y"].to_numpy(), _stack(t["_x"])
+            qid, qx, bound = q["_qid"].to_numpy(), _stack(q["_x"]), q["bound"].to_numpy().copy()
+            at = np.repeat(np.arange(len(q)), [len(x) for x in q["leaves"]])
+            wanted = np.concatenate([np.asarray(x, dtype=np.int64) for x in q["leaves"]])
+            order = np.argsort(wanted, kind="stable")
+            at, wanted = at[order], wanted[order]
+            code = pd.factorize(tid, sort=True)[0]  # order of the ids, of whatever type
+            near = np.full((len(q), k), np.inf)
+            found = np.full((len(q), k), -1)
+            for one in np.unique(wanted):
+                low, high = np.searchsorted(leaf, [one, one + 1])
+                queries = at[slice(*np.searchsorted(wanted, [one, one + 1]))]
+                for i in range(0, len(queries), step := max(1, 1_000_000 // max(1, (high - low) * qx.shape[1]))):
+                    some = queries[i : i + step]
+                    d = distances(qx[some], tx[low:high], p)
+                    if exclude_self:
+                        d[qid[some][:, None] == tid[None, low:high]] = np.inf
+                    d[d > bound[some][:, None]] = np.inf
+                    merged = np.concatenate([near[some], d], axis=1)
+                    names = np.concatenate([found[some], np.broadcast_to(np.arange(low, high), d.shape)], axis=1)
+                    pick = np.lexsort((code[names], merged), axis=1)[:, :k]
+                    near[some], found[some] = np.take_along_axis(merged, pick, axis=1), np.take_along_axis(names, pick, axis=1)
+                    bound[some] = np.minimum(bound[some], near[some][:, -1])
+            row, which = np.nonzero(np.isfinite(near))
+            hit = found[row, which]
+            return pd.DataFrame({"_qid": qid[row], "_tid": tid[hit], "distance": near[row, which], "_y": ty[hit]})
+
+        schema = f"_qid {asked.schema['_qid'].dataType.simpleString()}, _tid {self.id_type}, distance double, _y double"
+        return left.groupBy("block", "salt").cogroup(right.groupBy("block", "salt")).applyInPandas(best, schema)
+
+    def _visits(self, asked: DataFrame, wanted: int, far: bool) -> DataFrame:
+        """Queries with the blocks to visit: those near by that hold `wanted` rows, or (`far`) all others within `bound`."""
+        tree, first_block, parts = self.tree, self.first, self.parts
+
+        @F.pandas_udf("array<struct<block: int, leaves: array<int>>>")
+        def visit(x: pd.Series, bound: pd.Series) -> pd.Series:
+            if not len(x):
+                return pd.Series([], dtype=object)
+            rows = _stack(x)
+            row, leaf = tree.enough(rows, wanted)
+            if far:
+                seen = row * tree.leaves + leaf
+                row, leaf = tree.visits(rows, bound.to_numpy())
+                new = ~np.isin(row * tree.leaves + leaf, seen)
+                row, leaf = row[new], leaf[new]
+            return _by_block(row, leaf, len(rows), first_block, parts)
+
+        visits = asked.withColumn("_visit", F.explode(visit("_x", "bound")))
+        return visits.select("_qid", "_x", "bound", "_visit.block", "_visit.leaves")
+
+    def neighbours(self, query: DataFrame, k: int = 5, exclude_self: bool = False) -> DataFrame:
+        """(query id, neighbour, distance, neighbour_target): the k nearest, ties by id. See `nearest`."""
+        asked_type = query.schema[self.id_col].dataType.simpleString()
+        if not self.n:
+            return self.spark.createDataFrame([], f"`{self.id_col}` {asked_type}, neighbour {self.id_type}, distance double, neighbour_target double")
+        best, _ = self._two_passes(query, k, exclude_self)
+        return best.select(F.col("_qid").alias(self.id_col), F.col("_tid").alias("neighbour"), "distance", F.col("_y").alias("neighbour_target"))
+
+    def visited_pairs(self, query: DataFrame, k: int = 5, exclude_self: bool = False) -> int:
+        """How many (query, row) distances a search takes."""
+        size = F.array(*[F.lit(int(n)) for n in self.leaf_size])
+        _, visits = self._two_passes(query, k, exclude_self)
+        pairs = F.aggregate("leaves", F.lit(0).cast("long"), lambda a, leaf: a + F.element_at(size, leaf + 1))
+        once = visits.groupBy("_qid", "leaves").agg(F.first(pairs).alias("pairs"))  # a large leaf has several blocks
+        return once.agg(F.sum("pairs")).first()[0] or 0
+
+    def _two_passes(self, query: DataFrame, k: int, exclude_self: bool) -> tuple[DataFrame, DataFrame]:
+        asked = _usable(query.select(F.col(self.id_col).alias("_qid"), _vector(self.features).alias("_x")), "_qid").dropDuplicates(["_qid"])
+        # A query visits a block once, so few queries fill no block; many are stored with their visits.
+        dealt = asked.count() > self.rows_per_chunk
+        wanted = k + 1 if exclude_self else k
+        near = self._visits(asked.withColumn("bound", F.lit(float("inf"))), wanted, far=False)
+        near = kept(near, "near-visits") if dealt else near
+        first = kept(self._top(self._search(near, k, exclude_self, dealt), k), "near-rows")
+        worst = F.when(F.count(F.lit(1)) >= k, F.max("distance")).otherwise(float("inf")).alias("bound")
+        again = asked.join(first.groupBy("_qid").agg(worst), "_qid", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
+        far = self._visits(again, wanted, far=True)
+        far = kept(far, "far-visits") if dealt else far
+        return self._top(first.unionByName(self._search(far, k, exclude_self, dealt)), k), near.unionByName(far)
+
+    @staticmethod
+    def _top(pairs: DataFrame, k: int) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy("_qid").orderBy("distance", "_tid"))
+        return pairs.withColumn("_rank", rank).where(F.col("_rank") <= k).drop("_rank")
 
 
 def nearest(
@@ -65,96 +249,11 @@ def nearest(
     """(query id, neighbour id, distance, neighbour target): the k nearest, ties by id.
 
     `exclude_self`: a row is not its own neighbour (leave-one-out on one table). Rows without an id, a vector
-    or one of its components have no distance: they are no neighbours and find none. Small tables are cut
-    finer than `rows_per_chunk`, so that every core has a group; the result is the same.
+    or one of its components have no distance: they are no neighbours and find none; a query id that repeats
+    is asked once. Small tables are cut finer than `rows_per_chunk`, so that every core has a group; the
+    result is the same. Runs jobs when called; build a `NeighbourIndex` for more than one search.
     """
-    known = train.select(F.col(id_col).alias("_tid"), _vector(features).alias("_x"), F.col(target).cast("double").alias("_y"))
-    asked = query.select(F.col(id_col).alias("_qid"), _vector(features).alias("_x"))
-    known, asked = (d.where(d[i].isNotNull() & d["_x"].isNotNull() & ~F.exists("_x", F.isnull)) for d, i in ((known, "_tid"), (asked, "_qid")))
-    n_train = known.count()
-    if not n_train:
-        asked_type, id_type = (d.schema[id_col].dataType.simpleString() for d in (query, train))
-        return train.sparkSession.createDataFrame([], f"`{id_col}` {asked_type}, neighbour {id_type}, distance double, neighbour_target double")
-    rows_per_chunk = min(rows_per_chunk, max(LEAST_CHUNK, math.ceil(n_train / train.sparkSession.sparkContext.defaultParallelism)))
-    n_pivots = int(min(MAX_PIVOTS, max(1, n_train // rows_per_chunk)))
-    picked = known.orderBy(F.xxhash64("_tid"), "_tid").limit(n_pivots).collect()
-    pivots = np.array([row["_x"] for row in picked], dtype=float)
-
-    @F.pandas_udf("cell int, reach double")
-    def home(x: pd.Series) -> pd.DataFrame:
-        d = _distances(_stack(x), pivots, p)
-        cell = d.argmin(axis=1)
-        return pd.DataFrame({"cell": cell.astype(np.int32), "reach": d[np.arange(len(d)), cell]})
-
-    placed = known.withColumn("_home", home("_x")).select("_tid", "_x", "_y", "_home.cell", "_home.reach")
-    sizes, radius = np.zeros(n_pivots), np.zeros(n_pivots)
-    for row in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("reach").alias("r")).collect():
-        sizes[row["cell"]], radius[row["cell"]] = row["n"], row["r"]
-    wanted = k + 1 if exclude_self else k
-
-    @F.pandas_udf("array<int>")
-    def cells_to_visit(x: pd.Series) -> pd.Series:
-        d = _distances(_stack(x), pivots, p)
-        far = d + radius
-        order = far.argsort(axis=1)
-        counted = np.cumsum(sizes[order], axis=1)
-        last = np.minimum((counted < wanted).sum(axis=1), n_pivots - 1)
-        bound = np.take_along_axis(far, order, axis=1)[np.arange(len(d)), last]
-        bound[counted[:, -1] < wanted] = np.inf
-        hit = (d - radius <= bound[:, None] * (1 + _SLACK) + _SLACK) & (sizes > 0)
-        return pd.Series([np.flatnonzero(row).astype(np.int32) for row in hit])
-
-    visits = asked.withColumn("cell", F.explode(cells_to_visit("_x")))
-    per_cell = {r["cell"]: r["count"] for r in visits.groupBy("cell").count().collect()}
-    chunks = [max(1, -(-int(sizes[c]) // rows_per_chunk)) for c in range(n_pivots)]
-    salts = [max(1, -(-per_cell.get(c, 0) // rows_per_chunk)) for c in range(n_pivots)]
-
-    def count_for(values: list[int]) -> Column:
-        return F.element_at(F.array(*[F.lit(v) for v in values]), F.col("cell") + 1)
-
-    def spread(col: str, parts: Column) -> Column:
-        return F.pmod(F.xxhash64(col), parts).cast("int")
-
-    def every(parts: Column) -> Column:
-        return F.explode(F.sequence(F.lit(0), parts - 1))
-
-    left = visits.withColumn("salt", spread("_qid", count_for(salts))).withColumn("chunk", every(count_for(chunks)))
-    right = placed.drop("reach").withColumn("chunk", spread("_tid", count_for(chunks))).withColumn("salt", every(count_for(salts)))
-    group = ["cell", "chunk", "salt"]
-
-    def top_k(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"_qid": q["_qid"].iloc[:0], "_tid": t["_tid"].iloc[:0], "distance": [], "_y": []})
-        if q.empty or t.empty:
-            return empty
-        t = t.sort_values("_tid")
-        tx, tid, ty = _stack(t["_x"]), t["_tid"].to_numpy(), t["_y"].to_numpy()
-        parts = [empty]
-        block = max(1, 4_000_000 // len(t))
-        for i in range(0, len(q), block):
-            part = q.iloc[i : i + block]
-            d = _distances(_stack(part["_x"]), tx, p)
-            if exclude_self:
-                d[part["_qid"].to_numpy()[:, None] == tid[None, :]] = np.inf
-            # Rows are in id order, so a stable sort breaks equal distances by id.
-            best = d.argsort(axis=1, kind="stable")[:, :k]
-            dist = np.take_along_axis(d, best, axis=1)
-            keep = np.isfinite(dist).ravel()
-            parts.append(pd.DataFrame({
-                "_qid": np.repeat(part["_qid"].to_numpy(), best.shape[1])[keep],
-                "_tid": tid[best.ravel()][keep],
-                "distance": dist.ravel()[keep],
-                "_y": ty[best.ravel()][keep],
-            }))
-        return pd.concat(parts[1:] or parts)
-
-    id_type = train.schema[id_col].dataType.simpleString()
-    schema = f"_qid {query.schema[id_col].dataType.simpleString()}, _tid {id_type}, distance double, _y double"
-    pairs = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(top_k, schema)
-    rank = F.row_number().over(Window.partitionBy("_qid").orderBy("distance", "_tid"))
-    best = pairs.withColumn("_rank", rank).where(F.col("_rank") <= k)
-    return best.select(
-        F.col("_qid").alias(id_col), F.col("_tid").alias("neighbour"), "distance", F.col("_y").alias("neighbour_target")
-    )
+    return NeighbourIndex(train, features, id_col, target, p, rows_per_chunk).neighbours(query, k, exclude_self)
 
 
 def uniform_mean() -> Column:
@@ -189,13 +288,17 @@ class NeighbourForecaster:
         self.features, self.target, self.id_col = list(features), target, id_col
         self.k, self.weights, self.p = k, weights, p
         self.rows: DataFrame | None = None
+        self._index: NeighbourIndex | None = None
 
     def fit(self, df: DataFrame) -> NeighbourForecaster:
-        self.rows = df.select(self.id_col, *self.features, self.target)
+        """Keeps the rows; their index is built by the first prediction and serves all later ones."""
+        self.rows, self._index = df.select(self.id_col, *self.features, self.target), None
         return self
 
     def predict(self, df: DataFrame) -> DataFrame:
-        near = nearest(self.rows, df, self.features, self.id_col, self.target, self.k, self.p)
+        if self._index is None:
+            self._index = NeighbourIndex(self.rows, self.features, self.id_col, self.target, self.p)
+        near = self._index.neighbours(df, self.k)
         return df.join(knn_predict(near, self.id_col, self.weights), self.id_col, "left")
 
     def evaluate(self, df: DataFrame, scores=("rmse", "mae", "mape", "sd")) -> DataFrame:

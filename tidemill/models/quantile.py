@@ -12,16 +12,15 @@ from pyspark.ml.feature import VectorAssembler, VectorSlicer
 from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidemill.models.boosting import Margins
 from tidemill.models.forecaster import PREDICTION
 from tidemill.models.search import draw, search
 from tidemill.operators.buckets import join_same
 from tidemill.operators.metrics import pinball, pinball_loss
 from tidemill.operators.quantiles import exact_quantiles
-from tidemill.session import cut_lineage
 
 # Name -> probability of the three forecasts (a 98 % interval and the median).
 QUANTILES = {"lower": 0.01, "median": 0.5, "upper": 0.99}
-_ROUNDS_BETWEEN_CHECKPOINTS = 5
 # Ranges of the sampled search.
 SPACE = {
     "max_depth": ("int", 3, 10),
@@ -91,17 +90,12 @@ class QuantileBoosting:
         self.start = exact_quantiles(train, [], self.target, {"q": self.q}, most_rows=n).first()["q"]
         self.trees, self.leaves, self.losses, self.best_iteration = [], [], [], 0
 
-        def begin(df: DataFrame) -> DataFrame:
-            rows = self._assemble(df.select(*self.features, self.target))
-            return cut_lineage(rows.select("_x", y.alias("_y"), F.lit(self.start).alias("_f")))
+        def rows_of(df: DataFrame) -> DataFrame:
+            return self._assemble(df.select(*self.features, self.target)).select("_x", y.alias("_y"))
 
-        # Training and validation rows go through the rounds as one table.
-        state = begin(train).withColumn("_val", F.lit(False))
-        if val is not None:
-            state = state.unionByName(begin(val).withColumn("_val", F.lit(True)))
-        best, held = float("inf"), None
+        margins = Margins(rows_of(train), None if val is None else rows_of(val), self.start)
         pull = F.when(F.col("_y") > F.col("_f"), self.q).otherwise(self.q - 1)
-        pin = pinball_loss("_y", "_f", self.q)
+        best = float("inf")
         try:
             for i in range(self.n_estimators):
                 learner = DecisionTreeRegressor(
@@ -114,31 +108,26 @@ class QuantileBoosting:
                     minInfoGain=self.gamma,
                     seed=self.random_state + i,
                 )
-                rows = VectorSlicer(inputCol="_x", outputCol="_xs", indices=self._columns(i)).transform(state.where(~F.col("_val")))
+                rows = VectorSlicer(inputCol="_x", outputCol="_xs", indices=self._columns(i)).transform(margins.train)
                 rows = rows.select("_xs", pull.alias("_pull"))
                 tree = learner.fit(rows if self.subsample >= 1 else rows.sample(self.subsample, seed=self.random_state + i))
-                scored = self._with_leaf(state, tree, i).persist()
+                scored = margins.hold(self._with_leaf(margins.rows, tree, i))
                 residuals = scored.where(~F.col("_val")).select("_leaf", (F.col("_y") - F.col("_f")).alias("_r"))
                 table = exact_quantiles(residuals, ["_leaf"], "_r", {"v": self.q}, most_rows=n).collect()
-                if held is not None:
-                    held.unpersist()
-                held = scored
+                margins.release()
                 values = {row["_leaf"]: row["v"] for row in table}
                 self.trees.append(tree)
                 self.leaves.append(values)
-                state = self._moved(scored, values, "_f")
-                if (i + 1) % _ROUNDS_BETWEEN_CHECKPOINTS == 0:
-                    state = cut_lineage(state)
+                margins.advance(self._moved(scored, values, "_f"))
                 if val is not None:
-                    loss = {r["_val"]: r["loss"] for r in state.groupBy("_val").agg(F.avg(pin).alias("loss")).collect()}
-                    self.losses.append((i + 1, loss.get(False), loss.get(True)))
-                    if loss.get(True) is not None and loss[True] < best:
-                        best, self.best_iteration = loss[True], i + 1
+                    losses = margins.losses(pinball_loss("_y", "_f", self.q))
+                    self.losses.append((i + 1, *losses))
+                    if losses[1] is not None and losses[1] < best:
+                        best, self.best_iteration = losses[1], i + 1
                     elif self.patience is not None and i + 1 - self.best_iteration >= self.patience:
                         break
         finally:
-            if held is not None:
-                held.unpersist()
+            margins.close()
         if val is None:
             self.best_iteration = len(self.trees)
         return self

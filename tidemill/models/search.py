@@ -12,6 +12,7 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidemill.models.boosting import SquaredBoosting, as_forecaster, boosting_rows
 from tidemill.models.forecaster import PREDICTION, Forecaster
 from tidemill.operators.metrics import point_metrics
 from tidemill.operators.split import expanding_folds, fold_test, fold_train
@@ -104,30 +105,24 @@ def boost_with_early_stop(
     make: Callable[[int], Forecaster], train: DataFrame, val: DataFrame, max_iter: int, patience: int
 ) -> EarlyStop:
     """Boost until `patience` rounds bring no better validation loss (or `max_iter` rounds), and keep the
-    model of the best round. `make(n)` builds a model of n rounds, the same ones for any n.
-
-    Rounds are added by doubling, so no more than about twice the rounds needed are trained, whatever
-    `max_iter`; the best round is trained by itself unless it is the last one.
+    model of the best round. `make(n)` builds a model of n rounds; it is asked for one round, whose settings
+    and feature stages hold for all. Rounds are appended to a running margin, so each is trained once.
     """
-    rounds = min(max_iter, max(2 * patience, 1))
-    while True:
-        full = make(rounds).fit(train)
-        val_loss = full.regressor.evaluateEachIteration(full.vectors(val), "squared")
-        best, stopped = 0, None
-        for i, loss in enumerate(val_loss):
-            if loss < val_loss[best]:
-                best = i
-            elif i - best >= patience:
-                stopped = i + 1
+    prototype = make(1).fit(train)
+    boosting = SquaredBoosting(prototype.estimator, boosting_rows(prototype, train), boosting_rows(prototype, val))
+    best = 0
+    try:
+        while len(boosting.trees) < max_iter:
+            boosting.add()
+            val_loss = [v for _, _, v in boosting.history]
+            if val_loss[-1] is not None and (val_loss[best] is None or val_loss[-1] < val_loss[best]):
+                best = len(val_loss) - 1
+            elif len(val_loss) - 1 - best >= patience:
                 break
-        if stopped or rounds >= max_iter:
-            break
-        rounds = min(max_iter, 2 * rounds)
-    train_loss = full.regressor.evaluateEachIteration(full.vectors(train), "squared")
-    rows = [(i + 1, t, v) for i, (t, v) in enumerate(zip(train_loss, val_loss))][:stopped]
-    losses = train.sparkSession.createDataFrame(rows, "iteration int, train_loss double, val_loss double")
-    model = full if best + 1 == rounds else make(best + 1).fit(train)
-    return EarlyStop(model, best + 1, losses)
+        losses = train.sparkSession.createDataFrame(boosting.history, "iteration int, train_loss double, val_loss double")
+        return EarlyStop(as_forecaster(prototype, boosting, best + 1), best + 1, losses)
+    finally:
+        boosting.margins.close()
 
 
 def store_params(spark: SparkSession, params: Mapping[str, Mapping], path: str) -> None:
