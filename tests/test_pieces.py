@@ -8,7 +8,7 @@ import pytest
 from conftest import SF, at, hours
 from pyspark.sql import Window, functions as F
 
-from tidemill.operators import correlogram, features, fill, grid, ranks
+from tidemill.operators import correlogram, features, fill, grid, pieces, ranks
 from tidemill.operators import buckets as B, clean
 from tidemill.operators.quantiles import exact_quantiles
 from tidemill.operators.features import lag_and_rolling
@@ -248,3 +248,78 @@ def test_ordinals_of_a_burst(spark):
         assert [(r["ts"] is not None, r["ts"] or burst, r["tie"]) for r in found] == own
     pieces = B.cut_by_ranges(df, ["k", "ts", "tie"], 200).groupBy(B.PIECE).count()
     assert pieces.agg(F.max("count")).first()[0] <= 600
+
+
+def _gappy(spark):
+    """Series with short gaps, a gap of many pieces, one row, a NULL key, values that are missing, and rows without a time."""
+    rng = random.Random(11)
+    rows = []
+    for k, times in (("a", [0, 1, 2, 5, 6, 400, 401, 403]), ("b", [7]), (None, [3, 4, 90]), ("c", list(range(0, 200, 3)))):
+        rows += [(k, hours(500)[h], None if rng.random() < 0.3 else float(rng.randint(0, 99)), f"{k}{h}") for h in times]
+    rows.append(("a", None, 1.0, "x"))
+    return spark.createDataFrame(rows, "k string, ts timestamp_ntz, v double, note string").repartition(3)
+
+
+@pytest.mark.parametrize("steps, group", [(7, 3), (131_072, 1_024)])
+def test_grid_inside_pieces_is_the_joined_grid(spark, monkeypatch, steps, group):
+    monkeypatch.setattr(pieces, "PIECE_STEPS", steps)
+    monkeypatch.setattr(pieces, "GROUP_PIECES", group)
+    monkeypatch.setattr(pieces, "_BLOCK_STEPS", 5)
+    df = _gappy(spark)
+    for keys, rows in ((["k"], df), ([], df.where("k = 'a'").drop("k"))):
+        joined = reindex(rows.where("ts IS NOT NULL"), keys, "ts", 3600)
+        same(reindex(rows, keys, "ts", 3600, aligned=True), joined)
+        for both in (False, True):
+            want = interpolate_time(joined, keys, "ts", ["v"], 3600, both_edges=both, flag="filled")
+            same(interpolate_time(rows, keys, "ts", ["v"], 3600, both_edges=both, flag="filled", grid=True), want)
+        same(fill.fill_midpoint(rows, keys, "ts", ["v"], 3600, grid=True), fill.fill_midpoint(joined, keys, "ts", ["v"], 3600))
+
+
+def test_grid_of_no_rows(spark):
+    none = spark.createDataFrame([], "k string, ts timestamp_ntz, v double")
+    assert interpolate_time(none, ["k"], "ts", ["v"], 3600, grid=True).count() == 0
+    assert reindex(none, [], "ts", 3600, aligned=True).columns == ["ts", "k", "v"]
+
+
+def test_long_gaps_are_dealt_by_their_steps(spark, monkeypatch):
+    monkeypatch.setattr(pieces, "_TASK_STEPS", 1_000)
+    monkeypatch.setattr(pieces, "_BLOCK_STEPS", 100)
+    monkeypatch.setattr(pieces, "PIECE_STEPS", 500)
+    rows = [(at("2024-01-01"), 1.0), (at("2025-01-01"), 5.0)]
+    df = spark.createDataFrame(rows, "ts timestamp_ntz, v double")
+    out = interpolate_time(df, [], "ts", ["v"], 3600, grid=True)
+    assert out.count() == 366 * 24 + 1 and out.where("v IS NULL").count() == 0
+    assert out.agg(F.avg("v")).first()[0] == pytest.approx(3.0)
+    assert out.where("ts > timestamp_ntz'2024-01-01' AND ts < timestamp_ntz'2025-01-01'").select(F.spark_partition_id()).distinct().count() >= 4
+
+
+def _plan(name, spark):
+    from tidemill.catalog import all_queries
+
+    return all_queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize(
+    "name, most", [("clean_panel", 6), ("clean_national", 4), ("build_slot_features", 4), ("regular_grid", 2), ("resample_hour_mean", 2)]
+)
+def test_plans_read_little_and_never_one_partition(spark, name, most):
+    """The final plan reads stored rows and the ends of their pieces; the sources were read once before."""
+    plan = _plan(name, spark)
+    assert 0 < plan.count("FileScan parquet") <= most
+    assert "SinglePartition" not in plan
+
+
+def test_positions_read_the_table_twice_with_pushed_bounds(spark, tmp_path):
+    """One pass counts days, one reads the days that hold a wanted position."""
+    rng = random.Random(5)
+    rows = [(at("2024-01-01") + dt.timedelta(seconds=rng.randint(0, 40 * 86_400)), i) for i in range(3_000)] + [(None, -1), (None, -2)]
+    spark.createDataFrame(rows, "ts timestamp_ntz, i long").repartition(4).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    found = ranks.Positions(df, "ts", ["i"])
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or at("2024-01-01"), r[1]))
+    wanted = [0, 1, 2, 1500, 3001]
+    for most in (100_000, 20):
+        got = found.rows_at(wanted, most)
+        assert {r: (got[r]["ts"], got[r]["i"]) for r in wanted} == {r: ordered[r] for r in wanted}
+    plan = found._of_days([19_730, None])._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [Or(" in plan and "GreaterThanOrEqual(ts" in plan and plan.count("FileScan") == 1

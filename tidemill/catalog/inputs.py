@@ -45,7 +45,7 @@ HOURLY = (
 
 
 def hourly_grid(spark, sf_dir) -> DataFrame:
-    return reindex(hourly(spark, sf_dir), ["event_type"], "ts", HOUR)
+    return reindex(hourly(spark, sf_dir), ["event_type"], "ts", HOUR, aligned=True)
 
 
 def grid_sql(name: str, src: str, keys: list[str], cols: list[str], step: str) -> str:
@@ -95,13 +95,13 @@ def fill_sql(name: str, src: str, keys: list[str], cols: list[str], both: bool =
 
 
 def filled(df: DataFrame, keys: list[str], step: int, cols: list[str] = ["v"]) -> DataFrame:
-    out = interpolate_time(df, keys, "ts", cols, step)
+    out = interpolate_time(df, keys, "ts", cols, step, grid=True)
     return out.withColumns({c: round_half_even(c) for c in cols})
 
 
 def hourly_filled(spark, sf_dir) -> DataFrame:
     """Whole cents on a complete hourly grid (leading gaps, if any, stay null)."""
-    return filled(hourly_grid(spark, sf_dir), ["event_type"], HOUR)
+    return filled(hourly(spark, sf_dir), ["event_type"], HOUR)
 
 
 HOURLY_FILLED = f"{HOURLY_GRID}, {fill_sql('hfill', 'hgrid', ['event_type'], ['v'], rounded=True)}"
@@ -122,7 +122,7 @@ DAILY = (
 
 
 def daily_filled(spark, sf_dir) -> DataFrame:
-    return filled(reindex(daily(spark, sf_dir), [], "ts", DAY), [], DAY)
+    return filled(daily(spark, sf_dir), [], DAY)
 
 
 DAILY_FILLED = (

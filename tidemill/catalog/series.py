@@ -106,14 +106,13 @@ _USER_HOURLY = "uh AS (SELECT user_id, date_trunc('hour', ts) AS ts, sum(round(v
 _USER_GRID = f"{_USER_HOURLY}, {I.grid_sql('ug', 'uh', ['user_id'], ['v'], '1 hour')}"
 
 
-def _user_grid(spark, sf_dir):
-    sums = grid.resample_sum(I.events(spark, sf_dir), ["user_id"], "ts", {"v": "v"}, HOUR)
-    return grid.reindex(sums, ["user_id"], "ts", HOUR)
+def _user_hours(spark, sf_dir):
+    return grid.resample_sum(I.events(spark, sf_dir), ["user_id"], "ts", {"v": "v"}, HOUR)
 
 
 @query(f"WITH {_USER_GRID}, {I.fill_sql('uf', 'ug', ['user_id'], ['v'])} SELECT user_id, ts, round(v, 6) AS v FROM uf")
 def interpolate_time(spark, sf_dir):
-    out = fill.interpolate_time(_user_grid(spark, sf_dir), ["user_id"], "ts", ["v"], HOUR)
+    out = fill.interpolate_time(_user_hours(spark, sf_dir), ["user_id"], "ts", ["v"], HOUR, grid=True)
     return out.withColumn("v", F.round("v", 6))
 
 
@@ -124,14 +123,14 @@ _EDGE = (
 )
 
 
-def _edge_grid(spark, sf_dir):
+def _edge_hours(spark, sf_dir):
     ev = I.events(spark, sf_dir).withColumn("v", F.when(F.col("event_type") == "purchase", F.col("v")))
-    return grid.reindex(grid.resample_sum(ev, ["user_id"], "ts", {"v": "v"}, HOUR), ["user_id"], "ts", HOUR)
+    return grid.resample_sum(ev, ["user_id"], "ts", {"v": "v"}, HOUR)
 
 
 @query(f"WITH {_EDGE}, {I.fill_sql('ef', 'eg', ['user_id'], ['v'], both=True)} SELECT user_id, ts, round(v, 6) AS v FROM ef")
 def interpolate_time_both(spark, sf_dir):
-    out = fill.interpolate_time(_edge_grid(spark, sf_dir), ["user_id"], "ts", ["v"], HOUR, both_edges=True)
+    out = fill.interpolate_time(_edge_hours(spark, sf_dir), ["user_id"], "ts", ["v"], HOUR, both_edges=True, grid=True)
     return out.withColumn("v", F.round("v", 6))
 
 
@@ -143,7 +142,7 @@ def _near_sql(keys: str) -> tuple[str, str]:
 
 @query(f"WITH {_EDGE} SELECT user_id, ts, coalesce(v, ({_near_sql('user_id')[0]} + {_near_sql('user_id')[1]}) / 2) AS v FROM eg")
 def fill_midpoint(spark, sf_dir):
-    return fill.fill_midpoint(_edge_grid(spark, sf_dir), ["user_id"], "ts", ["v"], HOUR)
+    return fill.fill_midpoint(_edge_hours(spark, sf_dir), ["user_id"], "ts", ["v"], HOUR, grid=True)
 
 
 @query(

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidemill.functions.timecols import micros
 from tidemill.operators.buckets import carry_neighbours, over_rows
+from tidemill.operators.pieces import gridded_neighbours
 
 # Fills need no halo, so their pieces are long and the summary (one row per piece) stays small:
 # one series of 10^11 rows has under a million pieces.
@@ -22,13 +23,15 @@ def interpolate_time(
     step: int,
     both_edges: bool = False,
     flag: str | None = None,
+    grid: bool = False,
 ) -> DataFrame:
     """Straight line in time between the surrounding values.
 
     After the last value the last value holds. Before the first value rows stay null, or take
     the first value with `both_edges`. `flag` names a 0/1 column: any cell was null before filling.
+    `grid`: rows, one per time and whole steps apart, are put on the regular grid in the same pass.
     """
-    near = carry_neighbours(df, keys, time, cols, step * ROWS_PER_FILL)
+    near = _neighbours(df, keys, time, cols, step, grid)
 
     def line(c: str) -> str:
         b, a = f"`_before_{c}`", f"`_after_{c}`"
@@ -47,9 +50,15 @@ def interpolate_time(
     return near.selectExpr(*out)
 
 
-def fill_midpoint(df: DataFrame, keys: Sequence[str], time: str, cols: Sequence[str], step: int) -> DataFrame:
-    """A gap takes the mean of the values around it; gaps at an edge stay null."""
-    near = carry_neighbours(df, keys, time, cols, step * ROWS_PER_FILL)
+def _neighbours(df: DataFrame, keys: Sequence[str], time: str, cols: Sequence[str], step: int, grid: bool) -> DataFrame:
+    return gridded_neighbours(df, keys, time, cols, step) if grid else carry_neighbours(df, keys, time, cols, step * ROWS_PER_FILL)
+
+
+def fill_midpoint(
+    df: DataFrame, keys: Sequence[str], time: str, cols: Sequence[str], step: int, grid: bool = False
+) -> DataFrame:
+    """A gap takes the mean of the values around it; gaps at an edge stay null. `grid` as in `interpolate_time`."""
+    near = _neighbours(df, keys, time, cols, step, grid)
     middle = {c: f"coalesce(`{c}`, (`_before_{c}`.v + `_after_{c}`.v) / 2) AS `{c}`" for c in cols}
     return near.selectExpr(*[middle.get(c, f"`{c}`") for c in df.columns])
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidemill.functions.timecols import epoch_seconds, floor_time, seconds_interval
 from tidemill.operators.buckets import series_of, with_series
+from tidemill.operators.pieces import gridded_neighbours
 
 _POINTS_PER_BLOCK = 4_096
 
@@ -34,9 +35,15 @@ def regular_grid(df: DataFrame, keys: Sequence[str], time: str, step: int) -> Da
     return points.select(*keys, (F.col("_lo") + seconds_interval(F.col("_i") * step)).alias(time))
 
 
-def reindex(df: DataFrame, keys: Sequence[str], time: str, step: int) -> DataFrame:
-    """The rows of `df` (one per series and time) put on the regular grid; gaps become null rows."""
+def reindex(df: DataFrame, keys: Sequence[str], time: str, step: int, aligned: bool = False) -> DataFrame:
+    """The rows of `df` (one per series and time) put on the regular grid; gaps become null rows.
+
+    Rows between the steps are left out. `aligned`: there are none, so rows emit the steps that are missing
+    behind them, without a join (`pieces.gridded_neighbours`, which stores the rows when called).
+    """
     rest = [c for c in df.columns if c not in (*keys, time)]
+    if aligned:
+        return gridded_neighbours(df, keys, time, [], step).select(*keys, time, *rest)
     grid = with_series(regular_grid(df, keys, time, step), keys)
     return _matched(grid, df, keys, time).select(*keys, time, *rest)
 
@@ -52,7 +59,7 @@ def resample_mean(
     """Mean per step; empty steps inside a series' span appear as null rows."""
     binned = df.withColumn(time, floor_time(time, step)).groupBy(*keys, time)
     means = binned.agg(*[F.avg(c).alias(c) for c in cols])
-    return reindex(means, keys, time, step) if empty_bins else means
+    return reindex(means, keys, time, step, aligned=True) if empty_bins else means
 
 
 def resample_month_mean(df: DataFrame, keys: Sequence[str], time: str, cols: Sequence[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemill.functions.timecols import minus_years
-from tidemill.operators.ranks import at_or_after, rows_at
+from tidemill.operators.ranks import Positions, at_or_after
 
 SPLIT = "split"
 
@@ -32,22 +32,24 @@ def split_tail(df: DataFrame, time: str, tie: Sequence[str], n_tail: int, label:
 
     Rows without a time stand first, so they train.
     """
-    return _tail(df, time, tie, n_tail, df.count(), label)
+    if n_tail <= 0:
+        return df.withColumn(SPLIT, F.lit("train"))
+    return _tail(df, time, tie, n_tail, Positions(df, time, tie), label)
 
 
-def _tail(df: DataFrame, time: str, tie: Sequence[str], n_tail: int, n: int, label: str = "test") -> DataFrame:
+def _tail(df: DataFrame, time: str, tie: Sequence[str], n_tail: int, at: Positions, label: str = "test") -> DataFrame:
     if n_tail <= 0:
         return df.withColumn(SPLIT, F.lit("train"))
-    if n_tail >= n:
+    if n_tail >= at.n:
         return df.withColumn(SPLIT, F.lit(label))
-    first = rows_at(df, time, tie, [n - n_tail])[n - n_tail]
+    first = at.rows_at([at.n - n_tail])[at.n - n_tail]
     return df.withColumn(SPLIT, F.when(at_or_after(first, time, tie), label).otherwise("train"))
 
 
 def split_ratio(df: DataFrame, time: str, tie: Sequence[str], ratio: float = 0.1) -> DataFrame:
     """The last int(ratio * n) rows are test."""
-    n = df.count()
-    return _tail(df, time, tie, int(ratio * n), n)
+    at = Positions(df, time, tie)
+    return _tail(df, time, tie, int(ratio * at.n), at)
 
 
 def expanding_folds(df: DataFrame, time: str, tie: Sequence[str], n_splits: int = 5, name: str = "block") -> DataFrame:
@@ -55,12 +57,13 @@ def expanding_folds(df: DataFrame, time: str, tie: Sequence[str], n_splits: int
 
     Blocks 1..n have floor(rows / (n + 1)) rows; block 0 takes the remainder.
     """
-    n = df.count()
+    at = Positions(df, time, tie)
+    n = at.n
     size = n // (n_splits + 1)
     if size == 0:
         raise ValueError(f"{n} rows are too few for {n_splits} folds")
     starts = [n - (n_splits - i) * size for i in range(n_splits)]
-    rows = rows_at(df, time, tie, starts)
+    rows = at.rows_at(starts)
     block = F.lit(0)
     for rank in starts:
         block = block + at_or_after(rows[rank], time, tie).cast("int")

@@ -33,13 +33,15 @@ def clean_slots(
     """Union, timestamps, keep-first, regular grid, null flag, fill, round to whole numbers.
 
     "First" is source order: a clock-change day of 50 slots runs into the next midnight, and its
-    last two slots win over that day's own first two.
+    last two slots win over that day's own first two. The sources are read once, when this is called: the
+    rows that stay are stored, and grid and fill run on them in one pass.
     """
     stacked = stack_sources(sources, date, slot, time).drop(*drop)
     unique = dedup_keep_first(stacked, [time], ["_source", date, slot]).drop("_source", date)
-    gridded = reindex(unique, [], time, step)
-    numeric = [f.name for f in gridded.schema.fields if isinstance(f.dataType, NumericType)]
-    filled = interpolate_time(gridded, [], time, numeric, step, flag="is_interpolated")
+    numeric = [f.name for f in unique.schema.fields if isinstance(f.dataType, NumericType)]
+    # Slots are half hours apart; a wider step leaves some of them out.
+    rows = unique if HALF_HOUR % step == 0 else reindex(unique, [], time, step)
+    filled = interpolate_time(rows, [], time, numeric, step, flag="is_interpolated", grid=True)
     return filled.withColumns({c: round_half_even(c) for c in numeric})
 
 

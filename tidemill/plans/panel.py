@@ -15,6 +15,7 @@ from tidemill.operators.fill import fill_midpoint, fill_neighbour_mean, interpol
 from tidemill.operators.filters import skip_first
 from tidemill.operators.grid import resample_mean
 from tidemill.operators.joins import left_join_time
+from tidemill.sources.tables import kept
 
 
 def clean_panel(
@@ -33,13 +34,14 @@ def clean_panel(
     """Per (series, part): keep-first, mean per step, midpoint fill. Then per series: weather by
     time, first `skip` times dropped, remaining gaps filled along time in both directions.
 
-    `part` is the source file of a row (a year); gaps between parts are not filled by the first step.
+    `part` is the source file of a row (a year); gaps between parts are not filled by the first step. Both
+    tables are read once, when this is called: means and joined rows are stored.
     """
     unique = dedup_keep_first(power, [key, part, time], power_order)
-    regular = resample_mean(unique, [key, part], time, [value], step)
-    whole = fill_midpoint(regular, [key, part], time, [value], step).drop(part)
-    merged = left_join_time(whole, weather, time, weather_order)
-    merged = skip_first(merged, [key], time, skip).drop(*drop)
+    means = resample_mean(unique, [key, part], time, [value], step, empty_bins=False)
+    whole = fill_midpoint(means, [key, part], time, [value], step, grid=True).drop(part)
+    merged = kept(left_join_time(whole, weather, time, weather_order).drop(*drop), "panel")
+    merged = skip_first(merged, [key], time, skip)
     numeric = [f.name for f in merged.schema.fields if f.name not in (key, time) and isinstance(f.dataType, NumericType)]
     return interpolate_time(merged, [key], time, numeric, step, both_edges=True)
 
