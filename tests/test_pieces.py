@@ -323,3 +323,31 @@ def test_positions_read_the_table_twice_with_pushed_bounds(spark, tmp_path):
         assert {r: (got[r]["ts"], got[r]["i"]) for r in wanted} == {r: ordered[r] for r in wanted}
     plan = found._of_days([19_730, None])._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [Or(" in plan and "GreaterThanOrEqual(ts" in plan and plan.count("FileScan") == 1
+
+
+@pytest.mark.parametrize("order", [["i"], ["b", "d", "i"], ["t", "x", "i"], ["big", "x", "i"], ["day", "i % 3", "i"], ["name", "i"]])
+def test_keep_first_by_packed_order(spark, order):
+    """NULLs come first in the order; wide ranges and fractions are keys of their own; text takes the sorting route."""
+    rng = random.Random(9)
+    one = lambda x: None if rng.random() < 0.2 else x
+    rows = [
+        (one(rng.choice("ab")), i, one(rng.random() < 0.5), one(round(rng.random(), 1)), one(at("2024-01-01") + dt.timedelta(seconds=rng.randint(0, 9))),
+         one(rng.choice([-(2**63), 2**63 - 1, 0])), one(dt.date(2024, 1, rng.randint(1, 9))), rng.choice([1.5, -2.5, None]))
+        for i in range(400)
+    ]
+    df = spark.createDataFrame(rows, "k string, i long, b boolean, d double, t timestamp_ntz, big long, day date, x double").repartition(6)
+    if "name" in order:
+        df = df.withColumn("name", F.concat(F.lit("n"), (F.col("i") % 7).cast("string")))
+    order = [F.expr(c) if " " in c else c for c in order]
+    got = clean.dedup_keep_first(df, ["k"], order)
+    rank = F.row_number().over(Window.partitionBy("k").orderBy(*[F.col(c).asc_nulls_first() if isinstance(c, str) else c.asc_nulls_first() for c in order]))
+    want = df.withColumn("rank", rank).where("rank = 1").drop("rank")
+    assert got.count() == 3
+    same(got, want)
+    assert ("SortAggregate" in got._jdf.queryExecution().executedPlan().toString()) == ("name" in df.columns)
+    assert clean.dedup_keep_first(df.limit(0), ["k"], order).count() == 0
+
+
+@pytest.mark.parametrize("name", ["dedup_keep_first", "clean_panel", "clean_weather"])
+def test_keep_first_hashes(spark, name):
+    assert "SortAggregate" not in _plan(name, spark)

@@ -5,25 +5,87 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tidemill.functions.timecols import epoch_micros
 from tidemill.operators.buckets import PIECE, cut_by_ranges, piece_width, with_piece
 
 
 def dedup_keep_first(df: DataFrame, subset: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
-    """One row per `subset` value: the first in `order` (source order, which must be total).
+    """One row per `subset` value: the first in `order` (source order, which must be total; NULLs come first).
 
     Done as an aggregate, so that copies collapse before the shuffle; a rank would send every copy
-    of a hot key to one task.
+    of a hot key to one task. Where all other columns and the order have a fixed width, the order is packed into
+    whole numbers and the aggregate hashes; a job reads the order's ranges when this is called. Else Spark sorts.
     """
     rest = [c for c in df.columns if c not in subset]
+    fixed = [f.dataType for f in df.schema.fields if f.name in rest]
+    named = df.select("*", *[(F.col(c) if isinstance(c, str) else c).alias(f"_o{i}") for i, c in enumerate(order)])
+    kinds = [f.dataType for f in named.schema.fields[len(df.columns) :]]
+    if rest and all(isinstance(t, _FIXED) for t in fixed) and all(isinstance(t, _FIXED) for t in kinds):
+        return _by_words(named, subset, rest, _words(named, kinds)).select(*df.columns)
     first = F.min_by(F.struct(*rest), F.struct(*order)).alias("_first")
     picked = df.groupBy(*subset).agg(first)
     fields = [F.col("_first").getField(c).alias(c) for c in rest]
     return picked.select(*subset, *fields).select(*df.columns)
 
 
+_WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+_FIXED = (*_WHOLE, T.FloatType, T.DoubleType, T.DecimalType)
+_WORD = 2**63
+
+
+def _whole(c: str, kind: T.DataType) -> Column:
+    """The value as a whole number of the same order."""
+    if isinstance(kind, T.DateType):
+        return F.unix_date(c).cast("long")
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return epoch_micros(c) if isinstance(kind, T.TimestampNTZType) else F.unix_micros(c)
+    return F.col(c).cast("int").cast("long") if isinstance(kind, T.BooleanType) else F.col(c).cast("long")
+
+
+def _words(df: DataFrame, kinds: Sequence[T.DataType]) -> list[Column]:
+    """Columns `_o0`, `_o1`, .. as few sort keys without NULLs: whole numbers share a 64-bit one as far as their ranges
+    allow, a NULL being the least; other numbers are keys of their own, with a flag in the key before.
+    """
+    whole = {i: _whole(f"_o{i}", t) for i, t in enumerate(kinds) if isinstance(t, _WHOLE)}
+    ends = df.agg(*[f(x).cast("decimal(20,0)") for x in whole.values() for f in (F.min, F.max)]).first() if whole else []
+    spans = {i: (int(ends[2 * k] or 0), int(ends[2 * k + 1] or 0)) for k, i in enumerate(whole)}
+    words: list[Column] = []
+    open_, room = F.lit(0).cast("long"), _WORD
+
+    def put(value: Column, size: int) -> None:
+        nonlocal open_, room
+        if size > room:
+            words.append(open_)
+            open_, room = F.lit(0).cast("long"), _WORD
+        open_, room = open_ * F.lit(size).cast("long") + value, room // size
+
+    for i in range(len(kinds)):
+        known = F.col(f"_o{i}").isNotNull().cast("long")
+        if i in whole:
+            low, high = spans[i]
+            if high - low + 2 < _WORD:
+                put(F.coalesce(whole[i] - F.lit(low) + 1, F.lit(0).cast("long")), high - low + 2)
+                continue
+        put(known, 2)
+        words.append(open_)
+        words.append(F.coalesce(F.col(f"_o{i}") if i not in whole else whole[i], F.lit(0).cast(kinds[i] if i not in whole else "long")))
+        open_, room = F.lit(0).cast("long"), _WORD
+    return [*words, open_]
+
+
+def _by_words(df: DataFrame, subset: Sequence[str], rest: Sequence[str], words: Sequence[Column]) -> DataFrame:
+    """The first row per subset. Several words are taken from the last to the first, each among rows of equal words
+    before it, which also spreads the rows of a hot key.
+    """
+    names = [f"_w{i}" for i in range(len(words))]
+    rows = df.select(*subset, *rest, *[w.alias(n) for w, n in zip(words, names)])
+    for i in reversed(range(len(words))):
+        rows = rows.groupBy(*subset, *names[:i]).agg(*[F.min_by(c, names[i]).alias(c) for c in rest])
+    return rows
+
+
 def union_by_name(frames: Sequence[DataFrame]) -> DataFrame:
     """Rows of all frames; a column missing from one of them is null there."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
