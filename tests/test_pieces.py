@@ -351,3 +351,10 @@ def test_keep_first_by_packed_order(spark, order):
 @pytest.mark.parametrize("name", ["dedup_keep_first", "clean_panel", "clean_weather"])
 def test_keep_first_hashes(spark, name):
     assert "SortAggregate" not in _plan(name, spark)
+
+
+def test_rows_without_a_time_stay_on_the_step_route(with_nulls):
+    out = lag_and_rolling(with_nulls, ["k"], "ts", "v", lags=[1], windows=[2], step=3600)
+    assert out.count() == 12
+    assert [r["v_lag_1"] for r in out.where("ts IS NULL").collect()] == [None, None]
+    assert [r["v_lag_1"] for r in out.where("k IS NULL AND ts IS NOT NULL").orderBy("ts").collect()] == [None, 0.0, 1.0, 2.0, 3.0]

@@ -1,6 +1,10 @@
 """Readers, writers and source checks."""
 
-from conftest import at
+import os
+import subprocess
+import sys
+
+from conftest import ROOT, at
 from pyspark.sql import functions as F
 
 from tidemill.session import scratch_path, shared_dir
@@ -45,3 +49,29 @@ def test_filters_and_columns_reach_the_scan(spark):
     plan = day_range(stored, "ts", F.lit("2024-01-01"), F.lit("2024-01-02")).select("id", "ts")
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(ts" in text and "unused" not in text.split("ReadSchema")[1]
+
+
+def test_a_plain_local_session_has_a_folder(tmp_path):
+    """Without any configuration the library stores stages in a folder of its own, and clears what it made."""
+    code = (
+        "import os; from tidemill.session import build_session, clear_scratch, cut_lineage, shared_dir; "
+        "from tidemill.sources.tables import kept; "
+        "s = build_session('plain', 'local[2]', spark_ui_enabled='false'); "
+        "assert s.conf.get('spark.checkpoint.dir', None) is None; "
+        "t = kept(s.range(5), 'x'); assert t.count() == cut_lineage(t).count() == 5; "
+        "d = shared_dir(s); assert d == shared_dir(s) and len(os.listdir(d + '/tidemill')) == 1; "
+        "assert clear_scratch(s) == 1 and os.listdir(d + '/tidemill') == [] and clear_scratch(s) == 0; print('stored')"
+    )
+    env = {k: v for k, v in os.environ.items() if not k.startswith("SPARK_CONF")} | {"SPARK_CONF_DIR": str(tmp_path), "PYTHONPATH": str(ROOT)}
+    done = subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, timeout=300)
+    assert "stored" in done.stdout, done.stderr[-2000:]
+
+
+def test_queries_without_the_tokenizers(tmp_path):
+    """Where what the subpackage llm imports is missing, all other queries are served."""
+    code = (
+        "import sys, warnings; warnings.simplefilter('ignore'); sys.modules['public_tokenizers'] = None; "
+        "import __spark_entry__ as e; q = e.queries(); assert len(q) > 100 and 'pipeline' not in q and set(e.oracle_sql()) <= set(q); print('served')"
+    )
+    done = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, timeout=300)
+    assert "served" in done.stdout, done.stderr[-2000:]

@@ -144,10 +144,14 @@ def with_ordinal(
 
 
 def with_halo(df: DataFrame, position: Column, width: int, back: int, ahead: int) -> DataFrame:
-    """Send each row to its own piece and to the pieces whose windows reach it."""
+    """Send each row to its own piece and to the pieces whose windows reach it.
+
+    Rows without a position stay, in pieces of their own.
+    """
     first, last = F.floor((position - ahead) / width), F.floor((position + back) / width)
-    out = df.withColumn("_home", F.floor(position / width))
-    out = out.withColumn(PIECE, F.explode(F.sequence(first, last)))
+    nowhere = F.lit(_NO_TIME) + F.spark_partition_id()
+    out = df.withColumn("_home", F.coalesce(F.floor(position / width), nowhere))
+    out = out.withColumn(PIECE, F.explode(F.coalesce(F.sequence(first, last), F.array(F.col("_home")))))
     return out.withColumn(OWNED, F.col(PIECE) == F.col("_home")).drop("_home")
 
 
@@ -164,8 +168,9 @@ def over_rows(
 ) -> DataFrame:
     """Add window columns that look at most `back` rows behind and `ahead` rows ahead.
 
-    `step`: seconds between rows when the series lies on a regular grid. Without it the rows are
-    numbered first.
+    `step`: seconds between rows when the series lies on a regular grid; rows without a time have no place on
+    it, and NULL in the added columns. Without `step` the rows are numbered first, those without a time
+    being the first.
     """
     rows = max(rows_per_piece, 4 * (back + ahead))
     if step:
@@ -176,7 +181,7 @@ def over_rows(
         halo = with_halo(numbered, F.col("_ordinal"), rows, back, ahead)
         helper = ["_ordinal"]
     spec = Window.partitionBy(*keys, PIECE).orderBy(time, *tie)
-    added = [build(spec).alias(name) for name, build in columns.items()]
+    added = [(F.when(F.col(time).isNotNull(), build(spec)) if step else build(spec)).alias(name) for name, build in columns.items()]
     return halo.select("*", *added).where(OWNED).drop(PIECE, OWNED, *helper)
 
 

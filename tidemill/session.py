@@ -30,6 +30,11 @@ def build_session(app: str = "tidemill", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+#: By application: the folder of a local session that names none, and all paths handed out.
+_OWN: dict[str, str] = {}
+_MADE: dict[str, list[str]] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as named by the cluster.
 
@@ -38,17 +43,32 @@ def shared_dir(spark: SparkSession) -> str:
     configured = spark.conf.get(CHECKPOINT_KEY, None)
     if configured:
         return configured
-    master = spark.sparkContext.master
+    master, app = spark.sparkContext.master, spark.sparkContext.applicationId
     if not (master == "local" or master.startswith("local[")):
         raise ValueError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="tidemill-")
-    spark.conf.set(CHECKPOINT_KEY, folder)
-    return folder
+    if app not in _OWN:
+        _OWN[app] = tempfile.mkdtemp(prefix="tidemill-")
+    return _OWN[app]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path under the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/tidemill/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/tidemill/{label}-{uuid.uuid4().hex}"
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Deletes what `scratch_path` named in this application so far; how many of these paths there were.
+
+    Call it once results are written: tables that still read stored stages fail afterwards.
+    """
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    paths = _MADE.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+    return len(paths)
 
 
 def cut_lineage(df):
