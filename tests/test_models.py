@@ -7,13 +7,15 @@ from conftest import SF
 from pyspark.sql import functions as F
 
 from tidemill.catalog import learning as L
-from tidemill.models import regressors as R
+from tidemill.models import regressors as R, svr as V
 from tidemill.models.compress import Compressor
 from tidemill.models.forecaster import PREDICTION, Forecaster
-from tidemill.models.knn import NeighbourForecaster, knn_predict, nearest
+from tidemill.models.boosting import SquaredBoosting
+from tidemill.models.knn import NeighbourForecaster, NeighbourIndex, knn_predict, nearest
 from tidemill.models.quantile import QuantileBoosting, fit_interval, predict_interval, tune_interval
-from tidemill.models.search import boost_with_early_stop, draw, expand_grid, search, store_params, stored_params
+from tidemill.models.search import ParzenDraws, boost_with_early_stop, draw, expand_grid, search, search_in_turn, store_params, stored_params
 from tidemill.operators import blend, metrics as M
+from tidemill.operators.split import expanding_folds
 
 
 @pytest.fixture(scope="module")
@@ -342,3 +344,155 @@ def test_panel_and_leaderboard_queries(spark):
     assert set(board.index) == {"forest", "boosted", "blend"} and board.weight_forest.between(0, 1).all()
     # A blend of two never does worse than the worse of the two.
     assert board.rmse["blend"] <= max(board.rmse["forest"], board.rmse["boosted"]) + 1e-9
+
+
+def test_neighbours_visit_few_rows_in_8_dimensions(spark):
+    """Even rows without any structure: a tenth of all pairs at most, and at most k rows per query and block go on."""
+    rng = np.random.default_rng(4)
+    x = rng.uniform(size=(20_000, 8))
+    df = spark.createDataFrame(pd.DataFrame({"id": np.arange(len(x)), "y": 0.0, **{f"x{j}": x[:, j] for j in range(8)}}))
+    names = [f"x{j}" for j in range(8)]
+    asked = df.where("id % 10 = 0")
+    index = NeighbourIndex(df, names, "id", "y")
+    assert index.visited_pairs(asked, 5, exclude_self=True) < 0.1 * len(x) * 2_000
+    got = index.neighbours(asked, 5, exclude_self=True).toPandas().groupby("id")["neighbour"].apply(set)
+    for i in range(0, 20_000, 1_000):
+        d = np.sqrt(((x - x[i]) ** 2).sum(axis=1))
+        d[i] = np.inf
+        assert got[i] == set(np.argsort(d, kind="stable")[:5].tolist())
+
+
+def test_many_queries_of_one_place_are_dealt_out(spark):
+    df = spark.range(3_000).select("id", (F.col("id") % 3).cast("double").alias("x"), F.col("id").cast("double").alias("y"))
+    asked = spark.range(3_000).select((F.col("id") + 10_000).alias("id"), F.lit(1.0).alias("x"))
+    near = NeighbourIndex(df, ["x"], "id", "y", rows_per_chunk=1_000).neighbours(asked, 2).toPandas()
+    assert len(near) == 6_000 and set(near["neighbour"]) == {1, 4} and (near["distance"] == 0).all()
+
+
+def test_rounds_are_those_of_one_long_fit(spark, toy, monkeypatch):
+    """Each round is trained once, and losses and predictions are MLlib's own."""
+    train, val = toy.where("ts < timestamp_ntz'2024-01-20'"), toy.where("ts >= timestamp_ntz'2024-01-20'")
+    trained = []
+    learner = SquaredBoosting._learner
+    monkeypatch.setattr(SquaredBoosting, "_learner", lambda self, k: trained.append(k) or learner(self, k))
+    make = lambda n: Forecaster(R.gradient_boosting(n, max_depth=2, learning_rate=0.2), ["a", "b"], "y", "standard")
+    found = boost_with_early_stop(make, train, val, 7, 50)
+    whole = make(7).fit(train)
+    assert trained == list(range(7))
+    losses = found.losses.orderBy("iteration").toPandas()
+    for name, part in (("train_loss", train), ("val_loss", val)):
+        np.testing.assert_allclose(losses[name], whole.regressor.evaluateEachIteration(whole.vectors(part), "squared"), rtol=1e-9)
+    best = make(found.best_iteration).fit(train)
+    a, b = (m.predict(val).orderBy("ts").toPandas()[PREDICTION] for m in (found.model, best))
+    np.testing.assert_allclose(a, b, rtol=1e-9)
+
+
+def test_boosted_model_survives_reload(spark, toy, tmp_path):
+    make = lambda n: Forecaster(R.gradient_boosting(n), ["a", "b"], "y")
+    model = boost_with_early_stop(make, toy.where("a < 1"), toy.where("a >= 1"), 3, 3).model
+    model.save(spark, str(tmp_path / "m"))
+    again = Forecaster.load(spark, str(tmp_path / "m"))
+    assert again.evaluate(toy).first() == model.evaluate(toy).first()
+
+
+def test_search_assembles_once_per_setting_of_the_stages(spark, toy, monkeypatch):
+    made = []
+    assembled = Forecaster.assembled
+    monkeypatch.setattr(Forecaster, "assembled", lambda self, df: made.append(self.stage_settings()) or assembled(self, df))
+
+    def make(p):
+        expand = [R.FourierFeatures(gamma=p["gamma"], size=16)] if p["kernel"] == "rbf" else []
+        return Forecaster(R.robust_linear(C=p["C"], max_iter=5), ["a", "b"], "y", expand=expand)
+
+    grid = expand_grid([{"kernel": ["linear"], "C": [0.1, 1, 10]}, {"kernel": ["rbf"], "C": [0.1, 1, 10], "gamma": [0.5, 2.0]}])
+    cached = len(spark.sparkContext._jsc.getPersistentRDDs())
+    found = search(toy, "ts", [], make, grid, n_splits=2, scores=("rmse",))
+    assert len(made) == len(set(made)) == 3
+    assert len(spark.sparkContext._jsc.getPersistentRDDs()) == cached
+    apart = make(grid[4])
+    folds = expanding_folds(toy, "ts", [], 2)
+    scores = [apart.fit(folds.where(f"block < {i}")).evaluate(folds.where(f"block = {i}")).first()["rmse"] for i in (1, 2)]
+    assert found.table.where("candidate = 4").first()["cv_rmse"] == pytest.approx(np.mean(scores))
+
+
+SPACE_OF_TREES = {
+    "max_depth": ("int", 3, 10), "learning_rate": ("log", 0.01, 0.3), "subsample": ("real", 0.6, 1.0), "min_child_weight": ("int", 1, 10), "gamma": ("real", 0.0, 5.0),
+}
+
+
+def test_draws_in_turn_beat_plain_draws():
+    def loss(p):
+        rate = np.log(p["learning_rate"] / 0.05)
+        return (p["max_depth"] - 6) ** 2 / 10 + rate**2 + 4 * (p["subsample"] - 0.8) ** 2 + (p["gamma"] - 1) ** 2 / 5 + abs(p["min_child_weight"] - 3) / 10
+
+    plain, in_turn = [], []
+    for seed in range(20):
+        plain.append(min(map(loss, draw(SPACE_OF_TREES, 50, seed))))
+        draws = ParzenDraws(SPACE_OF_TREES, seed)
+        for _ in range(50):
+            p = draws.next()
+            assert all(low <= p[n] <= high for n, (_, low, high) in SPACE_OF_TREES.items())
+            draws.tell(p, loss(p))
+        in_turn.append(min(s for _, s in draws.finished))
+    assert np.median(in_turn) < 0.6 * np.median(plain)
+
+
+def test_search_in_turn_reports_every_draw(spark, toy):
+    make = lambda p: Forecaster(R.random_forest(n_estimators=2, max_depth=p["max_depth"]), ["a", "b"], "y")
+    found = search_in_turn(toy, "ts", [], make, {"max_depth": ("int", 0, 5)}, n_iter=5, at_once=2, n_splits=2)
+    rows = found.table.orderBy("candidate").collect()
+    assert [r["candidate"] for r in rows] == list(range(5)) and found.best_score == pytest.approx(min(r["cv_rmse"] for r in rows))
+    assert str(found.best_params) == min(rows, key=lambda r: r["cv_rmse"])["params"]
+
+
+def _tube_objective(x, y, w, b, C, epsilon):
+    return w @ w / 2 + C * np.maximum(0, np.abs(y - x @ w - b) - epsilon).sum()
+
+
+def test_support_vectors_reach_the_optimum(spark):
+    """Not above what a long dense subgradient descent finds, nor above any point near by (the problem is convex)."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(200, 3))
+    y = x @ [2.0, -1.0, 0.0] + 4 + rng.standard_t(2, 200)
+    df = spark.createDataFrame(pd.DataFrame({"a": x[:, 0], "b": x[:, 1], "c": x[:, 2], "y": y})).repartition(5)
+    C, epsilon = 0.5, 0.3
+    model = Forecaster(V.support_vectors(C, epsilon), ["a", "b", "c"], "y").fit(df).regressor
+    w, b = np.array(model.coefficients), model.intercept
+    found = _tube_objective(x, y, w, b, C, epsilon)
+    v, least = np.zeros(4), np.inf
+    ones = np.column_stack([x, np.ones(200)])
+    for k in range(20_000):
+        r = y - ones @ v
+        slope = -C * (np.sign(r) * (np.abs(r) > epsilon)) @ ones + np.append(v[:3], 0)
+        least = min(least, _tube_objective(x, y, v[:3], v[3], C, epsilon))
+        v = v - 0.05 / (1 + k) ** 0.6 * slope / 10
+    assert found < least * 1.001
+    for scale in (0.3, 0.03):
+        for _ in range(200):
+            d = rng.normal(size=4) * scale
+            assert found < _tube_objective(x, y, w + d[:3], b + d[3], C, epsilon) * (1 + 1e-4)
+
+
+def test_landmarks_give_the_kernel(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    x = rng.uniform(-3, 3, (40, 2))
+    df = spark.createDataFrame(pd.DataFrame({"a": x[:, 0], "b": x[:, 1], "y": np.sin(2 * x[:, 0]) + 0.1 * x[:, 1]}))
+    model = Forecaster(V.support_vectors(50.0, 0.01), ["a", "b"], "y", expand=[V.NystromFeatures(gamma=0.7, size=100)]).fit(df)
+    rows = model.vectors(df.orderBy("a")).select("_nystrom").collect()
+    features = np.array([r["_nystrom"].toArray() for r in rows])
+    ordered = x[np.argsort(x[:, 0])]
+    kernel = np.exp(-0.7 * ((ordered[:, None] - ordered[None]) ** 2).sum(axis=2))
+    np.testing.assert_allclose(features @ features.T, kernel, atol=1e-6)
+    straight = Forecaster(V.support_vectors(50.0, 0.01), ["a", "b"], "y").fit(df).evaluate(df).first()["rmse"]
+    rmse = model.evaluate(df).first()["rmse"]
+    assert rmse < 0.2 * straight
+    model.save(spark, str(tmp_path / "m"))
+    assert Forecaster.load(spark, str(tmp_path / "m")).evaluate(df).first()["rmse"] == pytest.approx(rmse)
+
+
+def test_sums_meet_in_a_tree(spark, monkeypatch):
+    monkeypatch.setattr(V, "_FAN", 3)
+    rows = spark.range(1_000).select(F.array(F.col("id").cast("double")).alias("x"), F.lit(2.0).alias("y")).repartition(20).persist()
+    sums = V._summed(rows, lambda x, y: np.array([x[:, 0].sum(), x[:, 1].sum(), y.sum()]), 3)
+    rows.unpersist()
+    assert sums.tolist() == [499_500, 1_000, 2_000]

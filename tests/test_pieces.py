@@ -8,7 +8,7 @@ import pytest
 from conftest import SF, at, hours
 from pyspark.sql import Window, functions as F
 
-from tidemill.operators import correlogram, features, fill, grid, pieces, ranks
+from tidemill.operators import correlogram, features, fill, grid, pieces, profile, ranks
 from tidemill.operators import buckets as B, clean
 from tidemill.operators.quantiles import exact_quantiles
 from tidemill.operators.features import lag_and_rolling
@@ -358,3 +358,40 @@ def test_rows_without_a_time_stay_on_the_step_route(with_nulls):
     assert out.count() == 12
     assert [r["v_lag_1"] for r in out.where("ts IS NULL").collect()] == [None, None]
     assert [r["v_lag_1"] for r in out.where("k IS NULL AND ts IS NOT NULL").orderBy("ts").collect()] == [None, 0.0, 1.0, 2.0, 3.0]
+
+
+def test_correlations_of_a_wide_table(spark):
+    """Columns with NULLs, a constant one, an empty one, NaN, a large mean; as the pairwise aggregate has them."""
+    rng = np.random.default_rng(12)
+    base = rng.normal(size=(300, 6))
+    names = [f"v{i}" for i in range(30)]
+    values = base @ rng.normal(size=(6, 30)) + rng.normal(size=(300, 30))
+    values[:, 1] += 1e9
+    data = {n: [None if rng.random() < 0.1 else float(v) for v in values[:, i]] for i, n in enumerate(names)}
+    data["v2"], data["v3"] = [7.0] * 300, [None] * 300
+    rows = list(zip(*data.values()))
+    df = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names)).repartition(5)
+    df = df.withColumn("v4", F.when(F.col("v0").isNull(), float("nan")).otherwise(F.col("v4")))
+    got = {(r.col_a, r.col_b): r["corr"] for r in profile.corr_matrix(df, names).collect()}
+    assert len(got) == 900
+    few = ["v0", "v1", "v2", "v3", "v4", "v29"]
+    for r in profile.corr_matrix(df, few).collect():
+        other = got[r.col_a, r.col_b]
+        assert other == pytest.approx(r["corr"], abs=1e-6, nan_ok=True) if r["corr"] is not None else other is None, (r, other)
+
+
+def test_correlations_of_500_columns_in_one_pass(spark):
+    df = spark.range(2_000).select(*[F.sin(F.col("id") * (i + 1)).alias(f"v{i}") for i in range(500)])
+    out = profile.corr_matrix(df, df.columns)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Range (0, 2000") == 1
+    assert out.count() == 250_000 and out.where("col_a = col_b AND abs(corr - 1) > 1e-9").count() == 0
+
+
+def test_autocorrelation_of_many_lags(spark):
+    rng = np.random.default_rng(2)
+    x = np.cumsum(rng.normal(size=12_000))
+    df = spark.createDataFrame([(i * 3600, float(v)) for i, v in enumerate(x)], "s long, v double").select(F.timestamp_seconds("s").alias("ts"), "v")
+    got = {r["lag"]: r["acf"] for r in correlogram.autocorrelation(df, [], "ts", "v", 10_000, 3600).collect()}
+    c = x - x.mean()
+    for k in (0, 1, 999, 9_999, 10_000):
+        assert got[k] == pytest.approx(float(c[: len(c) - k] @ c[k:] / (c @ c)), abs=1e-9)

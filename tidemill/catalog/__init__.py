@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("flagship", "tables", "series", "profiles", "learning")
+_MODULES = ("flagship", "tables", "series", "profiles", "learning", "known")
 
 
 def _collect(attribute: str) -> dict:

@@ -22,7 +22,7 @@ from tidemill.operators.scale import fit_scaler
 from tidemill.plans.panel import panel_features
 from tidemill.plans.training import prepare, tune_and_refit
 from tidemill.session import scratch_path
-from tidemill.sources.tables import materialise
+from tidemill.sources.tables import kept, materialise
 
 QUERIES, ORACLES, query = registry()
 
@@ -250,7 +250,7 @@ def leaderboard(spark, sf_dir):
     "SELECT ts, round(b + lo, 4) AS lower, round(b + hi, 4) AS upper FROM fc, c, r WHERE ts >= c.c AND r.weekday = isodow(ts) - 1"
 )
 def residual_interval(spark, sf_dir):
-    fc = X.split_years(I.forecasts(spark, sf_dir).withColumn("weekday", F.weekday("ts")), "ts", 1)
+    fc = X.split_years(kept(I.forecasts(spark, sf_dir).withColumn("weekday", F.weekday("ts")), "forecasts"), "ts", 1)
     banded = band_from_errors(fc.where("split = 'train'"), fc.where("split = 'test'"), "y", "b", "weekday")
     return banded.select("ts", F.round("lower", 4).alias("lower"), F.round("upper", 4).alias("upper"))
 

@@ -48,15 +48,42 @@ class Forecaster:
             return self.scaler.transform(df, {self.target: _LABEL})
         return df.withColumn(_LABEL, F.col(self.target).cast("double"))
 
-    def fit(self, df: DataFrame) -> Forecaster:
+    @property
+    def _vector(self) -> str:
+        return self.expand[-1].getOutputCol() if self.expand else _FEATURES
+
+    def _assembler(self) -> VectorAssembler:
+        return VectorAssembler(inputCols=self.features, outputCol=_FEATURES)
+
+    @property
+    def stages_learn(self) -> bool:
+        """Whether a stage before the regressor takes something from the rows."""
+        return any(isinstance(s, Estimator) for s in self.expand)
+
+    def stage_settings(self) -> tuple:
+        """What the vectors depend on: models of equal settings read the same ones."""
+        expand = [(type(s).__name__, *sorted((p.name, str(v)) for p, v in s.extractParamMap().items())) for s in self.expand]
+        return (tuple(self.features), *expand)
+
+    def assembled(self, df: DataFrame) -> DataFrame:
+        """The rows with the vector that the regressor reads, for `fit` and `predict` with `assembled=True`."""
+        out = self._assembler().transform(df)
+        for stage in self.expand:
+            out = stage.transform(out)
+        return out.drop(*[c for c in (_FEATURES, *(s.getOutputCol() for s in self.expand)) if c != self._vector])
+
+    def fit(self, df: DataFrame, assembled: bool = False) -> Forecaster:
+        """`assembled`: the rows come from `assembled`, so only the regressor is left to fit."""
         if self.target_kind not in (None, "log1p"):
             self.scaler = fit_scaler(df, [self.target], self.target_kind, factor=self.factor)
-        last = self.expand[-1].getOutputCol() if self.expand else _FEATURES
         estimator = self.estimator.copy()
-        estimator.setFeaturesCol(last).setLabelCol(_LABEL).setPredictionCol(PREDICTION)
-        assembler = VectorAssembler(inputCols=self.features, outputCol=_FEATURES)
+        estimator.setFeaturesCol(self._vector).setLabelCol(_LABEL).setPredictionCol(PREDICTION)
+        if assembled:
+            fitted = estimator.fit(self._with_label(df.select(self._vector, self.target)))
+            self.model = PipelineModel([self._assembler(), *self.expand, fitted])
+            return self
         rows = self._with_label(df.select(*self.features, self.target))
-        self.model = Pipeline(stages=[assembler, *self.expand, estimator]).fit(rows)
+        self.model = Pipeline(stages=[self._assembler(), *self.expand, estimator]).fit(rows)
         return self
 
     @property
@@ -70,8 +97,9 @@ class Forecaster:
             out = stage.transform(out)
         return out
 
-    def predict(self, df: DataFrame) -> DataFrame:
-        out = self.model.transform(df).drop(*[s.getOutputCol() for s in self.model.stages[:-1]])
+    def predict(self, df: DataFrame, assembled: bool = False) -> DataFrame:
+        stages = self.model.stages[-1] if assembled else self.model
+        out = stages.transform(df).drop(*[s.getOutputCol() for s in self.model.stages[:-1]])
         if self.target_kind == "log1p":
             return out.withColumn(PREDICTION, F.expm1(PREDICTION))
         if self.scaler.params:

@@ -18,8 +18,8 @@ from tidemill.sources.tables import kept
 ROWS_PER_CHUNK = 20_000
 #: Rows of a block below which more tasks do not pay.
 LEAST_CHUNK = 1_000
-#: Rows of a leaf, in expectation.
-ROWS_PER_LEAF = 32
+#: Rows of a leaf, in expectation, and rows that the first pass compares a query with.
+ROWS_PER_LEAF, NEAR_ROWS = 8, 256
 _META = "features array<string>, target string, id_col string, k int, weights string, p double"
 
 
@@ -155,6 +155,13 @@ class NeighbourIndex:
             wanted = np.concatenate([np.asarray(x, dtype=np.int64) for x in q["leaves"]])
             order = np.argsort(wanted, kind="stable")
             at, wanted = at[order], wanted[order]
+            numbers, of_leaf = np.unique(leaf, return_inverse=True)
+            visited = None
+            if 2 * len(wanted) > len(q) * len(numbers):  # most leaves for most queries: all rows at once
+                visited = np.zeros((len(q), len(numbers)), dtype=bool)
+                here = np.isin(wanted, numbers)
+                visited[at[here], np.searchsorted(numbers, wanted[here])] = True
+                leaf, at, wanted = np.zeros(len(leaf), np.int64), np.arange(len(q)), np.zeros(len(q), np.int64)
             code = pd.factorize(tid, sort=True)[0]  # order of the ids, of whatever type
             near = np.full((len(q), k), np.inf)
             found = np.full((len(q), k), -1)
@@ -167,6 +174,8 @@ class NeighbourIndex:
                     if exclude_self:
                         d[qid[some][:, None] == tid[None, low:high]] = np.inf
                     d[d > bound[some][:, None]] = np.inf
+                    if visited is not None:
+                        d[~visited[some][:, of_leaf]] = np.inf
                     merged = np.concatenate([near[some], d], axis=1)
                     names = np.concatenate([found[some], np.broadcast_to(np.arange(low, high), d.shape)], axis=1)
                     pick = np.lexsort((code[names], merged), axis=1)[:, :k]
@@ -219,7 +228,7 @@ class NeighbourIndex:
         asked = _usable(query.select(F.col(self.id_col).alias("_qid"), _vector(self.features).alias("_x")), "_qid").dropDuplicates(["_qid"])
         # A query visits a block once, so few queries fill no block; many are stored with their visits.
         dealt = asked.count() > self.rows_per_chunk
-        wanted = k + 1 if exclude_self else k
+        wanted = max(NEAR_ROWS, k + 1)
         near = self._visits(asked.withColumn("bound", F.lit(float("inf"))), wanted, far=False)
         near = kept(near, "near-visits") if dealt else near
         first = kept(self._top(self._search(near, k, exclude_self, dealt), k), "near-rows")

@@ -9,12 +9,13 @@ Leaves stand in blocks of bounded size; a block keeps a running best k per query
 
 from __future__ import annotations
 
+import heapq
 from dataclasses import dataclass, field
 
 import numpy as np
 
 #: Rows that shape the tree, and leaves it may have.
-SAMPLE_ROWS, MAX_LEAVES = 16_384, 4_096
+SAMPLE_ROWS, MAX_LEAVES = 32_768, 8_192
 _SLACK = 1e-9
 
 
@@ -60,10 +61,9 @@ class MetricTree:
     def shaped(cls, sample: np.ndarray, leaves: int, p: float) -> MetricTree:
         """Nodes are split, the fullest first, between two far rows until there are `leaves` leaves."""
         left, right, pivots, rows = [-1], [-1], [sample.mean(axis=0)], [np.arange(len(sample))]
-        waiting = [0]
+        waiting = [(-len(sample), 0)]
         while waiting and len(waiting) < leaves:
-            k = max(range(len(waiting)), key=lambda i: len(rows[waiting[i]]))
-            at = waiting.pop(k)
+            at = heapq.heappop(waiting)[1]
             own = sample[rows[at]]
             a = own[np.argmax(norm(np.abs(own - pivots[at]), p))]
             b = own[np.argmax(norm(np.abs(own - a), p))]
@@ -74,14 +74,13 @@ class MetricTree:
                 a, b = own[nearer].mean(axis=0), own[~nearer].mean(axis=0)
             nearer = norm(np.abs(own - a), p) <= norm(np.abs(own - b), p)
             if nearer.all() or not nearer.any():
-                waiting.append(at)
                 break  # the fullest node holds equal rows only
             for side, pivot in ((nearer, a), (~nearer, b)):
                 left.append(-1)
                 right.append(-1)
                 pivots.append(pivot)
                 rows.append(rows[at][side])
-                waiting.append(len(left) - 1)
+                heapq.heappush(waiting, (-len(rows[-1]), len(left) - 1))
             left[at], right[at] = len(left) - 2, len(left) - 1
         leaf = np.full(len(left), -1)
         leaf[np.flatnonzero(np.array(left) < 0)] = np.arange(sum(x < 0 for x in left))
@@ -148,8 +147,9 @@ class MetricTree:
         row, leaf = np.arange(len(x)), home
         rows, leaves = [row[size[home] > 0]], [home[size[home] > 0]]
         short = np.flatnonzero(size[home] < wanted)
-        for k in range(0, len(short), 256):
-            some = short[k : k + 256]
+        step = max(1, 2_000_000 // (len(of_leaf) * x.shape[1]))
+        for k in range(0, len(short), step):
+            some = short[k : k + step]
             far = self.least(np.repeat(x[some], len(of_leaf), axis=0), np.tile(of_leaf, len(some))).reshape(len(some), -1)
             far[np.arange(len(some)), home[some]] = -1.0
             order = far.argsort(axis=1, kind="stable")

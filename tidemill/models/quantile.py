@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemill.models.boosting import Margins
 from tidemill.models.forecaster import PREDICTION
-from tidemill.models.search import draw, search
+from tidemill.models.search import draw, search, search_in_turn
 from tidemill.operators.buckets import join_same
 from tidemill.operators.metrics import pinball, pinball_loss
 from tidemill.operators.quantiles import exact_quantiles
@@ -199,9 +199,12 @@ def tune_interval(
     n_splits: int = 5,
     n_estimators: int = 1000,
     seed: int = 42,
+    in_turn: bool = False,
 ) -> dict[str, dict]:
     """Best settings per quantile by pinball loss over expanding folds, from `n_iter` seeded draws of `space`.
 
+    `in_turn`: draws are conditioned on the losses of those before (`search.ParzenDraws`).
+
     The result can be stored with `search.store_params` and goes into `fit_interval` as `params`, usually
     with a validation table, more rounds and a patience (3,000 and 200).
     """
@@ -214,7 +217,11 @@ def tune_interval(
         def loss(predicted: DataFrame, q=q) -> float:
             return predicted.agg(pinball(target, PREDICTION, q)).first()[0]
 
-        found[name] = search(rows, time, tie, make, draw(space, n_iter, seed), n_splits=n_splits, refit="pinball", score=loss).best_params
+        if in_turn:
+            result = search_in_turn(rows, time, tie, make, space, n_iter, seed=seed, refit="pinball", n_splits=n_splits, score=loss)
+        else:
+            result = search(rows, time, tie, make, draw(space, n_iter, seed), n_splits=n_splits, refit="pinball", score=loss)
+        found[name] = result.best_params
     return found
 
 

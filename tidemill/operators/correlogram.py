@@ -21,8 +21,9 @@ def autocorrelation(
     """(keys, lag, acf, lower, upper, n) for lags 0..`lags`, with Bartlett's band.
 
     Each piece of a series also receives the `lags` rows after it and adds up its own lag
-    products in NumPy; pieces send one sum per lag, never pairs of rows. Rows without a time stand on no
-    step and are left out; two rows of a series on one step are refused.
+    products by a Fourier transform; pieces send one sum per lag, never pairs of rows. Rows without a time
+    stand on no step and are left out; two rows of a series on one step are refused. The series is stored
+    when this is called, which runs what it comes from once.
     """
     placed = df.where(F.col(time).isNotNull()).select(*keys, (epoch_seconds(time) / step).cast("long").alias("_pos"), F.col(value).alias("_v"))
     # Counts, means and rows read the series: what it comes from runs once.
@@ -42,8 +43,10 @@ def autocorrelation(
         if len(np.unique(place)) < len(place):
             raise ValueError("two rows of a series on one step: average them first")
         dense[place[near]] = frame["_x"].to_numpy()[near]
-        own = dense[:width]
-        sums = np.array([own @ dense[k : k + width] for k in range(lags + 1)])
+        # All lags at once, by the transform of the piece and of the piece with the rows behind it.
+        size = 1 << (width + lags - 1).bit_length()
+        product = np.fft.rfft(dense[:width], size).conj() * np.fft.rfft(dense, size)
+        sums = np.fft.irfft(product, size)[: lags + 1]
         out = pd.DataFrame({"lag": np.arange(lags + 1), "_s": sums})
         for k in keys:
             out[k] = frame[k].iloc[0]

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemill.operators.buckets import group_sizes, join_per_group
+from tidemill.operators.gram import wide_correlations
 from tidemill.operators.quantiles import exact_quantiles
 
 
@@ -60,8 +61,18 @@ def boxplot_stats(df: DataFrame, keys: Sequence[str], value: str, reach: float =
     )
 
 
+#: Columns from which a table counts as wide.
+WIDE = 24
+
+
 def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(col_a, col_b, corr) for every ordered pair, from one aggregation over the table."""
+    """(col_a, col_b, corr) for every ordered pair, from one pass over the table.
+
+    Few columns are one aggregation; its expressions grow with the square of their number, so wide tables go
+    through matrix products (`gram.wide_correlations`).
+    """
+    if len(cols) > WIDE:
+        return wide_correlations(df, cols)
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
     one_row = df.agg(*[F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
     cells = []
