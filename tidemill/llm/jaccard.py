@@ -28,13 +28,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm.components import components, stored
-from tidemill.llm.text import mix, shingle_hashes, slices, word_hashes
+from tidemill.llm.text import give_back, mix, shingle_hashes, slices, word_hashes
 
 WORDS = 5
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 75
 #: Shingles in a bucket of step 1, in expectation.
 BUCKET = 1_500_000
+#: Bytes of shingles that a task of step 1 counts.
+TASK_BYTES = 64 << 20
 #: Entries of a list that one task compares with the list's other components; longer lists are dealt out.
 LIST_ROWS = 20_000
 #: Bounded rounds of step 4 that merge by best candidates before the exhaustive one.
@@ -67,6 +69,7 @@ def named_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     sizes.append(len(s))
                     names.append(_name(s))
                 yield pa.record_batch([piece.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(names, pa.int64())], names=["doc_id", "n_shingles", "node"])
+        give_back()
 
     return _inputs(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_shingles long, node long")
 
@@ -102,7 +105,7 @@ def shared_shingles(docs: DataFrame, total: int, id_col: str, text_col: str, k:
                 sizes = np.array([len(s) for s in sets], dtype=np.int32)
                 hashes = np.concatenate(sets)
                 owner = np.repeat(np.arange(len(sets), dtype=np.int32), sizes)
-                bucket = ((hashes >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
+                bucket = ((hashes >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32)
                 order = np.argsort(bucket, kind="stable")
                 bucket, hashes, owner = bucket[order], hashes[order], owner[order]
                 names = np.array(nodes, dtype=np.int64)
@@ -113,13 +116,15 @@ def shared_shingles(docs: DataFrame, total: int, id_col: str, text_col: str, k:
                         {"bucket": [int(bucket[begin])], "nodes": [names[own].tobytes()], "sizes": [sizes[own].tobytes()], "counts": [counts.astype(np.int32).tobytes()], "hashes": [hashes[begin:end].tobytes()]},
                         schema=pa.schema([("bucket", pa.int64()), ("nodes", pa.binary()), ("sizes", pa.binary()), ("counts", pa.binary()), ("hashes", pa.binary())]),
                     )
+                sets = hashes = owner = bucket = order = None
+        give_back()
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _runs(batches, "bucket"):
-            counts = np.concatenate([np.frombuffer(x, np.int32) for x in rows["counts"]])
-            nodes = np.repeat(np.concatenate([np.frombuffer(x, np.int64) for x in rows["nodes"]]), counts)
-            sizes = np.repeat(np.concatenate([np.frombuffer(x, np.int32) for x in rows["sizes"]]), counts)
-            hashes = np.concatenate([np.frombuffer(x, np.uint64) for x in rows["hashes"]])
+        for rows in _buckets(batches):
+            counts = np.concatenate([r[2] for r in rows])
+            nodes = np.repeat(np.concatenate([r[0] for r in rows]), counts)
+            sizes = np.repeat(np.concatenate([r[1] for r in rows]), counts)
+            hashes = np.concatenate([r[3] for r in rows])
             order = np.argsort(hashes, kind="stable")
             edge = np.flatnonzero(np.diff(hashes[order], prepend=hashes[order[:1]] + np.uint64(1)))
             times = np.diff([*edge, len(order)])
@@ -133,9 +138,27 @@ def shared_shingles(docs: DataFrame, total: int, id_col: str, text_col: str, k:
             times = times[at] if len(at) else np.empty(0, np.int64)
             keep = times > 1
             yield pa.record_batch([pa.array(nodes[keep]), pa.array(sizes[keep]), pa.array(hashes[keep].view(np.int64)), pa.array(times[keep].astype(np.int32))], names=["node", "size", "hash", "sets"])
+        give_back()
 
     dealt = _inputs(docs, id_col, text_col).mapInArrow(deal, "bucket long, nodes binary, sizes binary, counts binary, hashes binary")
-    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(count, _ENTRY)
+    # A shingle takes about 14 bytes of a row; tasks grow with the table.
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total * 14 / TASK_BYTES))
+    return dealt.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(count, _ENTRY)
+
+
+def _buckets(batches: Iterable[pa.RecordBatch]) -> Iterator[list[list[np.ndarray]]]:
+    """(nodes, sizes, counts, hashes) of a bucket's rows, which follow each other, as views of their batches."""
+    kinds = {"nodes": np.int64, "sizes": np.int32, "counts": np.int32, "hashes": np.uint64}
+    open_, held = None, []
+    for batch in batches:
+        for i, bucket in enumerate(batch.column("bucket").to_numpy()):
+            if held and bucket != open_:
+                yield held
+                held = []
+            open_ = bucket
+            held.append([np.frombuffer(batch.column(n)[i].as_buffer(), kind) for n, kind in kinds.items()])
+    if held:
+        yield held
 
 
 def _runs(batches: Iterable[pa.RecordBatch], *keys: str) -> Iterator[dict[str, list]]:

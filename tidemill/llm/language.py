@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.text import mix, slices
+from tidemill.llm.text import give_back, mix, slices
 
 #: Cells for each n-gram length.
 DIMS = 2048
@@ -240,12 +240,19 @@ def predict_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_
 
 
 def keep_known(docs: DataFrame, model: LanguageModel, text_col: str = "text", min_score: float = 0.0) -> DataFrame:
-    """The rows, with all their columns, whose language is known with at least `min_score`."""
+    """The rows, with all their columns, whose language is known with at least `min_score`.
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece in slices(batch, text_col):
-                names, scores = model.predict(piece.column(text_col).to_pylist())
-                yield piece.filter(pa.array([n != UNKNOWN and s >= min_score for n, s in zip(names, scores)], pa.bool_()))
+    Only the text goes to Python. Null texts and texts without a letter go; repeated rows are judged alike;
+    an empty table stays empty, and a model that knows no language keeps nothing.
+    """
+
+    @F.arrow_udf("boolean")
+    def known(texts: pa.Array) -> pa.Array:
+        kept = []
+        for piece in slices(pa.record_batch([texts], names=["text"])):
+            names, scores = model.predict(piece.column("text").to_pylist())
+            kept.extend(n != UNKNOWN and s >= min_score for n, s in zip(names, scores))
+        give_back()
+        return pa.array(kept, pa.bool_())
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(known(F.col(text_col).cast("string")))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.text import LOWER, raw, shingle_hashes, slices, span_hashes, spans, without_closing
+from tidemill.llm.text import LOWER, give_back, raw, shingle_hashes, slices, span_hashes, spans, without_closing
 
 #: Words in a seed.
 SEED_WORDS = 3
@@ -180,15 +180,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = SEED_WORDS) -> DataFrame:
-    """The rows, with all their columns, that hold no item."""
-    blocks = _prepared(benchmark, item_col, item_text_col, n)
+    """The rows, with all their columns, that hold no item. Only the text goes to Python.
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece in slices(batch, text_col):
-                clean = np.ones(piece.num_rows, dtype=bool)
-                for items in blocks:
-                    clean[[t for t, *_ in found_leaks(piece.column(text_col), items, n)]] = False
-                yield piece.filter(pa.array(clean))
+    Null and empty texts stay, repeated rows are judged alike; an empty benchmark keeps all rows, an empty
+    table stays empty.
+    """
+    blocks = _prepared(benchmark, item_col, item_text_col, n)
 
-    return docs.mapInArrow(run, docs.schema)
+    @F.arrow_udf("boolean")
+    def clean(texts: pa.Array) -> pa.Array:
+        kept = [np.empty(0, dtype=bool)]
+        for piece in slices(pa.record_batch([texts], names=["text"])):
+            own = np.ones(piece.num_rows, dtype=bool)
+            for items in blocks:
+                own[[t for t, *_ in found_leaks(piece.column("text"), items, n)]] = False
+            kept.append(own)
+        give_back()
+        return pa.array(np.concatenate(kept))
+
+    return docs.where(clean(F.col(text_col).cast("string")))

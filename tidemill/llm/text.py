@@ -6,6 +6,7 @@ work on UTF-8 bytes: no byte of a multi-byte character is below 0x80.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +15,8 @@ import pyarrow.compute as pc
 
 #: Bytes of text that one vectorised step takes (a longer text is a step of its own).
 STEP_BYTES = 2 << 20
+#: Bytes of text that are hashed at once.
+HASH_BYTES = 256 << 10
 
 _BYTE = np.arange(256, dtype=np.uint8)
 LOWER = np.where((_BYTE >= 65) & (_BYTE <= 90), _BYTE + 32, _BYTE).astype(np.uint8)
@@ -32,28 +35,18 @@ _BASE = 0xD6E8FEB86659FD93
 _STEPS = mix(np.arange(1001, 1065, dtype=np.uint64)) | np.uint64(1)
 
 
-def _powers(n: int, base: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
+def _powers(n: int) -> np.ndarray:
+    out = np.full(n, _BASE, dtype=np.uint64)
     out[:1] = 1
     return np.cumprod(out, dtype=np.uint64)
 
 
-class _Powers:
-    """Powers of the base and of its inverse mod 2^64, kept for the longest step so far (at most STEP_BYTES)."""
-
-    def __init__(self):
-        self.up = self.down = np.empty(0, dtype=np.uint64)
-
-    def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n <= len(self.up):
-            return self.up, self.down
-        up, down = _powers(n, _BASE), _powers(n, pow(_BASE, -1, 1 << 64))
-        if n <= 2 * STEP_BYTES:
-            self.up, self.down = up, down
-        return up, down
-
-
-_POWERS = _Powers()
+def give_back() -> None:
+    """Return freed memory to the system: Spark keeps a worker for later stages, and allocators keep what it freed."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
@@ -111,12 +104,35 @@ def without_closing(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> n
 
 
 def span_hashes(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of pieces of the text, from sums of powers."""
-    up, down = _POWERS.of(len(text) + 1)
-    sums = np.empty(len(text) + 1, dtype=np.uint64)
-    sums[0] = 0
-    np.cumsum(_CODES[text] * up[: len(text)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    """64-bit hashes of pieces of the text that stand in order and do not overlap.
+
+    A piece's hash is a polynomial of its own bytes. `HASH_BYTES` of text are hashed at once, so that the
+    arrays of 8 bytes per byte stay small however long the text, or one piece, is.
+    """
+    out = np.empty(len(starts), dtype=np.uint64)
+    k = 0
+    while k < len(starts):
+        stop = int(np.searchsorted(ends, starts[k] + HASH_BYTES, side="right"))
+        if stop > k:
+            out[k:stop] = _sums(text[starts[k] : ends[stop - 1]], starts[k:stop] - starts[k], ends[k:stop] - starts[k])
+        else:
+            stop, total = k + 1, np.zeros(1, np.uint64)
+            for at in range(int(starts[k]), int(ends[k]), HASH_BYTES):
+                part = text[at : min(at + HASH_BYTES, ends[k])]
+                total += _sums(part, np.zeros(1, np.int64), np.array([len(part)])) * np.uint64(pow(_BASE, at - int(starts[k]), 1 << 64))
+            out[k] = total[0]
+        k = stop
+    return mix(out + (ends - starts).astype(np.uint64))
+
+
+def _sums(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Sum of code x power of the place in the piece, for pieces that cover a text but for what parts them."""
+    longest = max(1, int((ends - starts).max()))
+    place = np.arange(len(text)) - np.repeat(starts, np.diff(starts, append=len(text)))
+    np.minimum(place, longest - 1, out=place)
+    sums = np.zeros(len(text) + 1, dtype=np.uint64)
+    np.cumsum(_CODES[text] * _powers(longest)[place], out=sums[1:])
+    return sums[ends] - sums[starts]
 
 
 def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

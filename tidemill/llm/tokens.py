@@ -25,7 +25,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.llm.text import LOWER, raw, slices, span_hashes, spans, without_closing
+from tidemill.llm.text import LOWER, give_back, raw, slices, span_hashes, spans, without_closing
 from tidemill.session import scratch_path
 
 #: Sequences in a record batch.
@@ -231,11 +231,12 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
                 if not piece.num_rows:
                     continue
                 if encoder is None:
-                    encoder = _encoder(tokenizer_path, end_id, lower)
+                    encoder = worker_encoder(tokenizer_path, end_id, lower)
                     writer = _Writer(folder, part, encoder.dtype, length, end_id)
                 writer.add(piece.column("id"), *encoder.encode(piece.column("text")))
         if writer is not None:
             writer.close()
+            give_back()
             yield pa.RecordBatch.from_pylist([{"part": part, "ids_file": writer.names[0], "docs_file": writer.names[1], "n_docs": writer.n_docs, "n_tokens": writer.n_tokens}], schema=pa.schema([("part", pa.int32()), ("ids_file", pa.string()), ("docs_file", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
     path = scratch_path(spark, "token-manifest")
@@ -246,7 +247,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
 _ENCODERS: dict[tuple, PieceEncoder] = {}
 
 
-def _encoder(*key) -> PieceEncoder:
+def worker_encoder(*key) -> PieceEncoder:
     """The worker's encoder; Spark keeps workers between tasks, and so the pieces that they know."""
     if key not in _ENCODERS:
         _ENCODERS[key] = PieceEncoder(*key)
