@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.catalog.registry import registry
-from tidemill.llm import ann, audit, chat, codes, jaccard, language, leaks, mixing, pages, pii, sharding, tokens
+from tidemill.llm import ann, audit, chat, codes, jaccard, language, leaks, mixing, packing, pages, pii, sharding, tokens
 from tidemill.session import scratch_path
 
 QUERIES, ORACLES, query = registry()
@@ -180,3 +180,9 @@ def _codes_sql(rounds: int = 4) -> str:
 @query(_codes_sql())
 def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.compressed(table(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.token_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), capacity=4096, end_id=1)
+    return packing.packed(packing.with_crc(pieces), capacity=4096)
