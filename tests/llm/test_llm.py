@@ -205,6 +205,12 @@ def test_mixing_rows(spark):
     assert sorted(map(str, rows)) == sorted(map(str, mixing.by_one_source(docs)[0].collect()))
     mixed = mixing.mixed_rows(docs)
     assert mixed.columns == docs.columns
+    # Rows without an id, and rows that repeat one, come as often as they are taken.
+    as_taken = collections.Counter((r["doc_id"], r["members"][0], r["size"]) for r in rows for _ in range(r["copies"]))
+    assert collections.Counter((r["doc_id"], r["source"], len(WORD.findall(r["text"]))) for r in mixed.collect()) == as_taken
+    assert any(i is None for i, _, _ in as_taken) and any(i == 12 for i, _, _ in as_taken)
+    clash = docs.withColumns({"_alike": F.lit(1), "_nth": F.lit("x")})
+    assert mixing.mixed_rows(clash).count() == sum(as_taken.values()) and mixing.mixed_rows(docs.limit(0)).count() == 0
     assert mixing.by_one_source(docs.limit(0))[0].count() == 0
 
 

@@ -91,7 +91,7 @@ def shared_shingles(docs: DataFrame, total: int, id_col: str, text_col: str, k:
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # copies in this task
         for batch in batches:
-            for piece in slices(batch, limit=16 << 20):
+            for piece in slices(batch, limit=4 << 20):
                 sets, nodes = [], []
                 for small in slices(piece):
                     for _, s in _distinct(small.column("text"), k):

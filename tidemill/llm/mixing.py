@@ -174,9 +174,24 @@ def by_one_source(docs: DataFrame, source_col: str = "source", pattern: tuple =
 
 
 def mixed_rows(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """The rows that the mix takes, with all their columns, once per copy. Rows without an id are not taken."""
+    """The rows that the mix takes, with all their columns, once per copy.
+
+    What the mix takes is known per source, id and size; among rows alike in these, the first by a hash of the
+    text take the most copies. So rows without an id and rows that repeat one come as often as they are taken.
+    """
     taken, _, _ = by_one_source(docs, source_col, id_col=id_col, text_col=text_col, **kw)
-    copies = taken.filter("copies > 0 and doc_id is not null").groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    copies = copies.select(F.col("doc_id").alias("__id"), F.col("copies").alias("__copies"))
-    joined = docs.join(copies, docs[id_col] == F.col("__id"))
-    return joined.select(*docs.columns, F.explode(F.array_repeat(F.lit(1), F.col("__copies"))).alias("__copy")).drop("__copy")
+
+    def fresh(name: str) -> str:
+        return fresh(f"_{name}") if name in docs.columns else name
+
+    key, nth, least = fresh("_alike"), fresh("_nth"), fresh("_least")
+    passes = taken.agg(F.max("copies")).first()[0] or 0
+    alike = F.struct(F.element_at("members", 1).alias("source"), F.col("doc_id").alias("id"), F.col("size").alias("size"))
+    counts = F.array(*[F.count_if(F.col("copies") > p) for p in range(max(1, passes))])
+    copies = taken.filter("copies > 0").groupBy(alike.alias(key)).agg(counts.alias(least))
+    own = F.struct(F.col(source_col).cast("string").alias("source"), F.col(id_col).cast("long").alias("id"), words_in(F.col(text_col).cast("string")).alias("size"))
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(text_col), text_col))
+    rows = docs.withColumn(key, own).filter(F.col(f"{key}.size") > 0).withColumn(nth, place)
+    joined = rows.join(copies, key)
+    times = F.filter(F.col(least), lambda n: F.col(nth) <= n)
+    return joined.withColumn(nth, F.explode(times)).select(*docs.columns)
