@@ -23,6 +23,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemill.llm.components import stored
 from tidemill.llm.text import give_back, slices
@@ -227,7 +228,8 @@ def packed(pieces: DataFrame, capacity: int) -> DataFrame:
     earlier = Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.select("block", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_before"))
     kept = [c for c in pieces.columns if c not in ("block", "nth")]
-    placed = pieces.join(before, ["block", "length"]).withColumn("_place", place("length", F.col("_before") + F.col("nth")))
+    # `before` grows with the pieces, so it is never broadcast.
+    placed = pieces.join(before.hint("shuffle_hash"), ["block", "length"]).withColumn("_place", place("length", F.col("_before") + F.col("nth")))
     return placed.select(*kept, "_place.sequence_id", "_place.offset")
 
 
@@ -240,9 +242,15 @@ def sequences(packed_pieces: DataFrame) -> DataFrame:
 
 def with_crc(pieces: DataFrame) -> DataFrame:
     """The pieces with `ids_crc32`, of their ids as little-endian unsigned 32-bit integers, in place of the ids."""
+    kept = [c for c in pieces.columns if c != "ids"]
 
-    @F.pandas_udf("long")
-    def crc(ids: pd.Series) -> pd.Series:
-        return pd.Series([zlib.crc32(np.asarray(x, dtype="<u4").tobytes()) for x in ids], dtype="int64")
-
-    return pieces.withColumn("ids_crc32", crc("ids")).drop("ids")
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("ids")
+            flat = np.ascontiguousarray(ids.flatten().to_numpy(zero_copy_only=False), dtype="<u4")
+            ends = np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))
+            sums = [zlib.crc32(flat[a:b]) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+            yield pa.record_batch([*(batch.column(c) for c in kept), pa.array(sums, pa.int64())], names=[*kept, "ids_crc32"])
+
+    schema = T.StructType([f for f in pieces.schema.fields if f.name != "ids"]).add("ids_crc32", "long")
+    return pieces.mapInArrow(run, schema)
