@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from tidemill.llm.components import stored
 
-#: Membership patterns a network may have.
-MAX_PATTERNS = 20_000
+#: Membership patterns, which the driver plans for, and those that may meet in one network. Sources whose documents
+#: belong to no other source need no network.
+MAX_PATTERNS, MAX_NETWORK = 1_000_000, 20_000
 #: Hexadecimal digits of the seeded order that name a cell; sums inside and before a cell are taken apart.
 CELL_DIGITS = 3
 
@@ -107,6 +108,18 @@ def min_cost_flow(supply: dict[tuple, int], quotas: dict, passes: int) -> dict[t
     return out
 
 
+def shares(supply: dict[tuple, int], quotas: dict, passes: int) -> dict[tuple, dict]:
+    """`min_cost_flow` of all patterns. A source that no pattern shares with another takes what it wants of its own
+    documents, as far as they go; only the others make a network.
+    """
+    shared = {s for pattern in supply if len(pattern) > 1 for s in pattern}
+    network = {p: n for p, n in supply.items() if shared.intersection(p)}
+    if len(network) > MAX_NETWORK:
+        raise ValueError(f"over {MAX_NETWORK} membership patterns that share sources")
+    flow = min_cost_flow(network, {s: q for s, q in quotas.items() if s in shared}, passes) if network else {}
+    return {p: flow[p] if p in flow else {s: min(quotas.get(s, 0), passes * n) for s in p} for p, n in supply.items()}
+
+
 def mix(docs: DataFrame, members: Column, targets, passes: int = 2, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, dict]:
     """(doc_id, members, size, copies, taken_for) of every row, and each source's target.
 
@@ -130,7 +143,7 @@ def mix(docs: DataFrame, members: Column, targets, passes: int = 2, seed: int =
         for source in pattern:
             sizes[source] = sizes.get(source, 0) + words
     wanted = targets(sizes)
-    flow = min_cost_flow(supply, {s: math.floor(t) for s, t in wanted.items()}, passes)
+    flow = shares(supply, {s: math.floor(t) for s, t in wanted.items()}, passes)
 
     plan, begin = [], {}
     for pattern, given in flow.items():
