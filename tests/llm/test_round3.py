@@ -5,16 +5,19 @@ import hashlib
 import itertools
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from test_llm import SF, TEXTS, TOKENIZER, frame
 from tokenizers import Tokenizer
 
 import public_tokenizers
-from tidemill.llm import audit, codes, packing
+from tidemill.llm import audit, codes, mixing, packing, pages, text
 from tidemill.llm.queries import QUERIES, table
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -289,3 +292,94 @@ def test_counters_hold_large_counts():
     found = of.outcomes(rows)
     assert found["removed"].tolist() == [2**61, 2**60, 2**61, 2**60] and found["shapley"].tolist() == [3 * 2**60] * 4
     assert found["good_lost"].tolist() == found["removed"].tolist() and not found["toxic_lost"].any()
+
+
+# --- main text: what the wrapper decides ----------------------------------------------------------
+
+
+def texts_of(spark, rows):
+    got = pages.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    return {r["page_id"]: r["text"] for r in got}
+
+
+def test_fixed_text_of_a_host_goes(spark):
+    """A notice without any telling name goes, as most pages of the host have it at that place; on a host of few pages it stays."""
+    page = "<div class=x0><p>Text {i} says something of its own.</p><p>And a second sentence {i}.</p></div><div class=x1>You have 3 free stories left</div>"
+    article = "<article><p>Story {i} is long enough to count.</p><p>It goes on {i}.</p><div class=q>Follow us everywhere</div></article>"
+    rows = [(i, "http://a.example/", page.format(i=i)) for i in range(8)] + [(100 + i, "http://b.example/", article.format(i=i)) for i in range(8)]
+    rows += [(200, "http://c.example/", page.format(i=200))]
+    got = texts_of(spark, rows)
+    for i in range(8):
+        assert got[i] == f"Text {i} says something of its own.\n\nAnd a second sentence {i}."
+        assert got[100 + i] == f"Story {100 + i - 100} is long enough to count.\n\nIt goes on {i}."
+    assert got[200].endswith("You have 3 free stories left")
+
+
+def test_copies_of_a_page_are_no_template(spark):
+    page = "<article><p>The same story on every page.</p><p>With a second part.</p></article><footer>f</footer>"
+    rows = [(i, "http://a.example/", page) for i in range(9)] + [(9, "http://a.example/", "<article><p>Another one.</p></article>")]
+    got = texts_of(spark, rows)
+    assert {got[i] for i in range(9)} == {"The same story on every page.\n\nWith a second part."} and got[9] == "Another one."
+
+
+def test_parts_of_names_do_not_empty_an_article(spark):
+    article = (
+        "<article><h1>Head</h1><p>Intro.</p><section id='related-work'><p>Earlier work.</p></section><p class='share-price'>The price rose.</p>"
+        "<div class='side-effects'>They are mild.</div><div class='search-results-analysis'>We looked.</div><p>So <math>a + b</math> holds.</p>"
+        "<div class='comment-list'><p>First!</p></div><div class='share'>Share this</div></article>"
+    )
+    got = texts_of(spark, [(1, "http://a.example/", article)])
+    assert got[1] == "Head\n\nIntro.\n\nEarlier work.\n\nThe price rose.\n\nThey are mild.\n\nWe looked.\n\nSo a + b holds."
+    lists = "<div class='related-posts'>" + "".join(f"<a href={k}>More {k}</a>" for k in range(5)) + "</div>"
+    rows = [(i, "http://b.example/", f"<article><p>Text {i} of the page.</p>{lists}</article>") for i in range(6)]
+    assert texts_of(spark, rows) == {i: f"Text {i} of the page." for i in range(6)}
+
+
+def test_deep_pages_take_linear_time():
+    deep = "<div>" * 20_000 + "<p>deep text</p>" + "</div>" * 20_000
+    begun = time.perf_counter()
+    assert pages.main_blocks(deep, set()) == ["deep text"]
+    assert time.perf_counter() - begun < 3
+    assert pages.main_blocks("</p></div>" * 20_000 + "<p>x", set()) == ["x"]
+
+
+def test_a_wrapper_keeps_fixed_texts_apart_from_slots():
+    a = ["k", "p=1", "p#"]
+    w = pages.aligned(a, ["k", "p=1", "p#", "p#"])
+    assert list(pages.fixed_texts(w)) == ["p=1"] and list(pages.slots(w)) == ["p"]
+
+
+def test_shares_are_those_of_one_flow():
+    rng = np.random.default_rng(6)
+    for _ in range(30):
+        sources = [f"s{i}" for i in range(6)] + [None]
+        supply = {(s,): int(rng.integers(1, 50)) for s in sources}
+        supply[("s0", "s1")] = int(rng.integers(1, 50))
+        supply[("s1", "s2", None)] = int(rng.integers(1, 50))
+        quotas = {s: int(rng.integers(0, 150)) for s in sources}
+        one, apart = mixing.min_cost_flow(supply, quotas, 2), mixing.shares(supply, quotas, 2)
+        for s in sources:
+            assert sum(g.get(s, 0) for g in one.values()) == sum(g.get(s, 0) for g in apart.values())
+        repeats = [sum(max(0, sum(g.values()) - supply[p]) for p, g in flow.items()) for flow in (one, apart)]
+        assert repeats[0] == repeats[1]
+
+
+def test_mixing_of_very_many_sources(spark):
+    docs = spark.range(75_000).select(F.col("id").alias("doc_id"), F.lit("three words here").alias("text"), (F.col("id") % 25_000).cast("string").alias("source"))
+    begun = time.perf_counter()
+    taken, targets, _ = mixing.by_one_source(docs)
+    assert len(targets) == 25_000 and taken.agg(F.sum(F.col("size") * F.col("copies"))).first()[0] == pytest.approx(sum(targets.values()), rel=0.2)
+    assert time.perf_counter() - begun < 180
+
+
+def test_one_row_of_a_wide_grid_of_sizes(spark):
+    """Texts far longer than a step are hashed like short ones."""
+    words = [f"w{i % 977}x{i % 31}" for i in range(700_000)]
+    long = " ".join(words)
+    column = pa.array([long, "z" * 1_000_000 + " end", "a b"])
+    hashes, first = text.word_hashes(column)
+    assert np.diff(first).tolist() == [700_000, 2, 2]
+    alone, _ = text.word_hashes(pa.array(words[:3000]))
+    assert (hashes[:3000] == alone).all() and len(np.unique(hashes[:700_000])) == len(set(words))
+    same, _ = text.word_hashes(pa.array(["z" * 1_000_000, "Z" * 1_000_000, "z" * 999_999 + "y", "end"]))
+    assert same[0] == same[1] == hashes[700_000] != same[2] and same[3] == hashes[700_001]

@@ -41,7 +41,28 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict_languages(docs, language_model(docs))
 
 
-@query()
+JACCARD_SQL = r"""
+WITH RECURSIVE worded AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+sets AS MATERIALIZED (
+  SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_sort(list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1),
+    lambda i: array_to_string(w[i:i + 4], ' ')))) END AS s FROM worded),
+nodes AS MATERIALIZED (SELECT row_number() OVER () AS n, s, len(s) AS size, min(doc_id) AS first_id FROM sets WHERE len(s) > 0 GROUP BY s),
+entries AS MATERIALIZED (SELECT n, size, unnest(s) AS g FROM nodes),
+common AS (SELECT a.n AS a, b.n AS b, any_value(a.size) + any_value(b.size) AS both_sizes, count(*) AS k FROM entries a JOIN entries b ON a.g = b.g AND a.n < b.n
+  WHERE 100 * least(a.size, b.size) >= 75 * greatest(a.size, b.size) GROUP BY 1, 2),
+one_way AS (SELECT a, b FROM common WHERE 100 * k >= 75 * (both_sizes - k)),
+links AS MATERIALIZED (SELECT a, b FROM one_way UNION ALL SELECT b, a FROM one_way),
+reach AS (SELECT n AS a, n AS b FROM nodes UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+lowest AS (SELECT reach.a AS n, min(nodes.first_id) AS component_id FROM reach JOIN nodes ON reach.b = nodes.n GROUP BY 1)
+SELECT sets.doc_id, len(sets.s)::BIGINT AS n_shingles, CASE WHEN len(sets.s) = 0 THEN sets.doc_id ELSE lowest.component_id END AS component_id
+FROM sets LEFT JOIN nodes ON sets.s = nodes.s LEFT JOIN lowest USING (n)
+"""
+
+
+@query(JACCARD_SQL)
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.linked_components(table(spark, sf_dir, "documents"))
 
