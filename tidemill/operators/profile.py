@@ -65,6 +65,12 @@ def boxplot_stats(df: DataFrame, keys: Sequence[str], value: str, reach: float =
 WIDE = 24
 
 
+def _corr(a: Column, b: Column) -> Column:
+    """Over the rows where both have a value; NULL without spread, where `corr` divides by zero."""
+    spread = F.stddev_pop(F.when(b.isNotNull(), a)) * F.stddev_pop(F.when(a.isNotNull(), b))
+    return F.try_divide(F.covar_pop(a, b), spread)
+
+
 def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(col_a, col_b, corr) for every ordered pair, from one pass over the table.
 
@@ -74,7 +80,7 @@ def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     if len(cols) > WIDE:
         return wide_correlations(df, cols)
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    one_row = df.agg(*[F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
+    one_row = df.agg(*[_corr(F.col(a), F.col(b)).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
     cells = []
     for i, (a, b) in enumerate(pairs):
         for left, right in {(a, b), (b, a)}:
