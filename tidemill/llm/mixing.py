@@ -202,7 +202,8 @@ def mixed_rows(docs: DataFrame, source_col: str = "source", id_col: str = "doc_i
     alike = F.struct(F.element_at("members", 1).alias("source"), F.col("doc_id").alias("id"), F.col("size").alias("size"))
     counts = F.array(*[F.count_if(F.col("copies") > p) for p in range(max(1, passes))])
     copies = taken.filter("copies > 0").groupBy(alike.alias(key)).agg(counts.alias(least))
-    own = F.struct(F.col(source_col).cast("string").alias("source"), F.col(id_col).cast("long").alias("id"), words_in(F.col(text_col).cast("string")).alias("size"))
+    # Of the same type as `alike` (where a size may be NULL), so that window and join share one exchange of the rows.
+    own = F.struct(F.col(source_col).cast("string"), F.col(id_col).cast("long"), words_in(F.col(text_col).cast("string"))).cast("struct<source: string, id: bigint, size: bigint>")
     place = F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(text_col), text_col))
     rows = docs.withColumn(key, own).filter(F.col(f"{key}.size") > 0).withColumn(nth, place)
     joined = rows.join(copies, key)
