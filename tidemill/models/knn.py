@@ -18,7 +18,8 @@ from tidemill.sources.tables import kept
 ROWS_PER_CHUNK = 20_000
 #: Rows of a block below which more tasks do not pay.
 LEAST_CHUNK = 1_000
-#: Rows of a leaf, in expectation, and rows that the first pass compares a query with.
+#: Rows of a leaf, in expectation: `ROWS_PER_LEAF`, or one per dimension if that is more. Rows that the first pass
+#: compares a query with.
 ROWS_PER_LEAF, NEAR_ROWS = 8, 256
 _META = "features array<string>, target string, id_col string, k int, weights string, p double"
 
@@ -70,7 +71,7 @@ class NeighbourIndex:
             return
         cores = self.spark.sparkContext.defaultParallelism
         self.rows_per_chunk = min(rows_per_chunk, max(LEAST_CHUNK, math.ceil(self.n / cores)))
-        per_leaf = min(ROWS_PER_LEAF, max(1, rows_per_chunk))
+        per_leaf = min(max(ROWS_PER_LEAF, len(picked[0]["_x"])), max(1, rows_per_chunk))
         self.tree = tree = MetricTree.shaped(np.array([r["_x"] for r in picked], dtype=float), min(MAX_LEAVES, max(1, self.n // per_leaf)), p)
         centres = tree.centres()
 

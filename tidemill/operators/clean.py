@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
@@ -23,7 +25,8 @@ def dedup_keep_first(df: DataFrame, subset: Sequence[str], order: Sequence[str |
     named = df.select("*", *[(F.col(c) if isinstance(c, str) else c).alias(f"_o{i}") for i, c in enumerate(order)])
     kinds = [f.dataType for f in named.schema.fields[len(df.columns) :]]
     if rest and all(isinstance(t, _FIXED) for t in fixed) and all(isinstance(t, _FIXED) for t in kinds):
-        return _by_words(named, subset, rest, _words(named, kinds)).select(*df.columns)
+        names = [c if isinstance(c, str) and c in rest else None for c in order]
+        return _by_words(named, subset, rest, _words(named, kinds, names)).select(*df.columns)
     first = F.min_by(F.struct(*rest), F.struct(*order)).alias("_first")
     picked = df.groupBy(*subset).agg(first)
     fields = [F.col("_first").getField(c).alias(c) for c in rest]
@@ -32,7 +35,26 @@ def dedup_keep_first(df: DataFrame, subset: Sequence[str], order: Sequence[str |
 
 _WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
 _FIXED = (*_WHOLE, T.FloatType, T.DoubleType, T.DecimalType)
-_WORD = 2**63
+#: Sizes of sort keys: a long, and a decimal of 38 digits.
+_LONG, _DECIMAL = 2**63, 10**37
+_HUNDREDTHS = 10**13
+
+
+@dataclass
+class _Part:
+    """A column's place in a sort key: 0 for NULL, else its whole number from `low` on."""
+
+    value: Column
+    size: int
+    low: int = 0
+    scale: int = 1
+    kind: T.DataType | None = None
+    name: str | None = None  # of a column that can be read back from the key
+
+    def read(self, key: str, weight: int, suffix: str) -> Column:
+        place = F.expr(f"(`{key}` % {weight * self.size}{suffix}) div {weight}{suffix}")
+        number = F.when(place > 0, place - 1 + F.lit(self.low).cast("long"))
+        return (number / self.scale if self.scale > 1 else number).cast(self.kind).alias(self.name)
 
 
 def _whole(c: str, kind: T.DataType) -> Column:
@@ -41,49 +63,76 @@ def _whole(c: str, kind: T.DataType) -> Column:
         return F.unix_date(c).cast("long")
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         return epoch_micros(c) if isinstance(kind, T.TimestampNTZType) else F.unix_micros(c)
+    if isinstance(kind, T.DoubleType):
+        return F.round(F.col(c) * 100).cast("long")
     return F.col(c).cast("int").cast("long") if isinstance(kind, T.BooleanType) else F.col(c).cast("long")
 
 
-def _words(df: DataFrame, kinds: Sequence[T.DataType]) -> list[Column]:
-    """Columns `_o0`, `_o1`, .. as few sort keys without NULLs: whole numbers share a 64-bit one as far as their ranges
-    allow, a NULL being the least; other numbers are keys of their own, with a flag in the key before.
+def _words(df: DataFrame, kinds: Sequence[T.DataType], names: Sequence[str | None]) -> list[list[_Part] | Column]:
+    """Columns `_o0`, `_o1`, .. as few sort keys without NULLs. Whole numbers share a key as far as their ranges allow, and
+    so do fractions that are all hundredths; other numbers are keys of their own, with a flag in the key before.
     """
-    whole = {i: _whole(f"_o{i}", t) for i, t in enumerate(kinds) if isinstance(t, _WHOLE)}
-    ends = df.agg(*[f(x).cast("decimal(20,0)") for x in whole.values() for f in (F.min, F.max)]).first() if whole else []
-    spans = {i: (int(ends[2 * k] or 0), int(ends[2 * k + 1] or 0)) for k, i in enumerate(whole)}
-    words: list[Column] = []
-    open_, room = F.lit(0).cast("long"), _WORD
-
-    def put(value: Column, size: int) -> None:
-        nonlocal open_, room
-        if size > room:
+    counted = [i for i, t in enumerate(kinds) if isinstance(t, (*_WHOLE, T.DoubleType))]
+    asked = []
+    for i in counted:
+        c, fraction = F.col(f"_o{i}"), isinstance(kinds[i], T.DoubleType)
+        fits = F.coalesce(F.bool_and((F.abs(c) < _HUNDREDTHS) & (F.round(c * 100) / 100 == c)), F.lit(True)) if fraction else F.lit(True)
+        known = F.when(F.abs(c) < _HUNDREDTHS, _whole(f"_o{i}", kinds[i])) if fraction else _whole(f"_o{i}", kinds[i])
+        asked += [F.min(known).cast("decimal(20,0)"), F.max(known).cast("decimal(20,0)"), fits]
+    ends = df.agg(*asked).first() if asked else []
+    words: list[list[_Part] | Column] = []
+    open_: list[_Part] = []
+
+    def put(part: _Part) -> None:
+        nonlocal open_
+        if part.size * math.prod(p.size for p in open_) > _DECIMAL:
             words.append(open_)
-            open_, room = F.lit(0).cast("long"), _WORD
-        open_, room = open_ * F.lit(size).cast("long") + value, room // size
-
-    for i in range(len(kinds)):
-        known = F.col(f"_o{i}").isNotNull().cast("long")
-        if i in whole:
-            low, high = spans[i]
-            if high - low + 2 < _WORD:
-                put(F.coalesce(whole[i] - F.lit(low) + 1, F.lit(0).cast("long")), high - low + 2)
+            open_ = []
+        open_.append(part)
+
+    for i, kind in enumerate(kinds):
+        c = F.col(f"_o{i}")
+        if i in counted:
+            low, high, fits = ends[3 * counted.index(i) : 3 * counted.index(i) + 3]
+            low, high = int(low or 0), int(high or 0)
+            if fits and high - low + 2 < _LONG:
+                readable = None if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType, T.BooleanType)) else names[i]
+                value = F.coalesce(_whole(f"_o{i}", kind) - F.lit(low).cast("long") + 1, F.lit(0).cast("long"))
+                put(_Part(value, high - low + 2, low, 100 if isinstance(kind, T.DoubleType) else 1, kind, readable))
                 continue
-        put(known, 2)
-        words.append(open_)
-        words.append(F.coalesce(F.col(f"_o{i}") if i not in whole else whole[i], F.lit(0).cast(kinds[i] if i not in whole else "long")))
-        open_, room = F.lit(0).cast("long"), _WORD
-    return [*words, open_]
+        put(_Part(c.isNotNull().cast("long"), 2))
+        whole = isinstance(kind, _WHOLE)
+        words += [open_, F.coalesce(_whole(f"_o{i}", kind) if whole else c, F.lit(0).cast("long" if whole else kind))]
+        open_ = []
+    return [*words, open_] if open_ or not words else words
+
+
+def _packed(parts: Sequence[_Part]) -> Column:
+    kind = "long" if math.prod(p.size for p in parts) < _LONG else "decimal(38,0)"
+    out = F.lit(0).cast(kind)
+    for p in parts:
+        out = (out * F.lit(p.size).cast("long" if kind == "long" else "decimal(20,0)") + p.value).cast(kind)
+    return out
 
 
-def _by_words(df: DataFrame, subset: Sequence[str], rest: Sequence[str], words: Sequence[Column]) -> DataFrame:
+def _by_words(df: DataFrame, subset: Sequence[str], rest: Sequence[str], words: Sequence[list[_Part] | Column]) -> DataFrame:
     """The first row per subset. Several words are taken from the last to the first, each among rows of equal words
-    before it, which also spreads the rows of a hot key.
+    before it, which also spreads the rows of a hot key. Columns that the only word holds are read back from it.
     """
     names = [f"_w{i}" for i in range(len(words))]
-    rows = df.select(*subset, *rest, *[w.alias(n) for w, n in zip(words, names)])
+    rows = df.select(*subset, *rest, *[(_packed(w) if isinstance(w, list) else w).alias(n) for w, n in zip(words, names)])
+    read = []
+    if len(words) == 1 and isinstance(words[0], list):
+        suffix = "L" if math.prod(p.size for p in words[0]) < _LONG else "BD"
+        for k, part in enumerate(words[0]):
+            if part.name:
+                read.append((part.name, part.read("_w0", math.prod(p.size for p in words[0][k + 1 :]), suffix)))
+    back = dict(read)
     for i in reversed(range(len(words))):
-        rows = rows.groupBy(*subset, *names[:i]).agg(*[F.min_by(c, names[i]).alias(c) for c in rest])
-    return rows
+        picked = [F.min_by(c, names[i]).alias(c) for c in rest if c not in back]
+        least = [F.min(names[i]).alias(names[i])] if back else []
+        rows = rows.groupBy(*subset, *names[:i]).agg(*picked, *least)
+    return rows.select(*subset, *[back.get(c, F.col(c)) for c in rest])
 
 
 def union_by_name(frames: Sequence[DataFrame]) -> DataFrame:

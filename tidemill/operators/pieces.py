@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F, types as T
 
 from tidemill.functions.timecols import epoch_seconds, seconds_interval
 from tidemill.operators.buckets import PIECE, SERIES, series_of, with_piece, with_series
@@ -32,13 +32,32 @@ def gridded_neighbours(df: DataFrame, keys: Sequence[str], time: str, cols: Sequ
     the nearest value at or before, and behind, the row.
 
     Rows without a time are left out; a NULL key is a series. Runs jobs when called: the rows and the ends of
-    their pieces are stored in the shared folder.
+    their pieces are stored in the shared folder. A table that spans less than a piece is one piece per series, and
+    has no ends to carry.
     """
     series = series_of(keys)
     cut = with_piece(with_series(df.where(F.col(time).isNotNull()), keys).drop(*keys), time, step * PIECE_STEPS * 1_000_000)
-    rows = kept(cut, "grid-rows")
-    ends = kept(_carried(rows.groupBy(*series, PIECE).agg(*_ends(time, cols)), series, cols), "grid-ends")
-
+    span = Observation()
+    seconds = epoch_seconds(time)
+    rows = kept(cut.observe(span, F.min(seconds).alias("low"), F.max(seconds).alias("high")), "grid-rows")
+    low, high = span.get["low"], span.get["high"]
+    ends = None
+    if low is not None and (high - low) // step >= PIECE_STEPS:
+        ends = kept(_carried(rows.groupBy(*series, PIECE).agg(*_ends(time, cols)), series, cols), "grid-ends")
+    else:
+        # Pieces that begin with the table: all rows are in the first.
+        rows = rows.withColumn(PIECE, F.floor((seconds - F.lit(low or 0)) / (step * PIECE_STEPS)))
+    return _laid(rows, ends, df.columns, keys, time, cols, step)
+
+
+def _laid(rows: DataFrame, ends: DataFrame | None, names: Sequence[str], keys: Sequence[str], time: str, cols: Sequence[str], step: int) -> DataFrame:
+    series = series_of(keys)
+    if ends is None:
+        nothing = {f"_{side}_{c}": F.lit(None).cast(_end_type(rows, time, c)) for c in cols for side in ("earlier", "later")}
+        joined = rows.withColumns({"_next": F.lit(None).cast(rows.schema[time].dataType), **nothing})
+    else:
+        # One row of ends per piece: hashed next to the rows, which the windows need there anyway.
+        joined = rows.join(ends.drop("_last_t", *[f"_last_{c}" for c in cols]).hint("shuffle_hash"), [*series, PIECE])
     parts = ", ".join(f"`{c}`" for c in (*series, PIECE))
     ahead = f"OVER (PARTITION BY {parts} ORDER BY `{time}` ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     behind = f"OVER (PARTITION BY {parts} ORDER BY `{time}` DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
@@ -47,9 +66,7 @@ def gridded_neighbours(df: DataFrame, keys: Sequence[str], time: str, cols: Sequ
         own = f"CASE WHEN `{c}` IS NOT NULL THEN named_struct('t', `{time}`, 'v', `{c}`) END"
         near.append(f"coalesce(last({own}, true) {ahead}, `_earlier_{c}`) AS `_before_{c}`")
         near.append(f"coalesce(last({own}, true) {behind}, `_later_{c}`) AS `_after_{c}`")
-    rest = [c for c in df.columns if c not in (*keys, time)]
-    # One row of ends per piece: hashed next to the rows, which the windows need there anyway.
-    joined = rows.join(ends.drop("_last_t", *[f"_last_{c}" for c in cols]).hint("shuffle_hash"), [*series, PIECE])
+    rest = [c for c in names if c not in (*keys, time)]
     known = joined.selectExpr(*[f"`{c}`" for c in (*series, time, *rest)], *near)
     missing = F.greatest((epoch_seconds("_next") - epoch_seconds(time)) / step - 1, F.lit(0)).cast("long")
     short = F.when(missing < PIECE_STEPS, missing).otherwise(0)
@@ -57,11 +74,15 @@ def gridded_neighbours(df: DataFrame, keys: Sequence[str], time: str, cols: Sequ
     at = F.when(F.col("_i") == 0, F.col(time)).otherwise(F.col(time) + seconds_interval(F.col("_i") * step))
     values = [F.when(F.col("_i") == 0, F.col(c)).alias(c) for c in rest]
     found = [f"_{side}_{c}" for c in cols for side in ("before", "after")]
-    names = [F.col(f"{SERIES}.{k}").alias(k) for k in keys]
-    out = emitted.select(*names, at.alias(time), *values, *found)
-    between = _long_gaps(ends, keys, time, cols, step)
+    own_keys = [F.col(f"{SERIES}.{k}").alias(k) for k in keys]
+    out = emitted.select(*own_keys, at.alias(time), *values, *found)
+    between = None if ends is None else _long_gaps(ends, keys, time, cols, step)
     out = out if between is None else out.unionByName(between, allowMissingColumns=True)
-    return out.select(*df.columns, *found)
+    return out.select(*names, *found)
+
+
+def _end_type(rows: DataFrame, time: str, c: str) -> T.StructType:
+    return T.StructType([T.StructField("t", rows.schema[time].dataType), T.StructField("v", rows.schema[c].dataType)])
 
 
 def _ends(time: str, cols: Sequence[str]) -> list:

@@ -61,7 +61,8 @@ def materialise(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> D
     """Write a stage as Parquet and read it back: cuts lineage and feeds pruned scans."""
     writer = df.write.mode("overwrite")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return df.sparkSession.read.parquet(path)
+    reader = df.sparkSession.read
+    return (reader if partition_by else reader.schema(df.schema)).parquet(path)
 
 
 def kept(df: DataFrame, label: str) -> DataFrame:
