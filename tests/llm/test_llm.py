@@ -494,7 +494,8 @@ def test_queries_run(spark, name):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_sql_forms(spark, name):
     con = duckdb.connect()
-    con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    for of in ("documents", "embeddings", "labels"):
+        con.execute(f"create view {of} as select * from '{SF}/{of}.parquet'")
     rows = QUERIES[name](spark, SF)
     found = con.sql(f"select {', '.join(rows.columns)} from ({ORACLES[name]})").fetchall()
     assert sorted(map(tuple, rows.collect()), key=str) == sorted(found, key=str)
