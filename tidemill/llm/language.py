@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from tidemill.llm.text import give_back, mix, slices
 
+#: Bytes of text whose n-grams a worker scores at once; they take some 150 times as much memory.
+SLICE_BYTES = 256 << 10
 #: Cells for each n-gram length.
 DIMS = 2048
 ORDERS = 3
@@ -188,7 +190,7 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
 
     def vectors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch):
+            for piece in slices(batch, limit=SLICE_BYTES):
                 texts = piece.column("text").to_pylist()
                 packed = [(np.flatnonzero(v), v) for v in features(texts)]
                 yield pa.record_batch(
@@ -231,7 +233,7 @@ def predict_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch):
+            for piece in slices(batch, limit=SLICE_BYTES):
                 names, scores = model.predict(piece.column("text").to_pylist())
                 yield pa.record_batch([piece.column("doc_id"), piece.column("held_out"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
@@ -249,7 +251,7 @@ def keep_known(docs: DataFrame, model: LanguageModel, text_col: str = "text", mi
     @F.arrow_udf("boolean")
     def known(texts: pa.Array) -> pa.Array:
         kept = []
-        for piece in slices(pa.record_batch([texts], names=["text"])):
+        for piece in slices(pa.record_batch([texts], names=["text"]), limit=SLICE_BYTES):
             names, scores = model.predict(piece.column("text").to_pylist())
             kept.extend(n != UNKNOWN and s >= min_score for n, s in zip(names, scores))
         give_back()
