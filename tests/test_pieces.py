@@ -353,6 +353,33 @@ def test_keep_first_hashes(spark, name):
     assert "SortAggregate" not in _plan(name, spark)
 
 
+@pytest.mark.parametrize("words", [1, 2])
+def test_keep_first_carries_only_its_sort_key(spark, words):
+    """Days, dates, flags, cents and wide ids come back from the sort key: no column is shuffled beside it, in few exchanges."""
+    rng = random.Random(13)
+    one = lambda x: None if rng.random() < 0.1 else x
+    wide = 60_000_000 if words == 1 else 2**60
+    rows = [
+        (rng.randint(0, 40), one(at("1969-06-01") + dt.timedelta(days=rng.randint(0, 900))), one(rng.randint(-wide, wide)), one(rng.randint(0, wide)),
+         one(rng.randint(-10**7, 10**7) / 100), one(float(rng.randint(1, 50))), one(rng.randint(0, 10) / 100), one(dt.date(1970, 1, rng.randint(1, 9))), one(rng.random() < 0.5))
+        for _ in range(600)
+    ]
+    names = ["ts", "p", "s", "price", "quantity", "discount", "day", "flag"]
+    df = spark.createDataFrame(rows, "k long, ts timestamp_ntz, p long, s long, price double, quantity double, discount double, day date, flag boolean").repartition(5)
+    for one_df in (df, df.withColumn("ts", (F.col("ts") + F.expr("interval '0.000001' second")).cast("timestamp"))):
+        got = clean.dedup_keep_first(one_df, ["k"], names)
+        rank = F.row_number().over(Window.partitionBy("k").orderBy(*names))
+        same(got, one_df.withColumn("rank", rank).where("rank = 1").drop("rank"))
+        assert got.dtypes == one_df.dtypes
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Aggregate [") == (words if one_df is df else 2) and not any(f"min_by({c}" in plan for c in names), plan
+
+
+def test_keep_first_keeps_negative_zero(spark):
+    df = spark.createDataFrame([(1, -0.0, 2), (1, 0.0, 3), (2, 0.0, 1)], "k long, d double, i long")
+    assert sorted(str(r) for r in clean.dedup_keep_first(df, ["k"], ["i", "d"]).collect()) == ["Row(k=1, d=-0.0, i=2)", "Row(k=2, d=0.0, i=1)"]
+
+
 def test_rows_without_a_time_stay_on_the_step_route(with_nulls):
     out = lag_and_rolling(with_nulls, ["k"], "ts", "v", lags=[1], windows=[2], step=3600)
     assert out.count() == 12

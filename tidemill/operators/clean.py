@@ -5,11 +5,12 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from tidemill.functions.timecols import epoch_micros
+from tidemill.functions.timecols import DAY, HOUR, epoch_micros, from_seconds
 from tidemill.operators.buckets import PIECE, cut_by_ranges, piece_width, with_piece
 
 
@@ -36,25 +37,39 @@ def dedup_keep_first(df: DataFrame, subset: Sequence[str], order: Sequence[str |
 _WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
 _FIXED = (*_WHOLE, T.FloatType, T.DoubleType, T.DecimalType)
 #: Sizes of sort keys: a long, and a decimal of 38 digits.
-_LONG, _DECIMAL = 2**63, 10**37
+_LONG, _DECIMAL = 2**63, 10**38 - 1
 _HUNDREDTHS = 10**13
+#: Steps, largest first, that all values of a column may be multiples of: microseconds of times, hundredths of fractions.
+_TIME_STEPS, _FRACTION_STEPS = (DAY * 1_000_000, HOUR * 1_000_000, 1_000_000, 1_000, 1), (100, 1)
+#: Microseconds up to which a time is read back from its number.
+_TIMES = 10**18
 
 
 @dataclass
 class _Part:
-    """A column's place in a sort key: 0 for NULL, else its whole number from `low` on."""
+    """A column's place in a sort key: 0 for NULL, else its whole number in steps from `low` on."""
 
     value: Column
     size: int
     low: int = 0
-    scale: int = 1
+    step: int = 1
     kind: T.DataType | None = None
     name: str | None = None  # of a column that can be read back from the key
 
-    def read(self, key: str, weight: int, suffix: str) -> Column:
-        place = F.expr(f"(`{key}` % {weight * self.size}{suffix}) div {weight}{suffix}")
-        number = F.when(place > 0, place - 1 + F.lit(self.low).cast("long"))
-        return (number / self.scale if self.scale > 1 else number).cast(self.kind).alias(self.name)
+    def read(self, limb: Column, weight: int) -> Column:
+        """The value, from the whole number `limb` in which it has this weight."""
+        place = _div(limb % _long(weight * self.size), weight)
+        number = (place - 1 + _long(self.low)) * _long(self.step)
+        return F.when(place > 0, _from_whole(number, self.kind)).alias(self.name)
+
+
+def _long(n: int) -> Column:
+    return F.lit(n).cast("long")
+
+
+def _div(c: Column, by: int) -> Column:
+    """Whole part of a quotient, as a long."""
+    return c.cast("long") if by == 1 else F.call_function("div", c, _long(by) if by < _LONG else F.lit(Decimal(by)))
 
 
 def _whole(c: str, kind: T.DataType) -> Column:
@@ -68,18 +83,40 @@ def _whole(c: str, kind: T.DataType) -> Column:
     return F.col(c).cast("int").cast("long") if isinstance(kind, T.BooleanType) else F.col(c).cast("long")
 
 
+def _from_whole(number: Column, kind: T.DataType) -> Column:
+    """The value that has this whole number."""
+    if isinstance(kind, T.DateType):
+        return F.date_from_unix_date(number.cast("int"))
+    if isinstance(kind, T.TimestampType):
+        return F.timestamp_micros(number)
+    if isinstance(kind, T.TimestampNTZType):
+        return from_seconds(number.cast("decimal(18,0)") / F.lit(Decimal(1_000_000)))
+    return (number / 100 if isinstance(kind, T.DoubleType) else number).cast(kind)
+
+
+def _steps_of(kind: T.DataType) -> tuple[int, ...]:
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return _TIME_STEPS
+    return _FRACTION_STEPS if isinstance(kind, T.DoubleType) else (1,)
+
+
 def _words(df: DataFrame, kinds: Sequence[T.DataType], names: Sequence[str | None]) -> list[list[_Part] | Column]:
     """Columns `_o0`, `_o1`, .. as few sort keys without NULLs. Whole numbers share a key as far as their ranges allow, and
-    so do fractions that are all hundredths; other numbers are keys of their own, with a flag in the key before.
+    so do fractions that are all hundredths; other numbers are keys of their own, with a flag in the key before. Times and
+    fractions count in the largest step (days to microseconds, ones or hundredths) that all their values are multiples of.
     """
     counted = [i for i, t in enumerate(kinds) if isinstance(t, (*_WHOLE, T.DoubleType))]
     asked = []
     for i in counted:
-        c, fraction = F.col(f"_o{i}"), isinstance(kinds[i], T.DoubleType)
-        fits = F.coalesce(F.bool_and((F.abs(c) < _HUNDREDTHS) & (F.round(c * 100) / 100 == c)), F.lit(True)) if fraction else F.lit(True)
-        known = F.when(F.abs(c) < _HUNDREDTHS, _whole(f"_o{i}", kinds[i])) if fraction else _whole(f"_o{i}", kinds[i])
-        asked += [F.min(known).cast("decimal(20,0)"), F.max(known).cast("decimal(20,0)"), fits]
-    ends = df.agg(*asked).first() if asked else []
+        c, known = F.col(f"_o{i}"), _whole(f"_o{i}", kinds[i])
+        fits = exact = F.lit(True)
+        if isinstance(kinds[i], T.DoubleType):
+            fits = F.coalesce(F.bool_and((F.abs(c) < _HUNDREDTHS) & (F.round(c * 100) / 100 == c)), F.lit(True))
+            exact = F.coalesce(F.bool_and((c != 0) | (c.cast("string") != "-0.0")), F.lit(True))  # no -0.0
+            known = F.when(F.abs(c) < _HUNDREDTHS, known)
+        even = [F.coalesce(F.bool_and(known % _long(s) == 0), F.lit(True)) for s in _steps_of(kinds[i])]
+        asked.append(F.struct(F.min(known).alias("low"), F.max(known).alias("high"), fits.alias("fits"), exact.alias("exact"), F.array(*even).alias("even")))
+    ends = df.agg(*[a.alias(f"_o{i}") for i, a in zip(counted, asked)]).first() if asked else []
     words: list[list[_Part] | Column] = []
     open_: list[_Part] = []
 
@@ -93,12 +130,16 @@ def _words(df: DataFrame, kinds: Sequence[T.DataType], names: Sequence[str | Non
     for i, kind in enumerate(kinds):
         c = F.col(f"_o{i}")
         if i in counted:
-            low, high, fits = ends[3 * counted.index(i) : 3 * counted.index(i) + 3]
-            low, high = int(low or 0), int(high or 0)
-            if fits and high - low + 2 < _LONG:
-                readable = None if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType, T.BooleanType)) else names[i]
-                value = F.coalesce(_whole(f"_o{i}", kind) - F.lit(low).cast("long") + 1, F.lit(0).cast("long"))
-                put(_Part(value, high - low + 2, low, 100 if isinstance(kind, T.DoubleType) else 1, kind, readable))
+            end = ends[f"_o{i}"]
+            low, high = end["low"] or 0, end["high"] or 0
+            timed = isinstance(kind, (T.TimestampType, T.TimestampNTZType))
+            readable = names[i] if end["exact"] and not (timed and max(abs(low), abs(high)) >= _TIMES) else None
+            step = next(s for s, even in zip(_steps_of(kind), end["even"]) if even)
+            low, high = low // step, high // step
+            if end["fits"] and high - low + 2 < _LONG:
+                number = _whole(f"_o{i}", kind)
+                value = F.coalesce((_div(number, step) if step > 1 else number) - _long(low) + 1, _long(0))
+                put(_Part(value, high - low + 2, low, step, kind, readable))
                 continue
         put(_Part(c.isNotNull().cast("long"), 2))
         whole = isinstance(kind, _WHOLE)
@@ -107,30 +148,55 @@ def _words(df: DataFrame, kinds: Sequence[T.DataType], names: Sequence[str | Non
     return [*words, open_] if open_ or not words else words
 
 
-def _packed(parts: Sequence[_Part]) -> Column:
-    kind = "long" if math.prod(p.size for p in parts) < _LONG else "decimal(38,0)"
-    out = F.lit(0).cast(kind)
+def _limbs(parts: Sequence[_Part]) -> list[list[_Part]]:
+    """Neighbouring parts that fit into a long together."""
+    limbs: list[list[_Part]] = [[]]
     for p in parts:
-        out = (out * F.lit(p.size).cast("long" if kind == "long" else "decimal(20,0)") + p.value).cast(kind)
+        if math.prod(x.size for x in limbs[-1]) * p.size >= _LONG:
+            limbs.append([])
+        limbs[-1].append(p)
+    return limbs
+
+
+def _packed(parts: Sequence[_Part]) -> Column:
+    limbs = _limbs(parts)
+    whole = [reduce(lambda out, p: out * _long(p.size) + p.value, limb, _long(0)) for limb in limbs]
+    if len(limbs) == 1:
+        return whole[0]
+    out = whole[0].cast("decimal(38,0)")
+    for limb, number in zip(limbs[1:], whole[1:]):
+        out = (out * F.lit(Decimal(math.prod(p.size for p in limb))) + number.cast("decimal(20,0)")).cast("decimal(38,0)")
+    return out
+
+
+def _read(word: str, parts: Sequence[_Part]) -> dict[str, Column]:
+    """The columns that can be read back from a packed word."""
+    limbs, out = _limbs(parts), {}
+    for k, limb in enumerate(limbs):
+        below = math.prod(p.size for after in limbs[k + 1 :] for p in after)
+        upper = F.col(word) % F.lit(Decimal(below * math.prod(p.size for p in limb))) if k else F.col(word)
+        number = _div(upper, below)
+        for j, part in enumerate(limb):
+            if part.name:
+                out[part.name] = part.read(number, math.prod(p.size for p in limb[j + 1 :]))
     return out
 
 
 def _by_words(df: DataFrame, subset: Sequence[str], rest: Sequence[str], words: Sequence[list[_Part] | Column]) -> DataFrame:
     """The first row per subset. Several words are taken from the last to the first, each among rows of equal words
-    before it, which also spreads the rows of a hot key. Columns that the only word holds are read back from it.
+    before it, which also spreads the rows of a hot key. Columns that a word holds are read back from it.
     """
     names = [f"_w{i}" for i in range(len(words))]
     rows = df.select(*subset, *rest, *[(_packed(w) if isinstance(w, list) else w).alias(n) for w, n in zip(words, names)])
-    read = []
-    if len(words) == 1 and isinstance(words[0], list):
-        suffix = "L" if math.prod(p.size for p in words[0]) < _LONG else "BD"
-        for k, part in enumerate(words[0]):
-            if part.name:
-                read.append((part.name, part.read("_w0", math.prod(p.size for p in words[0][k + 1 :]), suffix)))
-    back = dict(read)
+    back: dict[str, Column] = {}
+    held = []
+    for n, w in zip(names, words):
+        if isinstance(w, list) and (found := _read(n, w)):
+            back |= found
+            held.append(n)
     for i in reversed(range(len(words))):
-        picked = [F.min_by(c, names[i]).alias(c) for c in rest if c not in back]
-        least = [F.min(names[i]).alias(names[i])] if back else []
+        picked = [F.min_by(c, names[i]).alias(c) for c in [*[c for c in rest if c not in back], *[n for n in names[i + 1 :] if n in held]]]
+        least = [F.min(names[i]).alias(names[i])] if names[i] in held else []
         rows = rows.groupBy(*subset, *names[:i]).agg(*picked, *least)
     return rows.select(*subset, *[back.get(c, F.col(c)) for c in rest])
 
