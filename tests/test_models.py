@@ -12,6 +12,8 @@ from tidemill.models.compress import Compressor
 from tidemill.models.forecaster import PREDICTION, Forecaster
 from tidemill.models.boosting import SquaredBoosting
 from tidemill.models.knn import NeighbourForecaster, NeighbourIndex, knn_predict, nearest
+from tidemill.models.metric_tree import distances
+from tidemill.models.sweep import best_of_block
 from tidemill.models.quantile import QuantileBoosting, fit_interval, predict_interval, tune_interval
 from tidemill.models.search import ParzenDraws, boost_with_early_stop, draw, expand_grid, search, search_in_turn, store_params, stored_params
 from tidemill.operators import blend, metrics as M
@@ -362,6 +364,51 @@ def test_neighbours_visit_few_rows_in_8_dimensions(spark):
         assert got[i] == set(np.argsort(d, kind="stable")[:5].tolist())
 
 
+def test_vectors_without_structure_are_compared_by_blocks(spark):
+    """64 even dimensions, where no bound leaves out a leaf: the exact neighbours, with copies, ties and vectors that are
+    not finite, and no list of leaves per query.
+    """
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(3_000, 64)).astype(np.float32).astype(float)
+    x[100:700] = x[100]
+    x[5, 3], x[6, 0] = np.nan, np.inf
+    df = spark.createDataFrame([(int(i), [float(v) for v in row], float(i % 7)) for i, row in enumerate(x)], "id long, x array<double>, y double")
+    index = NeighbourIndex(df, "x", "id", "y", rows_per_chunk=700)
+    near = index.neighbours(df, 5, exclude_self=True)
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert index.sweeps and "leaves" not in plan and "CoGroup" in plan
+    got = near.toPandas().sort_values(["id", "distance", "neighbour"])
+    assert len(got) == 2_998 * 5 and not got["id"].isin([5, 6]).any() and not got["neighbour"].isin([5, 6]).any()
+    found = {i: (g["neighbour"].tolist(), g["distance"].tolist()) for i, g in got.groupby("id")}
+    for i in [0, 4, 7, 99, 100, 101, 399, 699, 700, *range(800, 3_000, 200)]:
+        d = np.sqrt((np.abs(x - x[i]) ** 2).sum(axis=1))
+        d[i] = np.inf
+        want = np.argsort(d, kind="stable")[:5]
+        assert found[i] == (want.tolist(), d[want].tolist())
+
+
+@pytest.mark.parametrize("kind", ["offset", "copies", "tiny", "wide", "near", "max"])
+@pytest.mark.parametrize("k", [1, 5, 700])
+def test_products_of_blocks_lose_no_neighbour(kind, k):
+    """Rounding of the products never decides: far from zero, equal, very small, mixed and very large numbers."""
+    rng = np.random.default_rng(8)
+    x = {
+        "offset": lambda: rng.normal(size=(900, 8)) * 1e-3 + 1e9,
+        "copies": lambda: np.repeat(rng.normal(size=(3, 16)), 300, axis=0),
+        "tiny": lambda: rng.normal(size=(900, 5)) * 1e-200,
+        "wide": lambda: rng.normal(size=(900, 5)) * 10.0 ** rng.integers(-30, 30, size=(900, 1)),
+        "near": lambda: np.concatenate([rng.normal(size=(1, 32)) + 1e-6 * rng.normal(size=(800, 32)), rng.normal(size=(100, 32))]),
+        "max": lambda: rng.choice([1.7e308, -1.7e308, 1.0], size=(900, 3)),
+    }[kind]()
+    ids = np.arange(len(x))
+    with np.errstate(all="ignore"):
+        d = distances(x, x, 2)
+        np.fill_diagonal(d, np.inf)
+        at, which, gap = best_of_block(x, ids, x, ids, k, exclude_self=True)
+    want = {(i, int(j), d[i, j]) for i in range(len(x)) for j in np.argsort(d[i], kind="stable")[:k] if np.isfinite(d[i, j])}
+    assert set(zip(at.tolist(), which.tolist(), gap.tolist())) == want
+
+
 def test_many_queries_of_one_place_are_dealt_out(spark):
     df = spark.range(3_000).select("id", (F.col("id") % 3).cast("double").alias("x"), F.col("id").cast("double").alias("y"))
     asked = spark.range(3_000).select((F.col("id") + 10_000).alias("id"), F.lit(1.0).alias("x"))

@@ -1,4 +1,7 @@
-"""Exact k-nearest-neighbour regression with a metric tree, as Spark joins on the tree's leaves."""
+"""Exact k-nearest-neighbour regression with a metric tree, as Spark joins on the tree's leaves.
+
+Where the tree leaves out little, as for vectors of many even dimensions, blocks of queries meet blocks of rows.
+"""
 
 from __future__ import annotations
 
@@ -11,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tidemill.models.forecaster import PREDICTION
 from tidemill.models.metric_tree import MAX_LEAVES, SAMPLE_ROWS, MetricTree, distances, norm
+from tidemill.models.sweep import best_of_block
 from tidemill.operators.metrics import point_metrics
 from tidemill.sources.tables import kept
 
@@ -21,6 +25,8 @@ LEAST_CHUNK = 1_000
 #: Rows of a leaf, in expectation: `ROWS_PER_LEAF`, or one per dimension if that is more. Rows that the first pass
 #: compares a query with.
 ROWS_PER_LEAF, NEAR_ROWS = 8, 256
+#: Part of all pairs from which the tree is left for products of blocks, and sample rows and neighbours that tell it.
+MUCH, TRIED_ROWS, TRIED_NEAR = 0.2, 32, 5
 _META = "features array<string>, target string, id_col string, k int, weights string, p double"
 
 
@@ -52,12 +58,31 @@ def _by_block(row: np.ndarray, leaf: np.ndarray, n: int, first: np.ndarray, part
     return pd.Series(out, dtype=object)
 
 
+def visited_part(tree: MetricTree, sample: np.ndarray) -> float:
+    """Which part of the sample its rows visit, on the mean, for their nearest rows in it."""
+    sample = sample[np.isfinite(sample).all(axis=1)]
+    if not len(sample) or not np.isfinite(tree.pivots).all():
+        return 1.0
+    leaf = tree.home(sample)
+    size, reach = np.bincount(leaf, minlength=tree.leaves), np.zeros(tree.leaves)
+    low, high = (np.full((tree.leaves, sample.shape[1]), x) for x in (np.inf, -np.inf))
+    np.maximum.at(reach, leaf, norm(np.abs(sample - tree.centres()[leaf]), tree.p))
+    np.minimum.at(low, leaf, sample)
+    np.maximum.at(high, leaf, sample)
+    tree.bounded(size, low, high, reach)
+    some = sample[:: -(-len(sample) // TRIED_ROWS)]
+    at = min(TRIED_NEAR, len(sample) - 1)
+    bound = np.partition(distances(some, sample, tree.p), at, axis=1)[:, at]  # itself, and its nearest
+    return float(size[tree.visits(some, bound)[1]].sum() / (len(some) * len(sample)))
+
+
 class NeighbourIndex:
     """The rows of a table in the leaves of a metric tree, stored once for any number of searches.
 
     Building it reads the table three times: to count, to sample, and to place all rows; the placed rows go to
     the shared folder. The tree (at most `MAX_LEAVES` leaves) and the leaves' bounds are all that the
-    driver holds. Rows without an id, a vector or one of its components are left out.
+    driver holds. Rows without an id, a vector or one of its components are left out. Where p is 2 and rows of the sample
+    visit over `MUCH` of it, the rows are stored as they are, and a search compares all pairs by products of blocks.
     """
 
     def __init__(self, train: DataFrame, features: Sequence[str] | str, id_col: str, target: str, p: float = 2, rows_per_chunk: int = ROWS_PER_CHUNK):
@@ -73,6 +98,10 @@ class NeighbourIndex:
         self.rows_per_chunk = min(rows_per_chunk, max(LEAST_CHUNK, math.ceil(self.n / cores)))
         per_leaf = min(max(ROWS_PER_LEAF, len(picked[0]["_x"])), max(1, rows_per_chunk))
         self.tree = tree = MetricTree.shaped(np.array([r["_x"] for r in picked], dtype=float), min(MAX_LEAVES, max(1, self.n // per_leaf)), p)
+        self.sweeps = p == 2 and visited_part(tree, np.array([r["_x"] for r in picked], dtype=float)) > MUCH
+        if self.sweeps:
+            self.rows_per_chunk, self.rows = rows_per_chunk, kept(known, "neighbours")
+            return
         centres = tree.centres()
 
         @F.pandas_udf("leaf int, reach double")
@@ -214,19 +243,47 @@ class NeighbourIndex:
         asked_type = query.schema[self.id_col].dataType.simpleString()
         if not self.n:
             return self.spark.createDataFrame([], f"`{self.id_col}` {asked_type}, neighbour {self.id_type}, distance double, neighbour_target double")
-        best, _ = self._two_passes(query, k, exclude_self)
+        best = self._sweep(query, k, exclude_self) if self.sweeps else self._two_passes(query, k, exclude_self)[0]
         return best.select(F.col("_qid").alias(self.id_col), F.col("_tid").alias("neighbour"), "distance", F.col("_y").alias("neighbour_target"))
 
     def visited_pairs(self, query: DataFrame, k: int = 5, exclude_self: bool = False) -> int:
         """How many (query, row) distances a search takes."""
+        if self.sweeps:
+            return self._asked(query).count() * self.n
         size = F.array(*[F.lit(int(n)) for n in self.leaf_size])
         _, visits = self._two_passes(query, k, exclude_self)
         pairs = F.aggregate("leaves", F.lit(0).cast("long"), lambda a, leaf: a + F.element_at(size, leaf + 1))
         once = visits.groupBy("_qid", "leaves").agg(F.first(pairs).alias("pairs"))  # a large leaf has several blocks
         return once.agg(F.sum("pairs")).first()[0] or 0
 
+    def _asked(self, query: DataFrame) -> DataFrame:
+        return _usable(query.select(F.col(self.id_col).alias("_qid"), _vector(self.features).alias("_x")), "_qid").dropDuplicates(["_qid"])
+
+    def _sweep(self, query: DataFrame, k: int, exclude_self: bool) -> DataFrame:
+        """(_qid, _tid, distance, _y): the best k, each block of queries compared with each block of rows."""
+        asked = self._asked(query)
+        many = max(1, asked.count())
+        even = math.ceil(math.sqrt(self.n * many / (3 * self.spark.sparkContext.defaultParallelism)))
+        width = min(self.rows_per_chunk, max(LEAST_CHUNK, even))
+        blocks, sides = math.ceil(self.n / width), math.ceil(many / width)
+        left = asked.withColumn("side", F.pmod(F.xxhash64("_qid"), F.lit(sides)).cast("int"))
+        right = self.rows.withColumn("block", F.pmod(F.xxhash64("_tid", "_x"), F.lit(blocks)).cast("int"))
+        left = left.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        right = right.withColumn("side", F.explode(F.sequence(F.lit(0), F.lit(sides - 1))))
+
+        def best(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+            if q.empty or t.empty:
+                return pd.DataFrame({"_qid": q["_qid"].iloc[:0], "_tid": t["_tid"].iloc[:0], "distance": [], "_y": []})
+            t = t.sort_values("_tid")
+            qid, tid, ty = q["_qid"].to_numpy(), t["_tid"].to_numpy(), t["_y"].to_numpy()
+            row, hit, distance = best_of_block(_stack(q["_x"]), qid, _stack(t["_x"]), tid, k, exclude_self)
+            return pd.DataFrame({"_qid": qid[row], "_tid": tid[hit], "distance": distance, "_y": ty[hit]})
+
+        schema = f"_qid {asked.schema['_qid'].dataType.simpleString()}, _tid {self.id_type}, distance double, _y double"
+        return self._top(left.groupBy("block", "side").cogroup(right.groupBy("block", "side")).applyInPandas(best, schema), k)
+
     def _two_passes(self, query: DataFrame, k: int, exclude_self: bool) -> tuple[DataFrame, DataFrame]:
-        asked = _usable(query.select(F.col(self.id_col).alias("_qid"), _vector(self.features).alias("_x")), "_qid").dropDuplicates(["_qid"])
+        asked = self._asked(query)
         # A query visits a block once, so few queries fill no block; many are stored with their visits.
         dealt = asked.count() > self.rows_per_chunk
         wanted = max(NEAR_ROWS, k + 1)
